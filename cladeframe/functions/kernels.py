@@ -16,7 +16,8 @@ from __future__ import annotations
 import numpy as np
 
 LANES = 6144  # (query, profile) pairs advanced together; keeps a row in cache
-TRACE_CELLS = 1 << 25  # direction bytes held at once while tracing
+TRACE_LANES = 1024  # pairs traced together
+TRACE_ROWS = 128  # query residues between two kept rows of a trace
 
 
 def _dtype(bound: float) -> tuple[np.dtype, int]:
@@ -36,6 +37,21 @@ def _pad(rows: list[np.ndarray], width: int, fill: int) -> np.ndarray:
     return out
 
 
+def _running_max(x: np.ndarray) -> np.ndarray:
+    """Running maximum along axis 0: few wide rows by a loop, many narrow ones by doubling."""
+    n = x.shape[0]
+    if x[0].size >= 384:
+        for j in range(1, n):
+            np.maximum(x[j], x[j - 1], out=x[j])
+        return x
+    step = 1
+    while step < n:
+        y = x.copy()
+        np.maximum(x[step:], x[:-step], out=y[step:])
+        x, step = y, step * 2
+    return x
+
+
 def affine_scores(
     table: np.ndarray,
     col_open: np.ndarray,
@@ -114,9 +130,7 @@ def affine_scores(
                 np.maximum(h, -carry_dt, out=h)
             run[0] = start_cost[0]
             np.add(h[:-1], start_cost[1:], out=run[1:])
-            for j in range(1, n_col):
-                np.maximum(run[j], run[j - 1], out=run[j])
-            np.maximum(h, run, out=h)
+            np.maximum(h, _running_max(run), out=h)
             s[...] = h
             if local:
                 np.add(h, carry_dt, out=tmp)
@@ -201,6 +215,10 @@ def trace_pairs(
     Operations are ASCII digits: 0 residue on column, 1 column skipped, 2 residue
     inserted.  Ties: insert only if strictly best, skip if at least as good as
     insert and better than a match, else match; the first best end cell in row order.
+
+    The first sweep keeps one row in every ``TRACE_ROWS``; directions are recomputed
+    from there only for the stretches a path crosses.  Memory grows with the
+    query length by a few bytes per residue, not by the profile width.
     """
     n_col = state.shape[0]
     lens = np.array([q.size for q in queries], dtype=np.int64)
@@ -208,106 +226,132 @@ def trace_pairs(
     ops: list[bytes] = [b"1" * n_col] * len(queries)
     order = _by_length(lens)
     order = order[lens[order] > 0]
-    lo = 0
-    while lo < order.size and n_col:
-        rows = int(lens[order[lo]])
-        size = max(1, TRACE_CELLS // (rows * n_col))
-        pick = order[lo : lo + size]
-        lo += size
-        got, text = _trace_batch(
+    for lo in range(0, order.size if n_col else 0, TRACE_LANES):
+        pick = order[lo : lo + TRACE_LANES]
+        pairs = _Pairs(
             state[:, pick], flag[:, pick], [queries[k] for k in pick], match, match_flag, gap_open, gap_extend
         )
-        scores[pick] = got
-        for k, t in zip(pick, text):
+        scores[pick] = pairs.sweep()
+        for k, t in zip(pick, pairs.walk()):
             ops[k] = t
     return scores, ops
 
 
-def _trace_batch(state, flag, queries, match, match_flag, gap_open, gap_extend):
-    n_col, n = state.shape
-    lens = np.array([q.size for q in queries], dtype=np.int64)
-    rows = int(lens.max())
-    qs = _pad(queries, rows, 0)
-    low = -(1 << 29)
-    o = np.where(flag, 0, gap_open).astype(np.int32)
-    e = np.where(flag, 0, gap_extend).astype(np.int32)
-    extra = np.where(flag, match_flag, 0).astype(np.int32)
-    s = np.zeros((n_col, n), dtype=np.int32)
-    up = np.full((n_col, n), low, dtype=np.int32)
-    carry = np.cumsum(e, axis=0, dtype=np.int32)
-    moves = np.zeros((rows, n_col, n), dtype=np.uint8)
-    best = np.full(n, low, dtype=np.int64)
-    best_col = np.zeros(n, dtype=np.int64)
-    best_row = np.zeros(n, dtype=np.int64)
-    for i in range(rows):
-        sm = np.where((state & qs[:, i]) != 0, match, 0).astype(np.int32) + extra
+class _Pairs:
+    """Aligned pairs traced together; lanes are sorted by query length, longest first."""
+
+    LOW = -(1 << 29)
+
+    def __init__(self, state, flag, queries, match, match_flag, gap_open, gap_extend) -> None:
+        self.state, self.match = state.astype(np.int32), match
+        self.open, self.extend = gap_open, gap_extend
+        self.n_col, self.n = state.shape
+        self.lens = np.array([q.size for q in queries], dtype=np.int64)
+        self.qs = _pad(queries, int(self.lens.max()), 0).astype(np.int32)
+        self.o = np.where(flag, 0, gap_open).astype(np.int32)
+        self.e = np.where(flag, 0, gap_extend).astype(np.int32)
+        self.extra = np.where(flag, match_flag, 0).astype(np.int32)
+        self.carry = np.cumsum(self.e, axis=0, dtype=np.int32)
+
+    def row(self, lanes, residues, s, up):
+        """One query residue further: match, insert, skip and best values per column."""
+        hit = (self.state[:, lanes] & residues) != 0
+        sm = np.where(hit, self.match, 0).astype(np.int32) + self.extra[:, lanes]
         sm[1:] += s[:-1]
-        opened, kept = s + gap_open, up + gap_extend
-        up_stay = kept > opened
-        up = np.maximum(opened, kept)
+        up = np.maximum(s + self.open, up + self.extend)
         h = np.maximum(sm, up)
-        run = np.empty_like(h)
-        run[0] = o[0] - carry[0]
-        run[1:] = h[:-1] + o[1:] - carry[1:]
-        for j in range(1, n_col):
-            np.maximum(run[j], run[j - 1], out=run[j])
-        left = run + carry
-        s = np.maximum(h, left)
-        left_open = np.vstack([o[:1], s[:-1] + o[1:]])
-        left_kept = np.vstack([np.full((1, n), low, np.int32), left[:-1] + e[1:]])
-        took_up = (up > left) & (up > sm)
-        took_left = (left >= up) & (left > sm)
-        moves[i] = (
-            (left_kept > left_open).astype(np.uint8)
-            | (up_stay.astype(np.uint8) << 1)
-            | (took_left.astype(np.uint8) << 2)
-            | (took_up.astype(np.uint8) << 3)
-        )
-        # candidates of this row: every column on a pair's last row, else the last column
-        final = lens - 1 == i
-        alive = i < lens
-        row_best = np.where(final, s.max(axis=0), s[-1])
-        row_col = np.where(final, s.argmax(axis=0), n_col - 1)
-        better = alive & (row_best > best)
-        best = np.where(better, row_best, best)
-        best_col = np.where(better, row_col, best_col)
-        best_row = np.where(better, i, best_row)
-
-    # walk all pairs backwards together; a finished pair writes nothing
-    width = n_col + rows
-    text = np.zeros((n, width), dtype=np.uint8)
-    count = np.zeros(n, dtype=np.int64)
-    a = np.full(n, n_col - 1, dtype=np.int64)
-    b = lens - 1
-    lane = np.arange(n)
-    in_left = np.zeros(n, dtype=bool)
-    in_up = np.zeros(n, dtype=bool)
-    for _ in range(width):
-        open_pair = (a >= 0) | (b >= 0)
-        if not open_pair.any():
-            break
-        tail_a = a > best_col
-        tail_b = ~tail_a & (b > best_row)
-        body = ~tail_a & ~tail_b & (a >= 0) & (b >= 0)
-        cell = moves[np.clip(b, 0, None), np.clip(a, 0, None), lane]
-        fresh = body & ~in_left & ~in_up
-        in_left |= fresh & ((cell & 4) != 0)
-        in_up |= fresh & ((cell & 8) != 0)
-        go_up = body & in_up
-        go_left = body & in_left & ~in_up
-        diag = body & ~in_up & ~in_left
-        head_a = ~tail_a & ~tail_b & ~body & (a >= 0)
-        head_b = ~tail_a & ~tail_b & ~body & (a < 0) & (b >= 0)
-        skip = tail_a | go_left | head_a
-        insert = tail_b | go_up | head_b
-        code = np.where(skip, 49, np.where(insert, 50, 48)).astype(np.uint8)
-        text[lane[open_pair], width - 1 - count[open_pair]] = code[open_pair]
-        count += open_pair
-        in_up = np.where(go_up, (cell & 2) != 0, in_up)
-        in_left = np.where(go_left, (cell & 1) != 0, in_left)
-        a -= (skip | diag).astype(np.int64)
-        b -= (insert | diag).astype(np.int64)
-    return best, [text[k, width - count[k] :].tobytes() for k in range(n)]
+        run = self.o[:, lanes] - self.carry[:, lanes]
+        run[1:] += h[:-1]
+        left = _running_max(run) + self.carry[:, lanes]
+        return sm, up, left, np.maximum(h, left)
+
+    def sweep(self) -> np.ndarray:
+        s = np.zeros((self.n_col, self.n), dtype=np.int32)
+        up = np.full_like(s, self.LOW)
+        self.kept = []
+        self.best = np.full(self.n, self.LOW, dtype=np.int64)
+        self.end_col = np.zeros(self.n, dtype=np.int64)
+        self.end_row = np.zeros(self.n, dtype=np.int64)
+        live = self.n
+        for i in range(int(self.lens[0])):
+            while self.lens[live - 1] <= i:
+                live -= 1
+                s, up = s[:, :live], up[:, :live]
+            if i % TRACE_ROWS == 0:
+                self.kept.append((s, up))
+            _, up, _, s = self.row(slice(0, live), self.qs[:live, i], s, up)
+            # ends: the last column of every row, any column of a pair's last row
+            final = self.lens[:live] == i + 1
+            value, col = s[-1].astype(np.int64), np.full(live, self.n_col - 1)
+            if final.any():
+                value = np.where(final, s.max(axis=0), value)
+                col = np.where(final, s.argmax(axis=0), col)
+            better = value > self.best[:live]
+            self.best[:live][better] = value[better]
+            self.end_col[:live][better] = col[better]
+            self.end_row[:live][better] = i
+        return self.best
+
+    def moves(self, lanes: np.ndarray, block: int) -> np.ndarray:
+        """Direction bits of one kept stretch: (rows, cols, lanes)."""
+        s, up = (x[:, lanes] for x in self.kept[block])
+        first = block * TRACE_ROWS
+        rows = min(TRACE_ROWS, int(self.end_row[lanes].max()) + 1 - first)
+        bits = np.empty((rows, self.n_col, lanes.size), dtype=np.uint8)
+        for r in range(rows):
+            old_s, old_up = s, up
+            sm, up, left, s = self.row(lanes, self.qs[lanes, first + r], s, up)
+            stay_up = old_up + self.extend > old_s + self.open
+            stay_left = np.zeros_like(stay_up)
+            stay_left[1:] = left[:-1] + self.e[1:, lanes] > s[:-1] + self.o[1:, lanes]
+            skip = (left >= up) & (left > sm)
+            insert = (up > left) & (up > sm)
+            bits[r] = stay_left | (stay_up << 1) | (skip << 2) | (insert << 3)
+        return bits
+
+    def walk(self) -> list[bytes]:
+        """Follow the paths of all pairs back from their end cells, stretch by stretch."""
+        a, b = self.end_col.copy(), self.end_row.copy()
+        skipping = np.zeros(self.n, dtype=bool)
+        inserting = np.zeros(self.n, dtype=bool)
+        body: list[list[np.ndarray]] = [[] for _ in range(self.n)]
+        for block in range(len(self.kept) - 1, -1, -1):
+            first = block * TRACE_ROWS
+            lanes = np.flatnonzero((a >= 0) & (b >= first))
+            if lanes.size == 0:
+                continue
+            bits = self.moves(lanes, block)
+            here = np.arange(lanes.size)
+            codes = np.zeros((lanes.size, self.n_col + TRACE_ROWS), dtype=np.uint8)
+            x, y = a[lanes], b[lanes] - first
+            left, up = skipping[lanes], inserting[lanes]
+            taken = 0
+            while True:
+                on = (x >= 0) & (y >= 0)
+                if not on.any():
+                    break
+                cell = bits[np.maximum(y, 0), np.maximum(x, 0), here]
+                fresh = on & ~left & ~up
+                left = left | (fresh & ((cell & 4) != 0))
+                up = up | (fresh & ((cell & 8) != 0))
+                go_up, go_left = on & up, on & left & ~up
+                codes[:, taken] = np.where(go_up, 50, np.where(go_left, 49, np.where(on, 48, 0)))
+                taken += 1
+                x = x - (on & ~go_up)
+                y = y - (on & ~go_left)
+                up = np.where(go_up, (cell & 2) != 0, up)
+                left = np.where(go_left, (cell & 1) != 0, left)
+            a[lanes], b[lanes] = x, y + first
+            skipping[lanes], inserting[lanes] = left, up
+            for k, lane in enumerate(lanes):
+                body[lane].append(codes[k, :taken][codes[k, :taken] > 0])
+        out = []
+        for k in range(self.n):
+            head = b"1" * int(a[k] + 1) + b"2" * int(b[k] + 1)
+            tail = b"2" * int(self.lens[k] - 1 - self.end_row[k]) + b"1" * int(self.n_col - 1 - self.end_col[k])
+            path = np.concatenate(body[k])[::-1].tobytes() if body[k] else b""
+            out.append(head + path + tail)
+        return out
 
 
 def dtw_distances(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:

@@ -14,6 +14,7 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("cladeframe")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("CLADEFRAME_DRIVER_MEMORY", "12g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(cpus))
