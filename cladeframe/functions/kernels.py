@@ -112,15 +112,14 @@ def affine_scores(
         s = np.broadcast_to(-carry_dt, (n_col, nb, n_prof)).copy()
         up = np.full((n_col, nb, n_prof), low, dtype=dt)
         best = np.full((nb, n_prof), low, dtype=dt)
-        tmp = np.empty_like(s)
-        run = np.empty_like(s)
+        h, tmp, run = np.empty_like(s), np.empty_like(s), np.empty_like(s)
         live = nb
         for i in range(int(blen[0])):
             while blen[live - 1] <= i:
                 live -= 1
-                s, up, best_v = s[:, :live], up[:, :live], best[:live]
+                s, up, h = s[:, :live], up[:, :live], h[:, :live]
                 tmp, run = tmp[:, :live], run[:, :live]
-            h = np.take(shifted, sym[:live, i], axis=1)
+            np.take(shifted, sym[:live, i], axis=1, out=h, mode="clip")
             h[1:] += s[:-1]
             np.add(s, dt.type(gap_open), out=tmp)
             up += dt.type(gap_extend)
@@ -131,18 +130,18 @@ def affine_scores(
             run[0] = start_cost[0]
             np.add(h[:-1], start_cost[1:], out=run[1:])
             np.maximum(h, _running_max(run), out=h)
-            s[...] = h
+            s, h = h, s
             if local:
-                np.add(h, carry_dt, out=tmp)
+                np.add(s, carry_dt, out=tmp)
                 np.maximum(best[:live], tmp.max(axis=0), out=best[:live])
                 continue
-            edge = h[last, :, lanes].T + carry_dt[last, 0, lanes]
+            edge = s[last, :, lanes].T + carry_dt[last, 0, lanes]
             np.maximum(best[:live], edge, out=best[:live])
             done = live
             while done > 0 and blen[done - 1] == i + 1:
                 done -= 1
             if done < live:
-                tail = h[:, done:live] + carry_dt
+                tail = s[:, done:live] + carry_dt
                 if ragged:
                     tail = np.where(inside, tail, low)
                 best[done:live] = np.maximum(best[done:live], tail.max(axis=0))
