@@ -93,7 +93,7 @@ def clean_queries(queries: DataFrame, alpha: str | R.Alphabet = R.DNA, strict: b
     return queries.withColumn("seq", R.query_residues(F.col("seq"), alpha, strict))
 
 
-def _spread(queries: DataFrame, cells_per_residue: int) -> DataFrame:
+def spread_by_work(queries: DataFrame, cells_per_residue: int) -> DataFrame:
     """Enough partitions for the arithmetic: a scan split holds far more work than bytes."""
     spark = queries.sparkSession
     total = queries.agg(F.sum(F.length("seq"))).first()[0] or 0
@@ -194,7 +194,7 @@ def _run(
     if n_edges == 0:
         raise ValueError("no profiles")
     if spread and not queries.isStreaming:
-        queries = _spread(queries, n_cols * (1 if own_edge else n_edges))
+        queries = spread_by_work(queries, n_cols * (1 if own_edge else n_edges))
     if n_edges * n_cols * 5 <= broadcast_bytes:
         held = queries.sparkSession.sparkContext.broadcast(
             ProfileSet.of(profiles.select("edge_id", "state", "aux").toArrow())

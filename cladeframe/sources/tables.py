@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladeframe.functions import residues as R
+
 # The residue written for a count modulo seven, and gene names' prefix.
 COUNT_SYMBOLS = "-ACGTNU"
 GENE_MODEL = "DNA"
@@ -88,7 +90,7 @@ def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = monthly.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
     by_region = (
         named.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
-        .groupBy(F.col("r_name").alias("name"), "col")
+        .groupBy(R.normalize_name(F.col("r_name")).alias("name"), "col")
         .agg(F.sum("n").alias("n"))
     )
     counts = named.select(F.col("n_name").alias("name"), "col", "n").unionByName(by_region)
