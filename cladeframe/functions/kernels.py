@@ -397,3 +397,166 @@ def dtw_path(x: np.ndarray, y: np.ndarray) -> tuple[float, list[tuple[int, int]]
         options = [(d[i - 1, j - 1], i - 1, j - 1), (d[i - 1, j], i - 1, j), (d[i, j - 1], i, j - 1)]
         _, i, j = min(options, key=lambda t: t[0])
     return float(d[n, m]), path[::-1]
+
+
+def log_odds_scores(
+    match_lo: np.ndarray,
+    residue_lo: np.ndarray,
+    gap_lo: np.ndarray,
+    queries: list[np.ndarray],
+    delta: float,
+    epsilon: float,
+    path: str = "max",
+) -> np.ndarray:
+    """Log-odds of each query on each profile: shape (queries, profiles).
+
+    ``match_lo`` is (columns, symbols, profiles), ``residue_lo`` / ``gap_lo`` (columns,
+    profiles) weigh a match step that follows a match or a gap.  ``delta`` opens and
+    ``epsilon`` extends a gap on either side.  ``path="sum"`` adds up all paths.
+    The end is free over the columns from the query length on.
+    """
+    n_col, _, n_prof = match_lo.shape
+    join = np.logaddexp if path == "sum" else np.maximum
+    first_gap = 0.0 if path == "sum" else -np.inf
+    log_d, log_e = np.log(delta), np.log(epsilon)
+    out = np.full((len(queries), n_prof), -np.inf)
+    lens = np.array([q.size for q in queries], dtype=np.int64)
+    order = _by_length(lens)
+    batch = max(1, LANES // max(1, n_prof))
+    ramp = (np.arange(n_col + 1) * log_e)[:, None, None]
+    for lo in range(0, len(order), batch):
+        pick = order[lo : lo + batch]
+        blen = lens[pick]
+        sym = _pad([queries[k] for k in pick], int(blen.max(initial=0)), 0)
+        nb = pick.size
+        m = np.zeros((n_col + 1, nb, n_prof))
+        d = np.zeros_like(m)
+        d[0] = first_gap
+        ins = np.full_like(m, first_gap)
+        ins[0] = 0.0
+        live = nb
+        for i in range(int(blen.max(initial=0)) + 1):
+            done = live
+            while done > 0 and blen[done - 1] == i:
+                done -= 1
+            if done < live:
+                tail = m[min(i, n_col) :, done:live]
+                if path == "sum":
+                    value = np.logaddexp(0.0, np.logaddexp.reduce(tail, axis=0))
+                else:
+                    value = tail.max(axis=0)
+                out[pick[done:live]] = value
+                live = done
+                m, d, ins = m[:, :live], d[:, :live], ins[:, :live]
+            if live == 0:
+                break
+            step = join(
+                join(m[:-1] + residue_lo[:, None], d[:-1] + gap_lo[:, None]), ins[:-1] + gap_lo[:, None]
+            )
+            new_m = np.zeros_like(m)
+            new_m[1:] = step + np.take(match_lo, sym[:live, i], axis=1)
+            new_i = join(m + log_d, ins + log_e)
+            new_i[0] = 0.0
+            # a skipped column extends at one rate, so the chain is one running join
+            run = np.full_like(m, first_gap)
+            run[1:] = new_m[:-1] + log_d - ramp[1:]
+            if path == "sum":
+                np.logaddexp.accumulate(run, axis=0, out=run)
+            else:
+                run = _running_max(run)
+            d = run + ramp
+            d[0] = first_gap
+            m, ins = new_m, new_i
+    return out
+
+
+def log_odds_trace(
+    match_lo: np.ndarray,
+    residue_lo: np.ndarray,
+    gap_lo: np.ndarray,
+    query: np.ndarray,
+    delta: float,
+    epsilon: float,
+) -> tuple[float, bytes]:
+    """Score and forward operations of one query on one profile (columns, symbols)."""
+    n_col, n = match_lo.shape[0], query.size
+    log_d, log_e = np.log(delta), np.log(epsilon)
+    m = np.zeros((n + 1, n_col + 1))
+    d = np.full((n + 1, n_col + 1), -np.inf)
+    ins = np.full((n + 1, n_col + 1), -np.inf)
+    d[0, 1:] = 0.0
+    ins[:, 0] = 0.0
+    ramp = np.arange(n_col + 1) * log_e
+    for i in range(1, n + 1):
+        before = np.maximum(
+            m[i - 1, :-1] + residue_lo, np.maximum(d[i - 1, :-1], ins[i - 1, :-1]) + gap_lo
+        )
+        m[i, 1:] = before + match_lo[:, query[i - 1]]
+        ins[i, 1:] = np.maximum(m[i - 1, 1:] + log_d, ins[i - 1, 1:] + log_e)
+        d[i, 1:] = np.maximum.accumulate(m[i, :-1] + log_d - ramp[1:]) + ramp[1:]
+    start = min(n, n_col)
+    j = start + int(np.argmax(m[n, start:]))
+    score, i = float(m[n, j]), n
+    ops = ["1"] * (n_col - j)
+    where = "m"
+    while i > 0 and j > 0:
+        if where == "d":
+            ops.append("1")
+            j -= 1
+            where = "d" if m[i, j] + log_d < d[i, j] + log_e else "m"
+        elif where == "i":
+            ops.append("2")
+            i -= 1
+            where = "i" if m[i, j] + log_d < ins[i, j] + log_e else "m"
+        else:
+            ops.append("0")
+            i, j = i - 1, j - 1
+            on, off, skip = m[i, j] + residue_lo[j], ins[i, j] + gap_lo[j], d[i, j] + gap_lo[j]
+            best = max(on, off)
+            where = "d" if best < skip else ("i" if on < off else "m")
+    ops += ["1"] * j + ["2"] * i
+    return score, "".join(reversed(ops)).encode()
+
+
+def penalty_scores(
+    state: np.ndarray,
+    flag: np.ndarray,
+    symbol_states: np.ndarray,
+    queries: list[np.ndarray],
+    gap_open: int,
+    gap_extend: int,
+    mismatch: int,
+    match_flag: int,
+) -> np.ndarray:
+    """Smallest penalty of each query on each profile, within the band of free shifts.
+
+    A query must be shorter than the profile.  Opening a gap pays open and extend at
+    once, an insertion pays a mismatch, flagged columns are skipped for free and add
+    ``match_flag`` to a match step.
+    """
+    n_col, n_prof = state.shape
+    big = 1 << 28
+    out = np.empty((len(queries), n_prof), dtype=np.int64)
+    hit = (state[:, None, :] & symbol_states[None, :, None]) != 0
+    step = np.where(hit, 0, mismatch) + np.where(flag, match_flag, 0)[:, None, :]
+    opened = np.where(flag, 0, gap_open + gap_extend)
+    carry = np.cumsum(np.where(flag, 0, gap_extend), axis=0)
+    for k, q in enumerate(queries):
+        if q.size >= n_col:
+            raise ValueError("the penalty scheme needs queries shorter than the profile")
+        if q.size == 0:
+            out[k] = 0
+            continue
+        band = n_col - q.size + 1
+        cur = np.zeros((band, n_prof), dtype=np.int64)
+        for i, b in enumerate(q):
+            cols = slice(i, i + band)
+            up = np.full_like(cur, big)
+            up[:-1] = cur[1:] + mismatch
+            h = np.minimum(cur + step[cols, b], up)
+            run = np.full_like(h, big)
+            run[1:] = h[:-1] + opened[cols][1:] - carry[cols][1:]
+            left = np.minimum.accumulate(run, axis=0) + carry[cols]
+            cur = np.minimum(h, left)
+        out[k] = cur.min(axis=0)
+    return out

@@ -8,6 +8,8 @@ bounded for any tree, and neither the tree nor the alignment passes the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,7 +35,7 @@ def column_blocks(msa: DataFrame, block: int) -> DataFrame:
     )
 
 
-def rooted_at_tip(u: np.ndarray, v: np.ndarray, root: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def rooted_at(u: np.ndarray, v: np.ndarray, root: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Orient edges away from ``root``: per edge (parent, child), and edges by depth."""
     ends: dict[int, list[int]] = {}
     for k, (a, b) in enumerate(zip(u.tolist(), v.tolist())):
@@ -96,55 +98,112 @@ def _combine(one, two, p_one: np.ndarray, p_two: np.ndarray):
     return state, lik, flag
 
 
-def edge_vectors(edges: pd.DataFrame, tips: pd.DataFrame, alpha: R.Alphabet, gap_freq: float):
-    """Vectors of every edge for one column block; ``edges(edge_id,u,v,len)``, ``tips(node_id,seq)``.
+class _Sweep:
+    """One tree oriented away from ``root`` with the tip residues of one column block."""
 
-    Two sweeps from a tip root: towards it every edge gets the vector of the subtree
-    below, back out the vector of everything else; joined they describe the edge.
-    """
-    u, v = edges["u"].to_numpy(), edges["v"].to_numpy()
-    node_of = tips["node_id"].to_numpy()
-    raw = [np.frombuffer(s.encode("latin-1", "replace"), dtype=np.uint8) for s in tips["seq"]]
-    codes = alpha.state_table()[alpha.byte_index()[np.vstack(raw)]].astype(np.int32)
-    width = codes.shape[1]
-    parent, child, levels = rooted_at_tip(u, v, int(node_of[0]))
-    degree = np.bincount(np.concatenate([u, v]) - min(u.min(), v.min()))
-    if set(np.unique(degree[degree > 0])) - {1, 3}:
-        raise AlignmentError("the tree is not binary")
-    p = gap_transition_array(gap_freq, edges["len"].to_numpy())
-    row = {int(n): k for k, n in enumerate(node_of)}
-    children: dict[int, list[int]] = {}
-    for k, a in enumerate(parent.tolist()):
-        children.setdefault(a, []).append(k)
-
-    def tip_values(nodes: np.ndarray):
-        state = codes[[row[int(n)] for n in nodes]]
-        gap = state == alpha.gap_state
+    def __init__(self, edges: pd.DataFrame, tips: pd.DataFrame, alpha: R.Alphabet, gap_freq: float, root: int) -> None:
+        u, v = edges["u"].to_numpy(), edges["v"].to_numpy()
+        node_of = tips["node_id"].to_numpy()
+        raw = [np.frombuffer(s.encode("latin-1", "replace"), dtype=np.uint8) for s in tips["seq"]]
+        self.codes = alpha.state_table()[alpha.byte_index()[np.vstack(raw)]].astype(np.int32)
+        self.gap_state = alpha.gap_state
+        degree = np.bincount(np.concatenate([u, v]) - min(u.min(), v.min()))
+        if set(np.unique(degree[degree > 0])) - {1, 3}:
+            raise AlignmentError("the tree is not binary")
+        self.n = u.size
+        self.p = gap_transition_array(gap_freq, edges["len"].to_numpy())
+        self.parent, self.child, self.levels = rooted_at(u, v, root)
+        self.row = {int(n): k for k, n in enumerate(node_of)}
+        self.children: dict[int, list[int]] = {}
+        for k, a in enumerate(self.parent.tolist()):
+            self.children.setdefault(a, []).append(k)
+
+    def tip_values(self, nodes: np.ndarray):
+        state = self.codes[[self.row[int(n)] for n in nodes]]
+        gap = state == self.gap_state
         lik = np.stack([np.where(gap, 0.0, 1.0), np.where(gap, 1.0, 0.0)], axis=1)
         return state, lik, np.where(gap, FLAG_GAP, 0).astype(np.int8)
 
-    below, above = _Vectors(u.size, width), _Vectors(u.size, width)
-    for level in reversed(levels):
-        leaf = np.array([int(c) in row for c in child[level]])
-        at_tip, inner = level[leaf], level[~leaf]
-        if at_tip.size:
-            below.put(at_tip, tip_values(child[at_tip]))
-            below.tip[at_tip] = True
-        if inner.size:
-            pair = np.array([children[int(c)] for c in child[inner]])
-            one, two = pair[:, 0], pair[:, 1]
-            below.put(inner, _combine(below.take(one), below.take(two), p[one], p[two]))
-    above.put(levels[0], tip_values(parent[levels[0]]))
-    above.tip[levels[0]] = True
-    up_edge = {int(c): k for k, c in enumerate(child)}
-    for level in levels[1:]:
-        from_parent = np.array([up_edge[int(a)] for a in parent[level]])
-        sibling = np.array([next(s for s in children[int(parent[k])] if s != k) for k in level])
-        above.put(
-            level, _combine(above.take(from_parent), below.take(sibling), p[from_parent], p[sibling])
-        )
-    every = np.arange(u.size)
-    return _combine(below.take(every), above.take(every), p, p), below, parent, child
+    def below(self) -> _Vectors:
+        """Per edge, the vector of the subtree on its far side."""
+        out = _Vectors(self.n, self.codes.shape[1])
+        for level in reversed(self.levels):
+            leaf = np.array([int(c) in self.row for c in self.child[level]])
+            at_tip, inner = level[leaf], level[~leaf]
+            if at_tip.size:
+                out.put(at_tip, self.tip_values(self.child[at_tip]))
+                out.tip[at_tip] = True
+            if inner.size:
+                pair = np.array([self.children[int(c)] for c in self.child[inner]])
+                one, two = pair[:, 0], pair[:, 1]
+                out.put(inner, _combine(out.take(one), out.take(two), self.p[one], self.p[two]))
+        return out
+
+    def above(self, below: _Vectors) -> _Vectors:
+        """Per edge, the vector of everything on its near side (root must be a tip)."""
+        out = _Vectors(self.n, self.codes.shape[1])
+        first = self.levels[0]
+        out.put(first, self.tip_values(self.parent[first]))
+        out.tip[first] = True
+        up_edge = {int(c): k for k, c in enumerate(self.child)}
+        for level in self.levels[1:]:
+            via = np.array([up_edge[int(a)] for a in self.parent[level]])
+            twin = np.array([next(s for s in self.children[int(self.parent[k])] if s != k) for k in level])
+            out.put(level, _combine(out.take(via), below.take(twin), self.p[via], self.p[twin]))
+        return out
+
+
+def edge_vectors(edges: pd.DataFrame, tips: pd.DataFrame, alpha: R.Alphabet, gap_freq: float):
+    """``(state, likelihoods, flag)`` of every edge for one column block.
+
+    Two sweeps from a tip: towards it every edge gets the vector of the subtree below,
+    back out the vector of everything else; joined they describe the edge.
+    """
+    sweep = _Sweep(edges, tips, alpha, gap_freq, int(tips["node_id"].iloc[0]))
+    below = sweep.below()
+    above = sweep.above(below)
+    every = np.arange(sweep.n)
+    return _combine(below.take(every), above.take(every), sweep.p, sweep.p)
+
+
+def subtree_vectors(edges: pd.DataFrame, tips: pd.DataFrame, alpha: R.Alphabet, gap_freq: float, root: int):
+    """Subtree vectors per edge away from ``root``, and the node at each far end."""
+    sweep = _Sweep(edges, tips, alpha, gap_freq, root)
+    return sweep.below(), sweep.child
+
+
+def per_column_block(
+    msa: DataFrame,
+    nodes: DataFrame,
+    edges: DataFrame,
+    task: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+    schema: str,
+    block: int | None = None,
+) -> DataFrame:
+    """Run ``task(tip rows, edge rows)`` once per column block of the alignment.
+
+    The tree is copied to the blocks as rows, the alignment is cut; a task holds at most
+    about ``CELLS_PER_TASK`` residues.
+    """
+    tips = nodes.filter("is_tip").select("node_id", "name")
+    if block is None:
+        block = max(1, CELLS_PER_TASK // max(1, tips.count()))
+    rows = column_blocks(msa, block).join(tips, "name").select("block", "node_id", "seq")
+    last_block = msa.agg(F.floor((F.max(F.length("seq")) - 1) / block).cast("int")).scalar()
+    copies = (
+        edges.select("edge_id", "u", "v", "len")
+        .withColumn("_last", last_block)
+        .withColumn("block", F.explode(F.sequence(F.lit(0), "_last")))
+        .drop("_last")
+    )
+    columns = [f.split()[0] for f in schema.split(", ")]
+
+    def checked(tip_rows: pd.DataFrame, edge_rows: pd.DataFrame) -> pd.DataFrame:
+        if tip_rows.empty or edge_rows.empty:
+            return pd.DataFrame({c: [] for c in columns})
+        return task(tip_rows, edge_rows)
+
+    return rows.groupBy("block").cogroup(copies.groupBy("block")).applyInPandas(checked, schema)
 
 
 def edge_profiles(
@@ -167,42 +226,25 @@ def edge_profiles(
     msa = msa.select("name", R.normalize_seq(F.col("seq"), a).alias("seq"))
     if gap_freq is None:
         gap_freq = gap_frequency(msa).first()["gap_freq"]
-    tips = nodes.filter("is_tip").select("node_id", "name")
-    if block is None:
-        block = max(1, CELLS_PER_TASK // max(1, tips.count()))
-    rows = column_blocks(msa, block).join(tips, "name").select("block", "node_id", "seq")
-    last_block = msa.agg(F.floor((F.max(F.length("seq")) - 1) / block).cast("int")).scalar()
-    copies = (
-        edges.select("edge_id", "u", "v", "len")
-        .withColumn("_last", last_block)
-        .withColumn("block", F.explode(F.sequence(F.lit(0), "_last")))
-        .drop("_last")
-    )
     freq, model = float(gap_freq), gap_model
 
     def task(tip_rows: pd.DataFrame, edge_rows: pd.DataFrame) -> pd.DataFrame:
-        if tip_rows.empty or edge_rows.empty:
-            return pd.DataFrame({"edge_id": [], "block": [], "state": [], "aux": [], "gapp": []})
         edge_rows = edge_rows.sort_values("edge_id", ignore_index=True)
-        (state, lik, flag), _, _, _ = edge_vectors(edge_rows, tip_rows, a, freq)
+        state, lik, flag = edge_vectors(edge_rows, tip_rows, a, freq)
         aux = (lik[:, 0] < lik[:, 1]).astype(np.int32) if model == "pgap" else flag.astype(np.int32)
         num = lik[:, 0] * (1 - freq)
-        post = num / (num + lik[:, 1] * freq)
         return pd.DataFrame(
             {
                 "edge_id": edge_rows["edge_id"],
                 "block": int(tip_rows["block"].iloc[0]),
                 "state": list(state),
                 "aux": list(aux),
-                "gapp": list(post),
+                "gapp": list(num / (num + lik[:, 1] * freq)),
             }
         )
 
-    pieces = (
-        rows.groupBy("block")
-        .cogroup(copies.groupBy("block"))
-        .applyInPandas(task, "edge_id int, block int, state array<int>, aux array<int>, gapp array<double>")
-    )
+    schema = "edge_id int, block int, state array<int>, aux array<int>, gapp array<double>"
+    pieces = per_column_block(msa, nodes, edges, task, schema, block)
     ordered = F.array_sort(F.collect_list(F.struct("block", "state", "aux", "gapp")))
     joined = pieces.groupBy("edge_id").agg(ordered.alias("p"))
     return joined.select("edge_id", *[F.flatten(F.col(f"p.{c}")).alias(c) for c in ("state", "aux", "gapp")])

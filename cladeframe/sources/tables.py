@@ -263,3 +263,23 @@ def season_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tree_id",
         F.concat(F.lit("("), inner, F.lit(","), name(F.get(F.col("mons"), 10)), F.lit(","), name(F.get(F.col("mons"), 11)), F.lit(");")).alias("newick"),
     )
+
+
+def heap_anc_probs(msa: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node_label, col, p)``: smoothed base shares of the tips below each inner heap node.
+
+    Stands in for externally estimated ancestral probabilities.
+    """
+    tips = nodes.filter("is_tip").select("name", "node_id")
+    cells = msa.join(tips, "name").select(
+        "node_id", F.posexplode(R.chars(R.normalize_seq(F.col("seq")))).alias("col", "ch")
+    )
+    halvings = F.sequence(F.lit(1), F.floor(F.log2(F.col("node_id"))).cast("int") - 1)
+    above = F.transform(halvings, lambda k: F.floor(F.col("node_id") / F.pow(F.lit(2.0), k)).cast("int"))
+    counts = (
+        cells.withColumn("node_label", F.explode(above))
+        .groupBy("node_label", "col")
+        .agg(*[F.count_if(F.col("ch") == b).alias(b) for b in "ACGT"])
+    )
+    total = F.col("A") + F.col("C") + F.col("G") + F.col("T") + 4.0
+    return counts.select("node_label", "col", F.array(*[(F.col(b) + 1.0) / total for b in "ACGT"]).alias("p"))
