@@ -96,9 +96,13 @@ def number_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_blast(spark: SparkSession, path: str) -> DataFrame:
-    """Tabular hits; positions become 0-based, a malformed line is an error."""
-    lines = number_lines(spark.read.text(path)).filter(F.trim("value") != "")
-    parts = lines.withColumn("f", F.split(F.trim("value"), r"\s+"))
+    """Tabular hit files, numbered in file order."""
+    return parse_hits(number_lines(spark.read.text(path)))
+
+
+def parse_hits(lines: DataFrame) -> DataFrame:
+    """Hits from ``(line_no, value)``; positions become 0-based, a malformed line is an error."""
+    parts = lines.filter(F.trim("value") != "").withColumn("f", F.split(F.trim("value"), r"\s+"))
     bad = F.raise_error(F.concat(F.lit("bad hit line: "), F.col("value")))
     cols: list[Column] = []
     for k, (name, kind) in enumerate(HIT_COLUMNS):
@@ -114,9 +118,12 @@ def read_partitions(spark: SparkSession, path: str) -> DataFrame:
 
     A partition file names column ranges of one alignment, so it is read whole.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(
-        F.posexplode(F.split("value", "\r?\n")).alias("ord", "line")
-    )
+    return parse_partitions(spark.read.option("wholetext", True).text(path))
+
+
+def parse_partitions(texts: DataFrame) -> DataFrame:
+    """Partitions from whole files ``(value)``; a malformed line is an error."""
+    lines = texts.select(F.posexplode(F.split("value", "\r?\n")).alias("ord", "line"))
     pattern = r"^([^,]*),\s*(\S+)\s.*?=\s*(\d+)\s*-\s*(\d+)"
     bad = F.raise_error(F.concat(F.lit("bad partition line: "), F.col("line")))
     part = lambda k: F.when(F.col("line").rlike(pattern), F.regexp_extract("line", pattern, k)).otherwise(
