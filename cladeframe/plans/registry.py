@@ -1,6 +1,6 @@
 """Every registered query: a Spark job over whole tables and, where SQL can say it, its oracle.
 
-``QUERIES`` maps a name to ``(spark, sf_dir) -> DataFrame``; ``ORACLES`` holds the SQL.
+``QUERIES`` maps a name to ``(spark, sf_dir) -> DataFrame``; ``oracles()`` gives the SQL.
 """
 
 from __future__ import annotations
@@ -27,19 +27,24 @@ from cladeframe.sources import text as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+_STATEMENTS: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 
 def query(name: str, *needs: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = O.statement(sql, *needs)
+            _STATEMENTS[name] = (sql, needs)
         return fn
 
     return register
 
 
+def oracles() -> dict[str, str]:
+    """Name -> SQL.  Built when asked for: a statement may use tables named further down."""
+    return {name: O.statement(sql, *needs) for name, (sql, needs) in _STATEMENTS.items()}
+
+
 def six(c: F.Column | str) -> F.Column:
     return F.round(c, 6)
 
