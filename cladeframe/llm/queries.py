@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cladeframe.llm import hamming_dedup
+from cladeframe.llm import hamming_dedup, positional_index
 from cladeframe.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +47,36 @@ FROM sets s LEFT JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.s
 @query("op2_near_duplicates", sql=NEAR_SQL)
 def _(spark, sf_dir):
     return hamming_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+#: All windows of all texts against all windows of the items, word for word.
+INDEX_SQL = r"""
+WITH folded AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+items AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+asked AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(13, len(w)) AS span, array_to_string(w[s : s + least(13, len(w)) - 1], ' ') AS x
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS s FROM items WHERE len(w) > 0)),
+spans AS (SELECT DISTINCT span FROM asked),
+said AS (
+  SELECT doc_id, s, span, array_to_string(w[s : s + span - 1], ' ') AS x
+  FROM (SELECT doc_id, w, span, unnest(range(1, len(w) - span + 2)) AS s FROM folded, spans WHERE len(w) >= span)),
+found AS MATERIALIZED (SELECT doc_id, s, a.span, item_id FROM said JOIN asked a ON a.x = said.x AND a.span = said.span),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + span)) AS p FROM found) GROUP BY doc_id),
+listed AS (
+  SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY doc_id)
+SELECT f.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(l.n, 0) AS n_items,
+  sha256(coalesce(l.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated
+FROM folded f LEFT JOIN hits h USING (doc_id) LEFT JOIN listed l USING (doc_id)
+"""
+
+
+@query("op9_positional_index", sql=INDEX_SQL)
+def _(spark, sf_dir):
+    found = positional_index.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
