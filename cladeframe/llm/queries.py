@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import hamming_dedup, positional_index
+from cladeframe.llm import byte_bpe, hamming_dedup, positional_index
 from cladeframe.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +81,11 @@ def _(spark, sf_dir):
     found = positional_index.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query("op5_byte_bpe")
+def _(spark, sf_dir):
+    return byte_bpe.round_trip(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
