@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import byte_bpe, hamming_dedup, positional_index
+from cladeframe.llm import byte_bpe, hamming_dedup, positional_index, secret_markov
 from cladeframe.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,14 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 @query("op5_byte_bpe")
 def _(spark, sf_dir):
     return byte_bpe.round_trip(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
+
+
+@query("op7_secret_markov")
+def _(spark, sf_dir):
+    found = secret_markov.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", *(count(k).alias(f"n_{name}") for k, (name, *_) in enumerate(secret_markov.RULES)),
+        F.sha2(secret_markov.shown(F.col("spans"), base_only=True).cast("binary"), 256).alias("base_sha256"),
+        secret_markov.shown(F.col("spans")).alias("spans"),
+    )
