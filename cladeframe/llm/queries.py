@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import byte_bpe, hamming_dedup, positional_index, secret_markov
-from cladeframe.llm.common import documents
+from cladeframe.llm import byte_bpe, hamming_dedup, language_ftrl, positional_index, secret_markov
+from cladeframe.llm.common import documents, id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,15 @@ def _(spark, sf_dir):
         F.sha2(secret_markov.shown(F.col("spans"), base_only=True).cast("binary"), 256).alias("base_sha256"),
         secret_markov.shown(F.col("spans")).alias("spans"),
     )
+
+
+def language_model(docs: DataFrame) -> language_ftrl.Model | None:
+    return language_ftrl.fit(docs.filter(id_remainder(F.col("doc_id"), 4) != 2))
+
+
+@query("op8_language_ftrl")
+def _(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    found = language_ftrl.identify(docs, language_model(docs))
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
