@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import byte_bpe, hamming_dedup, language_ftrl, positional_index, secret_markov
+from cladeframe.llm import byte_bpe, hamming_dedup, label_shards, language_ftrl, positional_index, repetition, secret_markov, toxicity_gbt
 from cladeframe.llm.common import documents, id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,21 @@ def _(spark, sf_dir):
     found = language_ftrl.identify(docs, language_model(docs))
     held_out = F.coalesce(id_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_repetition")
+def _(spark, sf_dir):
+    return repetition.rules(documents(spark, sf_dir))
+
+
+@query("op4_label_shards")
+def _(spark, sf_dir):
+    return label_shards.assign(documents(spark, sf_dir))
+
+
+@query("op10_toxicity_gbt")
+def _(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity_gbt.score(documents(spark, sf_dir), labels, "crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0")
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
