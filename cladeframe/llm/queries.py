@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import byte_bpe, hamming_dedup, label_shards, language_ftrl, positional_index, repetition, secret_markov, toxicity_gbt
+from cladeframe.llm import byte_bpe, hamming_dedup, label_shards, language_ftrl, positional_index, repetition, secret_markov, suffix_tree_lm, toxicity_gbt
 from cladeframe.llm.common import documents, id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,12 @@ def _(spark, sf_dir):
     scored = toxicity_gbt.score(documents(spark, sf_dir), labels, "crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0")
     held_out = F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op6_suffix_tree_lm")
+def _(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    # a null id has no remainder: its text is scored, not learned from
+    scored = suffix_tree_lm.score(docs, docs.filter(id_remainder(F.col("doc_id"), 10) != 0))
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 10) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
