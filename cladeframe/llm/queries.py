@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import byte_bpe, hamming_dedup, label_shards, language_ftrl, positional_index, repetition, secret_markov, suffix_tree_lm, toxicity_gbt
+from cladeframe.llm import byte_bpe, hamming_dedup, label_shards, language_ftrl, positional_index, repetition, secret_markov, suffix_tree_lm, token_trees, toxicity_gbt
 from cladeframe.llm.common import documents, id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,14 @@ def _(spark, sf_dir):
     scored = suffix_tree_lm.score(docs, docs.filter(id_remainder(F.col("doc_id"), 10) != 0))
     held_out = F.coalesce(id_remainder(F.col("doc_id"), 10) == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+#: The edits of the counting query: addresses and long numbers are masked.
+MASKED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+|[0-9]{5,}"
+
+
+@query("op1_token_trees")
+def _(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    edited = docs.withColumn("edits", token_trees.masking_edits(F.col("text"), MASKED, "<masked>"))
+    return token_trees.recount(edited, RANKS, public_tokenizers.PATTERN)

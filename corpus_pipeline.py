@@ -1,6 +1,91 @@
+"""A corpus pipeline: language, near copies, benchmark passages, secrets, tokens.
+
+``STAGES`` lists ``(name, function)``; each function takes ``(spark, docs, sf_dir)`` and
+returns the documents that go on, or, the last, what was encoded.  ``run`` writes each
+stage's result as Parquet to the folder that the cluster shares and reads it back as the
+next one's documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cladeframe.llm import byte_bpe, hamming_dedup, language_ftrl, positional_index, secret_markov
+from cladeframe.llm.common import Scratch, documents, id_remainder
+
+#: Below this score a language is rejected.
+LEAST_SCORE = 0.5
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``verdicts``, or is null; the columns stay as they are.
+
+    A null doc_id names no document that a stage could decide on by id, so it goes on.
+    """
+    known = docs.join(verdicts.select("doc_id").distinct(), "doc_id", "left_semi")
+    return known.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known with some certainty; ``und`` and doubtful ones go.
+
+    The model learns from the rows of ``docs`` whose id's remainder modulo 4 is not 2.  A
+    document whose rows repeat its id with other texts goes only if all of them do.  Without
+    any row with a lang there is no model to reject by, and every text with a letter stays.
+    """
+    model = language_ftrl.fit(docs.filter(id_remainder(F.col("doc_id"), 4) != 2))
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = language_ftrl.identify(docs, model)
+    sure = found.filter((F.col("lang_pred") != language_ftrl.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return _kept(docs, sure)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest id, of each group of near copies."""
+    return _kept(docs, hamming_dedup.near_duplicates(docs).filter("kept"))
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    found = positional_index.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _kept(docs, found.filter("NOT contaminated"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with ``<secret>`` in the place of every secret and n_chars of the new text."""
+    found = secret_markov.scan(docs, into="_secret_spans")
+    clean = found.withColumn("text", secret_markov.redacted(F.col("text"), F.col("_secret_spans")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed = F.char_length("text").cast(kind)
+        clean = clean.withColumn("n_chars", F.when(F.size("_secret_spans") > 0, changed).otherwise(F.col("n_chars")))
+    return clean.select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document that is left."""
+    return byte_bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language_id", languages),
+    ("near_dedup", near_copies),
+    ("decontamination", benchmark_passages),
+    ("secret_scan", secrets),
+    ("byte_bpe", tokens),
+]
+
+#: Fitted models and merges have no SQL form; the tests hold the stages against plain versions.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
