@@ -470,52 +470,118 @@ def log_odds_scores(
     return out
 
 
-def log_odds_trace(
+class _LogOddsRows:
+    """Rows of the log-odds lattice for several queries on one profile, one query a lane.
+
+    A row holds, for every column boundary, the best score of a path that ends there in a
+    match, in a skipped column, or in an inserted residue.  With each row come the choices
+    that led to it, one byte a cell: bits 0-1 the state before a match (0 match, 1
+    insertion, 2 skip; the first of equals), bit 2 an insertion that goes on, bit 3 a skip
+    that goes on.
+    """
+
+    def __init__(self, match_lo, residue_lo, gap_lo, delta: float, epsilon: float) -> None:
+        self.match_lo, self.residue_lo, self.gap_lo = match_lo, residue_lo[:, None], gap_lo[:, None]
+        self.n_col = match_lo.shape[0]
+        self.open, self.extend = np.log(delta), np.log(epsilon)
+        self.ramp = (np.arange(self.n_col + 1) * self.extend)[:, None]
+
+    def first(self, lanes: int) -> np.ndarray:
+        row = np.full((3, self.n_col + 1, lanes), -np.inf)
+        row[0], row[1, 0], row[2, 1:] = 0.0, 0.0, 0.0
+        return row
+
+    def after(self, row: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next row and its choices."""
+        match, inserted, skipped = row
+        new = np.empty_like(row)
+        choice = np.zeros(match.shape, dtype=np.uint8)
+        before = np.stack([match[:-1] + self.residue_lo, inserted[:-1] + self.gap_lo, skipped[:-1] + self.gap_lo])
+        choice[1:] = before.argmax(axis=0)
+        new[0, 0] = 0.0
+        new[0, 1:] = before.max(axis=0) + self.match_lo[:, symbols]
+        opened, extended = match + self.open, inserted + self.extend
+        new[1] = np.maximum(opened, extended)
+        choice |= (opened < extended).astype(np.uint8) << 2
+        new[1, 0] = 0.0
+        new[2, 0] = -np.inf
+        new[2, 1:] = np.maximum.accumulate(new[0, :-1] + self.open - self.ramp[1:], axis=0) + self.ramp[1:]
+        going_on = new[0, :-1] + self.open < new[2, :-1] + self.extend
+        choice[1:] |= going_on.astype(np.uint8) << 3
+        return new, choice
+
+
+#: By state: residues and columns that one step back leaves behind, and its operation.
+_STEP_ROWS = np.array([1, 1, 0])
+_STEP_COLUMNS = np.array([1, 0, 1])
+_STEP_OPS = np.frombuffer(b"021", dtype=np.uint8)
+
+
+def log_odds_traces(
     match_lo: np.ndarray,
     residue_lo: np.ndarray,
     gap_lo: np.ndarray,
-    query: np.ndarray,
+    queries: list[np.ndarray],
     delta: float,
     epsilon: float,
-) -> tuple[float, bytes]:
-    """Score and forward operations of one query on one profile (columns, symbols)."""
-    n_col, n = match_lo.shape[0], query.size
-    log_d, log_e = np.log(delta), np.log(epsilon)
-    m = np.zeros((n + 1, n_col + 1))
-    d = np.full((n + 1, n_col + 1), -np.inf)
-    ins = np.full((n + 1, n_col + 1), -np.inf)
-    d[0, 1:] = 0.0
-    ins[:, 0] = 0.0
-    ramp = np.arange(n_col + 1) * log_e
-    for i in range(1, n + 1):
-        before = np.maximum(
-            m[i - 1, :-1] + residue_lo, np.maximum(d[i - 1, :-1], ins[i - 1, :-1]) + gap_lo
-        )
-        m[i, 1:] = before + match_lo[:, query[i - 1]]
-        ins[i, 1:] = np.maximum(m[i - 1, 1:] + log_d, ins[i - 1, 1:] + log_e)
-        d[i, 1:] = np.maximum.accumulate(m[i, :-1] + log_d - ramp[1:]) + ramp[1:]
-    start = min(n, n_col)
-    j = start + int(np.argmax(m[n, start:]))
-    score, i = float(m[n, j]), n
-    ops = ["1"] * (n_col - j)
-    where = "m"
-    while i > 0 and j > 0:
-        if where == "d":
-            ops.append("1")
-            j -= 1
-            where = "d" if m[i, j] + log_d < d[i, j] + log_e else "m"
-        elif where == "i":
-            ops.append("2")
-            i -= 1
-            where = "i" if m[i, j] + log_d < ins[i, j] + log_e else "m"
-        else:
-            ops.append("0")
-            i, j = i - 1, j - 1
-            on, off, skip = m[i, j] + residue_lo[j], ins[i, j] + gap_lo[j], d[i, j] + gap_lo[j]
-            best = max(on, off)
-            where = "d" if best < skip else ("i" if on < off else "m")
-    ops += ["1"] * j + ["2"] * i
-    return score, "".join(reversed(ops)).encode()
+) -> tuple[np.ndarray, list[bytes]]:
+    """Scores and forward operations of several queries on one profile (columns, symbols).
+
+    About sqrt(length) rows are kept; the walk back makes the choices of one stretch of rows
+    at a time from the kept row above it, and all queries of a batch walk together.
+    """
+    n_col = match_lo.shape[0]
+    rows = _LogOddsRows(match_lo, residue_lo, gap_lo, delta, epsilon)
+    lens = np.array([q.size for q in queries], dtype=np.int64)
+    scores, out = np.empty(len(queries)), [b""] * len(queries)
+    order = np.argsort(lens, kind="stable")
+    lanes = max(1, LANES // (n_col + 1))
+    for lo in range(0, len(order), lanes):
+        pick = order[lo : lo + lanes]
+        blen = lens[pick]
+        longest = int(blen.max(initial=0))
+        sym = _pad([queries[k] for k in pick], longest, 0)
+        stretch = max(1, int(np.sqrt(longest)))
+        row, kept = rows.first(pick.size), {}
+        end = np.zeros(pick.size, dtype=np.int64)
+        for i in range(longest + 1):
+            if i % stretch == 0:
+                kept[i] = row
+            for k in np.flatnonzero(blen == i):
+                tail = row[0, min(i, n_col) :, k]
+                end[k] = min(i, n_col) + tail.argmax()
+                scores[pick[k]] = tail.max()
+            if i < longest:
+                row, _ = rows.after(row, sym[:, i])
+        left, column, state = blen.copy(), end.copy(), np.zeros(pick.size, dtype=np.int64)
+        walked: list[np.ndarray] = []
+        lane = np.arange(pick.size)
+        for top in sorted(kept, reverse=True):
+            row, choices = kept[top], []
+            for i in range(top, min(top + stretch, longest)):
+                row, choice = rows.after(row, sym[:, i])
+                choices.append(choice)
+            choices = np.stack(choices) if choices else None
+            while True:
+                on = (left > top) & (column > 0)
+                if not on.any():
+                    break
+                k = lane[on]
+                cell = choices[left[k] - top - 1, column[k], k]
+                here = state[k]
+                op = np.zeros(pick.size, dtype=np.uint8)
+                op[k] = _STEP_OPS[here]
+                walked.append(op)
+                left[k] -= _STEP_ROWS[here]
+                column[k] -= _STEP_COLUMNS[here]
+                goes_on = np.where(here == 1, cell & 4, cell & 8) > 0
+                state[k] = np.where(here == 0, cell & 3, np.where(goes_on, here, 0))
+        path = np.array(walked, dtype=np.uint8).reshape(-1, pick.size)[::-1]
+        for k, q in enumerate(pick):
+            steps = path[:, k]
+            head = b"2" * int(left[k]) + b"1" * int(column[k])
+            out[q] = head + steps[steps > 0].tobytes() + b"1" * int(n_col - end[k])
+    return scores, out
 
 
 def penalty_scores(

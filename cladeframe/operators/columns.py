@@ -215,7 +215,7 @@ def cut_all_partitions(msa: DataFrame, parts: DataFrame) -> DataFrame:
     )
 
 
-def merge_by_prefix(msa: DataFrame, prefix: str, sep: str = ".", first_input: str | None = None) -> DataFrame:
+def merge_by_prefix(msa: DataFrame, prefix: str, first_input: str, sep: str = ".") -> DataFrame:
     """Merge rows whose names share ``prefix...`` up to ``sep``; others pass through once.
 
     Rows are folded by (group, column), so a group of any size is merged with map-side
@@ -261,8 +261,7 @@ def merge_by_prefix(msa: DataFrame, prefix: str, sep: str = ".", first_input: st
         msa.filter(is_pref).select(group.alias("name")).distinct().join(merged.select("name"), "name", "left_anti")
     ).withColumn("_w", width).select("name", F.expr("repeat('-', _w)").alias("seq"))
     rest = msa.filter(~is_pref)
-    order = F.col(first_input) if first_input else F.lit(0)
-    rest = rest.groupBy("name").agg(F.min_by("seq", order).alias("seq"))
+    rest = rest.groupBy("name").agg(F.min_by("seq", F.col(first_input)).alias("seq"))
     return rest.unionByName(merged).unionByName(all_gap)
 
 

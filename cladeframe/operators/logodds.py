@@ -19,13 +19,15 @@ from cladeframe.functions import residues as R
 from cladeframe.functions.gapmodel import LOG_ODDS_FLOOR
 from cladeframe.operators import profiles as P
 from cladeframe.operators.columns import base_frequencies, gap_frequency
-from cladeframe.operators.place import BROADCAST_BYTES, CHUNK_RESIDUES, _batches, _symbols, spread_by_work
+from cladeframe.operators.place import BROADCAST_BYTES, _batches, _symbols, body_schema, by_own_profile, in_blocks, spread
 
 # Gap opening and extension, the background gap frequency, the score tie width.
 DELTA, EPSILON = 1e-4, 1e-3
 BACKGROUND_GAP = 0.715
 TIE = 1e-4
 NODE_BLOCK = 64
+#: Of one node and column: four base scores, two weights, and the table they are made from.
+NODE_CELL_BYTES = 96
 
 
 def node_gap_probs(msa: DataFrame, nodes: DataFrame, edges: DataFrame, root: int) -> DataFrame:
@@ -85,11 +87,10 @@ def _acgt(batch: dict) -> list[np.ndarray]:
     return _symbols(batch["seq"], R.DNA4)
 
 
-def _first_within(score: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best score per row and the first id whose score ties with it."""
-    best = score.max(axis=1)
-    first = (score > best[:, None] - TIE).argmax(axis=1)
-    return best, ids[first]
+def _within(score: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, id and score of every entry that ties with its row's best."""
+    row, col = np.nonzero(score > score.max(axis=1, keepdims=True) - TIE)
+    return row, ids[col], score[row, col]
 
 
 def best_node(
@@ -104,14 +105,14 @@ def best_node(
 ) -> DataFrame:
     """``(seq_id, node_id, score)``: highest log-odds, ties within 1e-4 to the smallest node.
 
-    Profiles within the byte limit are broadcast and queries stay in place; otherwise
-    both are blocked as in ``place`` and a query carries one best node per block to
-    the final merge.
+    Queries stay in place and meet one broadcast block of profiles at a time.  A block
+    offers every node that ties with its own best, with that node's score, so that the
+    merge sees whatever may tie with the best of all.
     """
-    shape = profiles.agg(F.count("*").alias("n"), F.max(F.size("gap")).alias("w")).first()
+    n, w = _shape(profiles)
     bg = np.asarray(background, dtype=float)
     schema = "seq_id long, node_id int, score double"
-    queries = spread_by_work(queries.select("seq_id", "seq"), 8 * int(shape["n"]) * int(shape["w"]))
+    queries = spread(queries.select("seq_id", "seq"))
 
     def body(rows: dict, prof: _Nodes) -> pa.Table:
         syms = _acgt(rows)
@@ -121,46 +122,29 @@ def best_node(
             score[:, s] = K.log_odds_scores(
                 prof.match[:, :, s], prof.residue[:, s], prof.gap[:, s], syms, delta, epsilon, path
             )
-        best, node = _first_within(score, prof.node_id)
+        row, node, value = _within(score, prof.node_id)
         return pa.table(
             {
-                "seq_id": pa.array(np.asarray(rows["seq_id"], dtype=np.int64)),
+                "seq_id": pa.array(np.asarray(rows["seq_id"], dtype=np.int64)[row]),
                 "node_id": pa.array(node.astype(np.int32)),
-                "score": pa.array(best),
+                "score": pa.array(value),
             }
         )
 
-    if shape["n"] * shape["w"] * 48 <= broadcast_bytes:
-        held = queries.sparkSession.sparkContext.broadcast(_Nodes(profiles.toArrow(), bg, gap_freq))
-
-        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rb in batches:
-                for rows in _batches(pa.Table.from_batches([rb])):
-                    yield from body(rows, held.value).to_batches()
-
-        return queries.mapInArrow(stream, schema)
-
-    n_blocks = int(-(-shape["n"] // NODE_BLOCK))
-    total = queries.agg(F.sum(F.length("seq"))).first()[0] or 0
-    n_chunks = max(1, -(-int(total) // CHUNK_RESIDUES))
-    left = queries.withColumn("chunk", F.pmod(F.xxhash64("seq_id"), F.lit(n_chunks)).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    )
-    right = profiles.withColumn("block", F.pmod(F.hash("node_id"), F.lit(n_blocks))).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))
+    offers = in_blocks(
+        queries, profiles, "node_id", n * w * NODE_CELL_BYTES, broadcast_bytes, lambda t: _Nodes(t, bg, gap_freq), body, schema
     )
+    best = offers.groupBy("seq_id").agg(F.max("score").alias("best"))
+    tied = offers.join(best, "seq_id").filter(F.col("score") > F.col("best") - TIE)
+    return tied.groupBy("seq_id").agg(F.min("node_id").alias("node_id"), F.max("best").alias("score"))
 
-    def cell(q: pa.Table, p: pa.Table) -> pa.Table:
-        if q.num_rows == 0 or p.num_rows == 0:
-            return pa.table({"seq_id": pa.array([], pa.int64()), "node_id": pa.array([], pa.int32()), "score": pa.array([], pa.float64())})
-        prof = _Nodes(p, bg, gap_freq)
-        return pa.concat_tables([body(rows, prof) for rows in _batches(q)])
 
-    part = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInArrow(cell, schema)
-    offers = F.collect_list(F.struct("node_id", "score"))  # one per profile block
-    merged = part.groupBy("seq_id").agg(F.max("score").alias("score"), offers.alias("o"))
-    tied = F.filter("o", lambda x: x["score"] > F.col("score") - TIE)
-    return merged.select("seq_id", F.array_min(F.transform(tied, lambda x: x["node_id"])).alias("node_id"), "score")
+def _shape(profiles: DataFrame) -> tuple[int, int]:
+    """(nodes, columns); an error if there are none."""
+    r = profiles.agg(F.count("*").alias("n"), F.max(F.size("gap")).alias("w")).first()
+    if not r["n"]:
+        raise ValueError("no profiles")
+    return int(r["n"]), int(r["w"])
 
 
 def trace_nodes(
@@ -173,38 +157,35 @@ def trace_nodes(
 ) -> DataFrame:
     """``(seq_id, node_id, score, ops)`` for ``placed(seq_id, seq, node_id)``.
 
-    Each query meets only its node: a cogroup on (node, chunk), the chunk splitting the
-    queries of a popular node.
+    Each query meets only its node; the queries of a popular node are split by a salt.  A
+    node without a profile is an error.
     """
     bg = np.asarray(background, dtype=float)
-    total = placed.agg(F.sum(F.length("seq"))).first()[0] or 0
-    n_chunks = max(1, min(1 << 20, -(-int(total) // (CHUNK_RESIDUES // 16))))
-    left = placed.select("seq_id", "seq", "node_id").withColumn(
-        "chunk", F.pmod(F.xxhash64("seq_id"), F.lit(n_chunks)).cast("int")
-    )
-    right = profiles.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
+    _shape(profiles)
     schema = "seq_id long, node_id int, score double, ops string"
 
     def cell(q: pa.Table, p: pa.Table) -> pa.Table:
-        ids, scores, ops = [], [], []
-        node = None
-        if q.num_rows and p.num_rows:
-            prof = _Nodes(p, bg, gap_freq)
-            node = int(prof.node_id[0])
-            rows = q.to_pydict()
-            for seq_id, sym in zip(rows["seq_id"], _acgt(rows)):
-                s, o = K.log_odds_trace(prof.match[:, :, 0], prof.residue[:, 0], prof.gap[:, 0], sym, delta, epsilon)
-                ids.append(seq_id), scores.append(s), ops.append(o.decode())
-        return pa.table(
-            {
-                "seq_id": pa.array(ids, pa.int64()),
-                "node_id": pa.array([node] * len(ids), pa.int32()),
-                "score": pa.array(scores, pa.float64()),
-                "ops": pa.array(ops, pa.string()),
-            }
-        )
+        if q.num_rows and not p.num_rows:
+            raise ValueError(f"no profile for node {q.column('node_id')[0]}")
+        found = [pa.table({f.name: pa.array([], f.type) for f in body_schema(schema)})]
+        prof = _Nodes(p, bg, gap_freq) if q.num_rows else None
+        for rows in _batches(q):
+            score, ops = K.log_odds_traces(
+                prof.match[:, :, 0], prof.residue[:, 0], prof.gap[:, 0], _acgt(rows), delta, epsilon
+            )
+            found.append(
+                pa.table(
+                    {
+                        "seq_id": pa.array(rows["seq_id"], pa.int64()),
+                        "node_id": pa.array(rows["node_id"], pa.int32()),
+                        "score": pa.array(score),
+                        "ops": pa.array([o.decode() for o in ops], pa.string()),
+                    }
+                )
+            )
+        return pa.concat_tables(found)
 
-    return left.groupBy("node_id", "chunk").cogroup(right.groupBy("node_id", "chunk")).applyInArrow(cell, schema)
+    return by_own_profile(placed.select("seq_id", "seq", "node_id"), profiles, "node_id", cell, schema)
 
 
 def background_frequencies(msa: DataFrame) -> list[float]:

@@ -13,17 +13,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions import kernels as K
 from cladeframe.functions import residues as R
-from cladeframe.operators.place import spread_by_work
+from cladeframe.operators.place import spread
+from cladeframe.session import cut_lineage
 
 BLOCK_WEIGHT = 1 << 16  # residues or samples per block
 PRIMER_BYTES = 1 << 20
 PROFILES_PER_PASS = 32
-PRIMER_STEP_CELLS = 20  # narrow profiles: a step costs about as much as this many cells
 
 # Gap costs and weights of the distance and primer jobs.
 GAP_OPEN, GAP_EXTEND = -5, -2
@@ -34,7 +35,8 @@ PAIR_MATCH, PAIR_MISMATCH = 3, 0
 
 
 def _n_blocks(rows: DataFrame, weight: Column, block: int) -> int:
-    r = rows.agg(F.sum(weight).alias("w"), F.count("*").alias("n")).first()
+    # a row costs one besides its residues, so that empty ones fill blocks too
+    r = rows.agg(F.sum(weight + 1).alias("w"), F.count("*").alias("n")).first()
     return int(max(1, -(-int(r["w"] or 0) // block), min(8, r["n"])))
 
 
@@ -66,22 +68,16 @@ def _cells(
         if a.num_rows == 0 or b.num_rows == 0:
             empty = pa.array([], kinds[key_type])
             return pa.table({"i": empty, "j": empty, "value": pa.array([], kinds[value_type])})
-        values = body(a, b)
-        i = np.array(a.column("i").to_pylist(), dtype=object).repeat(b.num_rows)
-        j = np.tile(np.array(b.column("i").to_pylist(), dtype=object), a.num_rows)
-        flat = values.ravel()
-        if half:
-            same = a.column("bi")[0].as_py() == a.column("bj")[0].as_py()
-            lo, hi = np.where(i <= j, i, j), np.where(i <= j, j, i)
-            keep = (i <= j) if same else np.ones(flat.size, dtype=bool)
-            i, j, flat = lo[keep], hi[keep], flat[keep]
-        return pa.table(
-            {
-                "i": pa.array(i.tolist(), kinds[key_type]),
-                "j": pa.array(j.tolist(), kinds[key_type]),
-                "value": pa.array(flat, kinds[value_type]),
-            }
-        )
+        flat = pa.array(body(a, b).ravel(), kinds[value_type])
+        i = a.column("i").take(pa.array(np.repeat(np.arange(a.num_rows), b.num_rows)))
+        j = b.column("i").take(pa.array(np.tile(np.arange(b.num_rows), a.num_rows)))
+        out = pa.table({"i": i, "j": j, "value": flat})
+        if not half:
+            return out
+        forward = pc.less_equal(i, j)
+        if a.column("bi")[0] == a.column("bj")[0]:
+            return out.filter(forward)
+        return pa.table({"i": pc.if_else(forward, i, j), "j": pc.if_else(forward, j, i), "value": flat})
 
     return (
         one.groupBy("bi", "bj")
@@ -91,8 +87,13 @@ def _cells(
 
 
 def matrix_array(matrix: DataFrame) -> tuple[str, np.ndarray]:
-    """A scoring matrix ``(a, b, score)`` as symbols and a dense array (symbols squared)."""
-    rows = matrix.toPandas()
+    """A scoring matrix ``(a, b, score)`` as symbols and a dense array (symbols squared).
+
+    Symbols are bytes, so a matrix has at most 65,536 rows; more are an error.
+    """
+    rows = matrix.limit(65_537).toPandas()
+    if len(rows) > 65_536:
+        raise ValueError("a scoring matrix has at most 65,536 rows")
     symbols = "".join(sorted(set(rows["a"])))
     at = {c: k for k, c in enumerate(symbols)}
     out = np.zeros((len(symbols), len(symbols)), dtype=np.int64)
@@ -180,17 +181,17 @@ def closest_pair(distances: DataFrame) -> DataFrame:
 def length_order(seqs: DataFrame) -> DataFrame:
     """``(i, length, rank)`` by (length, i), ranked without one global sort task.
 
-    Rows are counted per length first; a window over the few distinct lengths gives the
-    offsets and a window within (length, hash range) the rest.
+    Rows are dealt out by ranges of (length, i), so one length may fill many partitions;
+    a window ranks each range, and the ranges' counts give the offsets.
     """
     rows = seqs.select("i", F.length("seq").alias("length"))
-    sizes = rows.groupBy("length").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("length").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("length", F.coalesce(before, F.lit(0)).alias("_off"))
-    w = Window.partitionBy("length").orderBy("i")
-    return rows.join(offsets, "length").select(
-        "i", "length", (F.col("_off") + F.row_number().over(w) - 1).alias("rank")
+    dealt = cut_lineage(rows.repartitionByRange("length", "i").withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("_part").agg(F.count("*").alias("n")).select(
+        "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_off")
     )
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("length", "i"))
+    return dealt.join(F.broadcast(offsets), "_part").select("i", "length", (F.col("_off") + inside - 1).alias("rank"))
 
 
 def primer_scores(
@@ -213,7 +214,7 @@ def primer_scores(
     dense = np.full((len(symbols) + 1, len(symbols) + 1), mismatch, dtype=np.int64)
     dense[np.arange(len(symbols)), np.arange(len(symbols))] = match
     sc = seqs.sparkSession.sparkContext
-    seqs = spread_by_work(seqs.select("seq_id", "seq"), int(size) * PRIMER_STEP_CELLS)
+    seqs = spread(seqs.select("seq_id", "seq"))
     out = None
     for part in range(n_parts):
         piece = primers.filter(F.pmod(F.xxhash64("primer_id"), F.lit(n_parts)) == part).toPandas()

@@ -2,22 +2,20 @@
 
 Every query must meet every profile, so the question is only which side moves.
 
-* Profiles within ``BROADCAST_BYTES`` (measured first) go to the tasks as a broadcast
-  and the queries are scored where they are: no shuffle of the large side.
-* Beyond that both sides are blocked: a query chunk is copied to each profile
-  block and a profile block to each query chunk, and one task gets one cell of the grid
-  through a cogroup on the cell key.  Data copied is |Q| x blocks + |P| x chunks,
-  each cell is bounded on both sides, and a cell returns its own best edges only,
-  so the final aggregate is small.
-
-Query chunks are hashes of the unique ``seq_id``: no key can be hot.  Tracing uses
-the same two routes; there the chunk also splits the queries of a popular edge.
+* For scoring, queries stay where they are.  Profiles go to the tasks as a broadcast of at
+  most ``BROADCAST_BYTES``; more profiles are cut into blocks of that size, each block makes
+  one pass over the queries, and every pass gives its own best edges to one small merge.
+  Neither side is copied over a grid and query text is not shuffled.
+* For tracing, a query needs its own edge alone: within the byte limit the profiles are
+  broadcast, beyond it both sides are joined on (edge, salt), where only edges with more
+  than ``SALT_QUERIES`` queries have more than one salt.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,9 +27,8 @@ from cladeframe.functions import kernels as K
 from cladeframe.functions import residues as R
 
 BROADCAST_BYTES = 48 << 20
-BLOCK_CELLS = 1 << 22  # profile columns x edges in one block
-CHUNK_RESIDUES = 1 << 22  # query residues in one chunk
-TASK_CELLS = 4 << 30  # score cells per task when spreading queries
+PROFILE_CELL_BYTES = 5  # state and flag of one profile column
+SALT_QUERIES = 20_000  # queries of one edge in one tracing task
 
 
 @dataclass(frozen=True)
@@ -93,13 +90,16 @@ def clean_queries(queries: DataFrame, alpha: str | R.Alphabet = R.DNA, strict: b
     return queries.withColumn("seq", R.query_residues(F.col("seq"), alpha, strict))
 
 
-def spread_by_work(queries: DataFrame, cells_per_residue: int) -> DataFrame:
-    """Enough partitions for the arithmetic: a scan split holds far more work than bytes."""
+def spread(queries: DataFrame) -> DataFrame:
+    """Queries in place where the scan has enough splits, else dealt out over the cores.
+
+    The estimate is the plan's own, from file sizes; nothing is read for it.
+    """
     spark = queries.sparkSession
-    total = queries.agg(F.sum(F.length("seq"))).first()[0] or 0
     cores = spark.sparkContext.defaultParallelism
-    wanted = max(-(-int(total) * cells_per_residue // TASK_CELLS), min(4 * cores, total // 2000 + 1))
-    return queries.repartition(int(min(wanted, 1_000_000)), "seq_id")
+    size = int(str(queries._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return queries if size // split >= 4 * cores else queries.repartition(4 * cores, "seq_id")
 
 
 def _symbols(seqs, alpha: R.Alphabet) -> list[np.ndarray]:
@@ -149,7 +149,11 @@ def _trace_rows(batch: dict, prof: ProfileSet, alpha: R.Alphabet, sp: Scores) ->
     """Score and operations of each query on the edge it names; skips outside its range."""
     syms = _symbols(batch["seq"], alpha)
     states = alpha.state_table()
-    col = np.searchsorted(prof.edge_id, np.asarray(batch["edge_id"]))
+    wanted = np.asarray(batch["edge_id"])
+    col = np.minimum(np.searchsorted(prof.edge_id, wanted), prof.edge_id.size - 1)
+    missing = prof.edge_id[col] != wanted
+    if missing.any():
+        raise ValueError(f"no profile for edge {wanted[missing][0]}")
     score = np.empty(len(syms), dtype=np.int64)
     ops: list[str] = [""] * len(syms)
     n_cols = prof.state.shape[0]
@@ -181,60 +185,38 @@ def _batches(table: pa.Table, residues: int = 1 << 19) -> Iterator[dict]:
         yield table.slice(int(a), int(b - a)).to_pydict()
 
 
-def _run(
-    queries: DataFrame,
-    profiles: DataFrame,
-    body: Callable[[dict, ProfileSet], pa.Table],
-    schema: str,
-    own_edge: bool,
-    spread: bool,
-    broadcast_bytes: int,
+def in_blocks(
+    queries: DataFrame, profiles: DataFrame, key: str, size: int, broadcast_bytes: int, load: Callable, body: Callable, schema: str
 ) -> DataFrame:
-    n_edges, n_cols = profile_shape(profiles)
-    if n_edges == 0:
-        raise ValueError("no profiles")
-    if spread and not queries.isStreaming:
-        queries = spread_by_work(queries, n_cols * (1 if own_edge else n_edges))
-    if n_edges * n_cols * 5 <= broadcast_bytes:
-        held = queries.sparkSession.sparkContext.broadcast(
-            ProfileSet.of(profiles.select("edge_id", "state", "aux").toArrow())
-        )
+    """Union of ``body(rows, block)`` over queries in place and blocks of profiles under the byte limit.
+
+    Only one block at a time passes through the driver.
+    """
+    n_blocks = max(1, -(-size // max(1, broadcast_bytes)))
+    sc = queries.sparkSession.sparkContext
 
+    def one(held) -> Callable:
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rb in batches:
                 for rows in _batches(pa.Table.from_batches([rb])):
                     yield from body(rows, held.value).to_batches()
 
-        return queries.mapInArrow(stream, schema)
-    return _grid(queries, profiles, body, schema, own_edge, n_edges, n_cols)
+        return stream
 
+    parts = []
+    for k in range(n_blocks):
+        table = profiles.filter(F.pmod(F.xxhash64(key), F.lit(n_blocks)) == k).toArrow()
+        if table.num_rows:
+            parts.append(queries.mapInArrow(one(sc.broadcast(load(table))), schema))
+    return reduce(DataFrame.union, parts)
 
-def _grid(queries, profiles, body, schema, own_edge, n_edges, n_cols) -> DataFrame:
-    per_block = max(1, BLOCK_CELLS // max(1, n_cols))
-    n_blocks = -(-n_edges // per_block)
-    total = queries.agg(F.sum(F.length("seq"))).first()[0] or 0
-    n_chunks = max(1, -(-int(total) // CHUNK_RESIDUES))
-    # edge ids may have holes: blocks go by rank, and the query side finds its block by edge
-    ranked = profiles.select(
-        "edge_id", "state", "aux", F.pmod(F.hash("edge_id"), F.lit(n_blocks)).alias("block")
-    )
-    cells = ranked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
-    chunked = queries.withColumn("chunk", F.pmod(F.xxhash64("seq_id"), F.lit(n_chunks)).cast("int"))
-    if own_edge:
-        chunked = chunked.withColumn("block", F.pmod(F.hash("edge_id"), F.lit(n_blocks)))
-    else:
-        chunked = chunked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    empty = pa.table({f.name: pa.array([], f.type) for f in body_schema(schema)})
 
-    def cell(q: pa.Table, p: pa.Table) -> pa.Table:
-        if q.num_rows == 0 or p.num_rows == 0:
-            return empty
-        prof = ProfileSet.of(p)
-        return pa.concat_tables([body(rows, prof) for rows in _batches(q)])
-
-    return (
-        chunked.groupBy("chunk", "block").cogroup(cells.groupBy("chunk", "block")).applyInArrow(cell, schema)
-    )
+def by_own_profile(placed: DataFrame, profiles: DataFrame, key: str, cell: Callable, schema: str) -> DataFrame:
+    """``cell(queries, profile)`` for the queries of each profile, popular ones split by a salt."""
+    salts = placed.groupBy(key).agg(F.ceil(F.count("*") / F.lit(SALT_QUERIES)).cast("int").alias("_n"))
+    left = placed.join(salts, key).withColumn("_salt", F.pmod(F.xxhash64("seq_id"), F.col("_n")).cast("int")).drop("_n")
+    right = profiles.join(salts, key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    return left.groupBy(key, "_salt").cogroup(right.groupBy(key, "_salt")).applyInArrow(cell, schema)
 
 
 def body_schema(ddl: str) -> pa.Schema:
@@ -248,7 +230,7 @@ def top_edges(
     k: int = 1,
     scores: Scores = Scores(),
     alpha: str | R.Alphabet = R.DNA,
-    spread: bool = True,
+    spread_queries: bool = True,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``(seq_id, edge_id, score, rank)``: the k best edges of each query.
@@ -260,14 +242,17 @@ def top_edges(
     """
     a = R.alphabet(alpha)
     cols = ["seq_id", "seq"] + [c for c in ("start", "end") if c in queries.columns]
-    part = _run(
-        queries.select(*cols),
-        profiles,
-        lambda rows, prof: _score_rows(rows, prof, a, scores, k),
-        "seq_id long, edge_id int, score int",
-        False,
-        spread,
-        broadcast_bytes,
+    n_edges, n_cols = profile_shape(profiles)
+    if n_edges == 0:
+        raise ValueError("no profiles")
+    size = n_edges * n_cols * PROFILE_CELL_BYTES
+    if queries.isStreaming and (k > 1 or size > broadcast_bytes):
+        raise ValueError("a stream is placed on its best edge, over profiles of one block")
+    asked = queries.select(*cols)
+    part = in_blocks(
+        spread(asked) if spread_queries and not queries.isStreaming else asked,
+        profiles.select("edge_id", "state", "aux"), "edge_id", size, broadcast_bytes, ProfileSet.of,
+        lambda rows, prof: _score_rows(rows, prof, a, scores, k), "seq_id long, edge_id int, score int",
     )
     if k == 1 and queries.isStreaming:
         return part.withColumn("rank", F.lit(1))
@@ -290,7 +275,7 @@ def trace(
     profiles: DataFrame,
     scores: Scores = Scores(),
     alpha: str | R.Alphabet = R.DNA,
-    spread: bool = True,
+    spread_queries: bool = True,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``(seq_id, edge_id, score, ops)`` for ``placed(seq_id, seq, edge_id[, start, end])``.
@@ -300,15 +285,24 @@ def trace(
     """
     a = R.alphabet(alpha)
     cols = ["seq_id", "seq", "edge_id"] + [c for c in ("start", "end") if c in placed.columns]
-    return _run(
-        placed.select(*cols),
-        profiles,
-        lambda rows, prof: _trace_rows(rows, prof, a, scores),
-        "seq_id long, edge_id int, score int, ops string",
-        True,
-        spread,
-        broadcast_bytes,
-    )
+    n_edges, n_cols = profile_shape(profiles)
+    if n_edges == 0:
+        raise ValueError("no profiles")
+    schema = "seq_id long, edge_id int, score int, ops string"
+    asked, slim = placed.select(*cols), profiles.select("edge_id", "state", "aux")
+    body = lambda rows, prof: _trace_rows(rows, prof, a, scores)
+    size = n_edges * n_cols * PROFILE_CELL_BYTES
+    if size <= broadcast_bytes:
+        asked = spread(asked) if spread_queries and not placed.isStreaming else asked
+        return in_blocks(asked, slim, "edge_id", size, broadcast_bytes, ProfileSet.of, body, schema)
+
+    def cell(q: pa.Table, p: pa.Table) -> pa.Table:
+        if q.num_rows and not p.num_rows:
+            raise ValueError(f"no profile for edge {q.column('edge_id')[0]}")
+        found = [pa.table({f.name: pa.array([], f.type) for f in body_schema(schema)})]
+        return pa.concat_tables(found + [body(rows, ProfileSet.of(p)) for rows in _batches(q)])
+
+    return by_own_profile(asked, slim, "edge_id", cell, schema)
 
 
 def checked_traces(traces: DataFrame, placed: DataFrame) -> DataFrame:

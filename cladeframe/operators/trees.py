@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.operators.columns import AlignmentError
@@ -288,11 +288,9 @@ def generation_cycle(history: DataFrame) -> DataFrame:
     digest = history.groupBy("gen").agg(
         F.sha2(F.array_join(F.array_sort(F.collect_set("split_key")), ","), 256).alias("h")
     )
-    prior = digest.select(F.col("gen").alias("same_as"), "h")
+    earlier = F.lag("gen").over(Window.partitionBy("h").orderBy("gen"))
     return (
-        digest.join(prior, "h")
-        .filter("same_as < gen")
-        .groupBy("gen")
-        .agg(F.max("same_as").alias("same_as"))
+        digest.select("gen", earlier.alias("same_as"))
+        .filter("same_as IS NOT NULL")
         .withColumn("period", F.col("gen") - F.col("same_as"))
     )

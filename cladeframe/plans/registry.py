@@ -687,7 +687,15 @@ def _(spark, sf):
 SELECT 'motu_cluster_' || g.o_custkey AS name, string_agg(CASE WHEN m IS NULL THEN '-' ELSE substr('ACGT', CAST((m - 1) % 4 + 1 AS INTEGER), 1) END, '' ORDER BY g.col) AS seq
 FROM (SELECT o_custkey, unnest(range(0, (y1 - y0 + 1) * 12)) AS col FROM (SELECT DISTINCT o_custkey FROM owner), cal) g LEFT JOIN owner o ON o.o_custkey = g.o_custkey AND o.col = g.col GROUP BY 1""")
 def _(spark, sf):
-    return C.merge_by_prefix(D.gene_rows(spark, sf), "motu_cluster_")
+    return C.merge_by_prefix(D.gene_rows(spark, sf).withColumn("input", F.lit(0)), "motu_cluster_", "input")
+
+
+@query("first_input_rows", "gene_rows",
+       sql="SELECT 'other_' || split_part(substr(name, 14), '.', 1) AS name, arg_min(seq, name) AS seq FROM gene_rows GROUP BY 1")
+def _(spark, sf):
+    rows = D.gene_rows(spark, sf).withColumn("input", F.col("name"))
+    renamed = F.concat(F.lit("other_"), F.substring_index(F.expr("substring(name, 14)"), ".", 1))
+    return C.merge_by_prefix(rows.withColumn("name", renamed), "motu_cluster_", "input")
 
 
 @query("placement_quality", "steps", sql="""

@@ -28,15 +28,23 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; survives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, ``spark.checkpoint.dir``.
 
-    Only when ``spark.checkpoint.dir`` is unset (tests, a laptop) is a folder made here.
+    Where it is unset a local master gets a temporary folder; on a cluster that is an
+    error, as each machine would write to its own disk.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="cladeframe-")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder; survives lost executors."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cladeframe-")
-        )
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

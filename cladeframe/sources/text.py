@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cladeframe.functions import residues as R
 from cladeframe.operators.columns import AlignmentError, alignment_summary
@@ -238,6 +239,12 @@ def write_fasta(seqs: DataFrame, path: str, drop_gaps: bool = False) -> None:
     fasta_lines(out).write.text(path)
 
 
+@F.pandas_udf(StringType())
+def _four_decimals(x: pd.Series) -> pd.Series:
+    """Four decimals of the exact binary value, halves to even; Java's formats round halves up."""
+    return x.map(lambda v: "%.4f" % v, na_action="ignore")
+
+
 def matrix_lines(scores: DataFrame, kind: str = "distance") -> DataFrame:
     """``(i, value)``: one text line per row of a square matrix ``(i, j, score, dist)``.
 
@@ -246,7 +253,7 @@ def matrix_lines(scores: DataFrame, kind: str = "distance") -> DataFrame:
     """
     if kind == "hits":
         return scores.select("i", F.concat_ws(" ", "i", "j", "score").alias("value"))
-    shown = F.format_string("%.4f", F.col("dist")) if kind == "distance" else F.col("score").cast("string")
+    shown = _four_decimals(F.col("dist")) if kind == "distance" else F.col("score").cast("string")
     cells = F.array_sort(F.collect_list(F.struct("j", shown.alias("v"))))
     return scores.groupBy("i").agg(
         F.concat(F.col("i"), F.lit("\t"), F.array_join(F.transform(cells, lambda c: c["v"]), "\t")).alias("value")
