@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +21,12 @@ from cladeframe.operators import place as L
 from cladeframe.operators import profiles as P
 from cladeframe.operators import traces as X
 from cladeframe.operators import trees as T
+from cladeframe.plans import jobs as J
 from cladeframe.plans import oracles as O
-from cladeframe.session import cut_lineage
+from cladeframe.session import cut_lineage, shared_folder
 from cladeframe.sources import tables as D
 from cladeframe.sources import text as S
+from cladeframe.streaming import placement as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -603,6 +606,44 @@ def _(spark, sf):
     return L.best_edge(L.clean_queries(D.texts(spark, sf)), _profiles(spark, sf))
 
 
+@query("traced_scores", "edge_scores",
+       sql="SELECT seq_id, edge_id, score FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY score DESC, edge_id) AS r FROM edge_scores) WHERE r = 1")
+def _(spark, sf):
+    return J.place_job(_msa(spark, sf), *_tree(spark, sf), D.items(spark, sf)).traces.select("seq_id", "edge_id", "score")
+
+
+@query("document_alignment",
+       sql=f"SELECT name, length(s) AS n, md5(s) AS digest FROM (SELECT 'd' || doc_id AS name, {O.single('text')} AS s FROM documents)")
+def _(spark, sf):
+    aligned = J.place_job(_msa(spark, sf), *_tree(spark, sf), D.texts(spark, sf)).aligned.filter("kind = 'qs'")
+    residues = F.regexp_replace("seq", "-", "")
+    return aligned.select("name", F.length(residues).cast("long").alias("n"), F.md5(residues).alias("digest"))
+
+
+@query("stream_placement", "edge_scores",
+       sql="SELECT seq_id, edge_id, score FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY score DESC, edge_id) AS r FROM edge_scores) WHERE r = 1")
+def _(spark, sf):
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    # the rows arrive as files of a folder
+    _items(spark, sf).write.parquet(f"{folder}/in")
+    arriving = spark.readStream.schema("seq_id long, name string, seq string").parquet(f"{folder}/in")
+    streaming.place_stream(arriving, _profiles(spark, sf), f"{folder}/out", f"{folder}/log", once=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("seq_id", "edge_id", "score")
+
+
+O.cte("greedy", ["pair_all"], """SELECT 1 AS k, [i, j] AS used FROM (SELECT i, j FROM pair_all WHERE i <> j ORDER BY score DESC, i, j LIMIT 1) UNION ALL
+SELECT k + 1, list_append(used, j) FROM (SELECT g.k, g.used, p.j, row_number() OVER (ORDER BY sum(p.score) DESC, p.j) AS r FROM greedy g
+ JOIN pair_all p ON list_contains(g.used, p.i) AND NOT list_contains(g.used, p.j) GROUP BY g.k, g.used, p.j) WHERE r = 1""")
+
+
+@query("addition_order", "greedy", sql="""SELECT CAST(r - 1 AS INTEGER) AS rank, i FROM
+ (SELECT unnest(used) AS i, unnest(range(1, len(used) + 1)) AS r FROM (SELECT arg_max(used, k) AS used FROM greedy))""")
+def _(spark, sf):
+    closer = W.mirror(_item_scores(spark, sf)).select("i", "j", (-F.col("score")).cast("long").alias("dist"))
+    order = J.addition_order(cut_lineage(closer))
+    return spark.createDataFrame([(k, int(i)) for k, i in enumerate(order)], "rank int, i long")
+
+
 def _node_profiles(spark: SparkSession, sf: str) -> DataFrame:
     refs, nodes, edges = _refs(spark, sf)
     gaps = G.node_gap_probs(refs, nodes, edges, 2)
@@ -640,6 +681,15 @@ def _(spark, sf):
     return placed.select("seq_id", "node_id", F.round("score", 5).alias("score"))
 
 
+@query("traced_nodes", "node_scores",
+       sql="SELECT seq_id, CAST(min(v) FILTER (score > best - 1e-4) AS INTEGER) AS node_id FROM "
+       "(SELECT *, max(score) OVER (PARTITION BY seq_id) AS best FROM node_scores) GROUP BY 1")
+def _(spark, sf):
+    refs, nodes, edges = _refs(spark, sf)
+    job = J.node_job(_msa(spark, sf), nodes, edges, D.heap_anc_probs(refs, nodes), 2, D.items(spark, sf))
+    return job.traces.select("seq_id", "node_id")
+
+
 # ---- aggregations ---------------------------------------------------------------------------
 
 
