@@ -10,7 +10,8 @@ symbol is scored in the state of the longest context in the tree that ends befor
 
 A token's probability in the tree is that of its symbols and of a close, blank or end, after
 them; the end token's is that of an end rather than a blank.  It is interpolated with the
-token's share of all training tokens, so that both are distributions over tokens.
+token's share of all training tokens.  As in the base, words that training has not met are
+one class; its share is that of the words met once (Good and Turing's estimate).
 
 The unigram base needs the training count of every word.  The ``HEAVY`` most frequent words
 are sent to every task, a table of bounded size; occurrences of other words are joined with
@@ -110,8 +111,8 @@ def byte_counts(texts: DataFrame) -> dict[int, int]:
 
 
 def symbol_table(counts: dict[int, int]) -> np.ndarray:
-    """Byte -> symbol: the most frequent have one of their own, the others share the last."""
-    own = sorted((b for b, n in counts.items() if n), key=lambda b: (-counts[b], b))[: SYMBOLS - 2]
+    """Byte -> symbol: the blank and the most frequent have one of their own, the others share the last."""
+    own = sorted((b for b, n in counts.items() if n and b != 32), key=lambda b: (-counts[b], b))[: SYMBOLS - 3] + [32]
     table = np.full(256, OTHER, np.int64)
     table[sorted(own)] = np.arange(1, len(own) + 1)
     return table
@@ -297,8 +298,13 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     table = symbol_table(byte_counts(learned))
     counts = scratch.keep(corpus_counts(learned, table), "counts")
     words = counts.filter("kind = 0").select("code", "n")
-    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    size = words.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("n") == 1, 1)).alias("once")
+    ).first()
     total, distinct = size["n"], size["v"]
+    # the share of new words, never quite none or all
+    new = min(0.5, max(size["once"], 0.5) / total) if total else 0.5
+    known_share = float(SHARE * (1 - new) / max(1, total))
     heavy = words.orderBy(F.desc("n"), "code").limit(HEAVY).toArrow()
     order = np.argsort(heavy["code"].to_numpy())
     heavy_codes, heavy_counts = heavy["code"].to_numpy()[order], heavy["n"].to_numpy()[order]
@@ -321,7 +327,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
             found = codes[place] == every if len(codes) else np.zeros(len(every), bool)
             c = known[place[found]]
             base = np.bincount(owner[found], np.log10(c + 0.1) - scale, len(group))
-            mixed = np.logaddexp(np.log(SHARE * c / total), np.log(1 - SHARE) + logs[found] * np.log(10)) / np.log(10)
+            mixed = np.logaddexp(np.log(known_share * c), np.log(1 - SHARE) + logs[found] * np.log(10)) / np.log(10)
             scores = np.bincount(owner[found], mixed, len(group))
             n_known = np.bincount(owner[found], minlength=len(group)).astype(np.int64)
             row = np.array([k["row"] for k in keys], np.int64)
@@ -349,8 +355,8 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     light = said.filter("code IS NOT NULL").select("row", "code", "score").join(words.withColumnRenamed("n", "c"), "code", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
     in_tree = F.col("score") + float(np.log10(1 - SHARE))
-    share = F.log10(c * (SHARE / max(1, total)))
-    mixed = F.when(c == 0, in_tree).otherwise(F.greatest(in_tree, share) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(in_tree - share))))
+    share = F.when(c == 0, F.lit(float(np.log10(SHARE * new)))).otherwise(F.log10(c * known_share))
+    mixed = F.greatest(in_tree, share) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(in_tree - share)))
     rest = light.groupBy("row").agg(
         F.sum(F.log10(c + 0.1) - F.lit(scale)).alias("light_base"), F.sum(F.when(c > 0, 1).otherwise(0)).alias("light_known"),
         F.sum(mixed).alias("light_score"),
