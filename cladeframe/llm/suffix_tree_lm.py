@@ -326,9 +326,9 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
             place = np.minimum(np.searchsorted(codes, every), max(0, len(codes) - 1))
             found = codes[place] == every if len(codes) else np.zeros(len(every), bool)
             c = known[place[found]]
-            base = np.bincount(owner[found], np.log10(c + 0.1) - scale, len(group))
+            base = np.bincount(owner[found], np.log10(c + 0.1) - scale, len(group)).astype(float)
             mixed = np.logaddexp(np.log(known_share * c), np.log(1 - SHARE) + logs[found] * np.log(10)) / np.log(10)
-            scores = np.bincount(owner[found], mixed, len(group))
+            scores = np.bincount(owner[found], mixed, len(group)).astype(float)
             n_known = np.bincount(owner[found], minlength=len(group)).astype(np.int64)
             row = np.array([k["row"] for k in keys], np.int64)
             ids = pa.array([k["doc_id"] for k in keys], id_type)

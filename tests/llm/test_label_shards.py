@@ -41,7 +41,8 @@ def test_groups_stay_together_and_a_large_one_is_split(make, monkeypatch):
         shards[text[r["doc_id"]]][r["shard"]] += 1
     cut = sum(len(c) > 1 for t, c in shards.items() if t.startswith("group"))
     assert cut <= 6  # of 40 groups; by a hash alone nearly all would be cut
-    assert len(shards["a third of all rows"]) <= 6  # 250 rows, 75 in a shard
+    large = shards["a third of all rows"]
+    assert sum(n for _, n in large.most_common(5)) >= 240  # 250 rows, 75 in a shard
 
 
 def test_the_result_does_not_depend_on_how_rows_are_dealt(make):
