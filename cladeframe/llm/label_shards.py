@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from cladeframe.llm.common import Scratch
 
 SHARDS, ROUNDS = 40, 4
-#: During the rounds a shard may hold this times its share in linked documents.
+#: Room for linked documents in a shard, against an even share of them, during the rounds.
 SLACK = 1.10
 #: Rows that one bucket of a ranking holds on average.
 BUCKET = 20_000
@@ -51,19 +51,23 @@ def _votes(state: DataFrame, links: DataFrame) -> DataFrame:
     return links.join(state.select("node", "shard"), "node").groupBy("link", "shard").agg(F.count("*").alias("n"))
 
 
-def _goals(votes: DataFrame, quota: int) -> DataFrame:
-    """``link, goal``: the shards a link gathers in, most members first, as many as it fills.
+def _goals(votes: DataFrame, space: list[int], quota: int, turn: int) -> DataFrame:
+    """``link, goal, reach, needed, place``: the shards a link gathers in, as many as it fills.
 
+    ``reach`` is how many of its members a shard could hold in the end, by the room it has
+    left.  Beside the shards that have members, each round offers one more, drawn by a hash.
     A link is in at most ``SHARDS`` shards, which bounds the window.
     """
-    w = Window.partitionBy("link")
-    ranked = votes.withColumn("size", F.sum("n").over(w)).withColumn(
-        "place", F.row_number().over(w.orderBy(F.desc("n"), F.xxhash64("link", "shard"), "shard"))
-    )
+    sizes = votes.groupBy("link").agg(F.sum("n").alias("size")).filter("size > 1")
+    drawn = F.pmod(F.xxhash64("link", F.lit(turn)), F.lit(len(space))).cast("int")
+    other = sizes.select("link", drawn.alias("shard"), F.lit(0).cast("long").alias("n"))
+    offers = votes.union(other).groupBy("link", "shard").agg(F.max("n").alias("n")).join(sizes, "link")
+    room = F.get(F.array(*(F.lit(x) for x in space)), F.col("shard"))
+    reach = F.col("n") + F.least(room, F.col("size") - F.col("n"))
+    best = Window.partitionBy("link").orderBy(F.desc("reach"), F.desc("n"), F.xxhash64("link", "shard"), "shard")
+    ranked = offers.withColumn("reach", reach).withColumn("place", F.row_number().over(best))
     needed = F.ceil(F.col("size") / F.lit(quota))
-    return ranked.filter("size > 1").filter(F.col("place") <= needed).select(
-        "link", F.col("shard").alias("goal"), "place", needed.alias("needed")
-    )
+    return ranked.filter(F.col("place") <= needed).select("link", F.col("shard").alias("goal"), "reach", needed.alias("needed"), "place")
 
 
 def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -76,7 +80,6 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
     scratch = Scratch(spark, "shards")
     start = F.pmod(F.xxhash64("node", F.lit("start")), F.lit(shards)).cast("int")
     total = nodes.count()
-    room = max(1, int(total * SLACK / shards))
     quota = max(1, total // shards)
     base = scratch.keep(nodes.select("node", start.alias("shard")), "state-0")
     # links whose members are all here, with two at least
@@ -85,25 +88,26 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
     tied = scratch.keep(real.join(many, "link", "left_semi"), "links")
     # only linked documents move in the rounds; the others make way in the repair
     linked = scratch.keep(base.join(tied.select("node").distinct(), "node", "left_semi"), "linked-0")
+    # where unlinked documents make up less than the slack, a shard may for now hold too many
+    room = max(quota, int(linked.count() * SLACK / shards))
 
     for turn in range(1, rounds + 1):
         votes = scratch.keep(_votes(linked, tied), f"votes-{turn}")
-        goals = _goals(votes, quota)
-        # a member goes to one of its link's goals by its hash, so a large link spreads evenly
-        member = tied.join(votes.groupBy("link").agg(F.sum("n").alias("size")), "link")
-        member = member.withColumn("place", (F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / F.lit(quota))) + 1))
-        wish = member.join(goals.select("link", "goal", "place"), ["link", "place"])
+        held = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+        space = [max(0, room - held.get(s, 0)) for s in range(shards)]
+        goals = scratch.keep(_goals(votes, space, quota, turn), f"goals-{turn}")
+        # members outside their link's goals wish for one of them, drawn by their hash
+        member = tied.join(linked.withColumnRenamed("shard", "at"), "node")
+        outside = member.join(goals.select("link", F.col("goal").alias("at")), ["link", "at"], "left_anti")
+        needed = goals.filter("place = 1").select("link", "needed")
+        drawn = outside.join(needed, "link").withColumn("place", F.pmod(F.xxhash64("node"), F.col("needed")) + 1)
         own = votes.select("link", F.col("shard").alias("at"), F.col("n").alias("own"))
-        there = votes.select("link", F.col("shard").alias("goal"), F.col("n").alias("there"))
         gain = (
-            wish.join(linked.withColumnRenamed("shard", "at"), "node").join(own, ["link", "at"]).join(there, ["link", "goal"])
-            .groupBy("node", "at", "goal").agg(F.sum(F.col("there") - F.col("own")).alias("gain"))
+            drawn.join(goals.select("link", "place", "goal", "reach"), ["link", "place"]).join(own, ["link", "at"])
+            .groupBy("node", "at", "goal").agg(F.sum(F.col("reach") - F.col("own")).alias("gain"))
         )
-        best = gain.groupBy("node", "at").agg(F.max(F.struct("gain", "goal")).alias("b")).select("node", "at", F.col("b.goal").alias("goal"), F.col("b.gain").alias("gain"))
-        # a place of a link that is split over several goals is wished for even without a gain
-        askers = best.filter("goal <> at AND gain >= 0").withColumn("class", -F.floor(F.log2(F.col("gain") + 1)).cast("int"))
-        held = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-        space = [max(0, room - held.get(s, 0)) for s in range(shards)]
+        best = gain.groupBy("node").agg(F.max(F.struct("gain", "goal")).alias("b")).select("node", "b.goal", "b.gain")
+        askers = best.filter("gain > 0").withColumn("class", -F.floor(F.log2("gain")).cast("int"))
         limits = F.array(*(F.lit(x) for x in space))
         admitted = _ranked(askers.select("node", "goal", "class"), "goal", ["class"], "node", total).filter(
             F.col("rank") < F.get(limits, F.col("goal"))
@@ -112,6 +116,7 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
         linked = scratch.keep(moved, f"linked-{turn}")
         scratch.drop(f"linked-{turn - 1}")
         scratch.drop(f"votes-{turn}")
+        scratch.drop(f"goals-{turn}")
 
     state = base.join(linked.withColumnRenamed("shard", "now").withColumn("tied", F.lit(1)), "node", "left").select(
         "node", F.coalesce("now", "shard").alias("shard"), F.coalesce("tied", F.lit(0)).alias("tied")
