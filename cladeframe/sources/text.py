@@ -119,7 +119,7 @@ def read_partitions(spark: SparkSession, path: str) -> DataFrame:
 
     A partition file names column ranges of one alignment, so it is read whole.
     """
-    return parse_partitions(spark.read.option("wholetext", True).text(path))
+    return parse_partitions(spark.read.text(path, wholetext=True))
 
 
 def parse_partitions(texts: DataFrame) -> DataFrame:
@@ -150,8 +150,7 @@ def flat_matrix(spark: SparkSession, match: int = 3, mismatch: int = 0, symbols:
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """Square text matrix: a line of symbols, then one line per symbol; ``#`` starts a comment."""
     lines = (
-        spark.read.option("wholetext", True)
-        .text(path)
+        spark.read.text(path, wholetext=True)
         .select(F.filter(F.split("value", "\r?\n"), lambda x: ~x.rlike(r"^\s*(#.*)?$")).alias("l"))
     )
     fields = lambda x: F.split(F.trim(x), r"\s+")
