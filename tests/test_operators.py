@@ -255,6 +255,35 @@ def test_place_job(spark, small_tree):
     assert ops[3].startswith("1" * 6)
 
 
+def test_insertion_in_order_and_guided(spark, small_tree):
+    from cladeframe.plans import insertion as N
+
+    nodes, edges = small_tree
+    msa = spark.createDataFrame(list(ROWS.items()), "name string, seq string")
+    first = N.start(msa, nodes, edges)
+    grown = N.insert_in_order(first, [("x", "ACGTTACGTAC"), ("y", "AAGTTTACCTGC")])
+    found = dict(rows(grown.msa))
+    assert set(found) == set("abcdexy") and len({len(s) for s in found.values()}) == 1
+    assert found["x"].replace("-", "") == "ACGTTACGTAC" and found["y"].replace("-", "") == "AAGTTTACCTGC"
+    assert {n: found[n].replace("-", "") for n in ROWS} == {n: s.replace("-", "") for n, s in ROWS.items()}
+    degree = {}
+    for r in grown.edges.collect():
+        for end in (r["u"], r["v"]):
+            degree[end] = degree.get(end, 0) + 1
+    tips = {r["node_id"] for r in grown.nodes.filter("is_tip").collect()}
+    assert len(tips) == 7 and grown.edges.count() == 2 * 7 - 3
+    assert all(n == (1 if k in tips else 3) for k, n in degree.items())
+    branches = T.explode_trees(spark.createDataFrame([("t", "((a:1,b:1):1,(c:1,d:1):1,e:1);")], "tree_id string, newick string"))
+    beside = N.insert_guided(first, "z", "ACGTACGTAC", ["c", "d"], branches)
+    edge = T.locate_edges(T.splits(branches), spark.createDataFrame([("t", 0, ["c", "d"])], "tree_id string, want_id int, tips array<string>"), branches).first()["edge_id"]
+    old = edges.filter(f"edge_id = {edge}").first()
+    z = beside.nodes.filter("name = 'z'").first()["node_id"]
+    around = {r["v"] if r["u"] == z - 1 else r["u"] for r in beside.edges.collect() if z - 1 in (r["u"], r["v"])}
+    assert around == {old["u"], old["v"], z}
+    with pytest.raises(Exception, match="no branch"):
+        N.insert_guided(first, "z", "ACGT", ["a", "c"], branches)
+
+
 def test_files_round_trip(spark, tmp_path):
     msa = spark.createDataFrame(list(ROWS.items()), "name string, seq string")
     S.write_phylip(msa, f"{tmp_path}/phy")
