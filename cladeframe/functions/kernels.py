@@ -388,9 +388,10 @@ def dtw_path(x: np.ndarray, y: np.ndarray) -> tuple[float, list[tuple[int, int]]
     n, m = x.size, y.size
     d = np.full((n + 1, m + 1), np.inf)
     d[0, 0] = 0.0
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            d[i, j] = abs(x[i - 1] - y[j - 1]) + min(d[i - 1, j - 1], d[i - 1, j], d[i, j - 1])
+    for s in range(2, n + m + 1):  # cells of one anti-diagonal do not need one another
+        i = np.arange(max(1, s - m), min(n, s - 1) + 1)
+        j = s - i
+        d[i, j] = np.abs(x[i - 1] - y[j - 1]) + np.minimum(np.minimum(d[i - 1, j - 1], d[i - 1, j]), d[i, j - 1])
     i, j, path = n, m, []
     while i > 0 or j > 0:
         path.append((i - 1, j - 1))
