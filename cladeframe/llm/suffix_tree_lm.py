@@ -42,8 +42,8 @@ PARENT_WEIGHT = 2.0
 HEAVY = 500_000
 #: Weight of a token's share of the training tokens against the tree.
 SHARE = 0.6
-#: Symbols handled at once.
-STEP = 1 << 20
+#: Symbols handled at once, and distinct counts that a task gathers before it gives them out.
+STEP, KEPT = 1 << 20, 1_000_000
 
 MASK = (1 << BITS) - 1
 
@@ -149,7 +149,7 @@ def corpus_counts(training: DataFrame, table: np.ndarray) -> DataFrame:
                 sums[kind].add(np.concatenate(held[kind]))
                 held[kind].clear()
                 sizes[kind] = 0
-            if len(sums[kind].codes) > (2_000_000 if least else 0):
+            if len(sums[kind].codes) > (KEPT if least else 0):
                 yield sums[kind].out(kind)
 
         for _, group in _texts(batches):
@@ -164,7 +164,7 @@ def corpus_counts(training: DataFrame, table: np.ndarray) -> DataFrame:
             for kind, codes in ((0, np.array(every, np.int64)), (1, code[at])):
                 held[kind].append(codes)
                 sizes[kind] += len(codes)
-                yield from flush(kind, 4 * STEP)
+                yield from flush(kind, 2 * STEP)
         for kind in (0, 1):
             yield from flush(kind, 0)
 
