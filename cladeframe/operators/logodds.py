@@ -6,7 +6,6 @@ swept up the tree; scores are log-odds against background frequencies.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
