@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from corpus_texts import prose
+
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, "
     # names that operators use for themselves
@@ -9,10 +11,6 @@ SCHEMA = (
 )
 
 
-def prose(rng, n, words=400):
-    return " ".join(f"w{rng.randrange(words)}" for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def make(spark):
     """Documents from ``(doc_id, text[, lang])`` rows, with columns whose names clash."""

@@ -1,7 +1,7 @@
 import random
 
 from cladeframe.llm import hamming_dedup as H
-from conftest import prose
+from corpus_texts import prose
 
 
 def brute(rows):

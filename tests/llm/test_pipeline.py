@@ -4,7 +4,7 @@ import random
 import pytest
 
 import corpus_pipeline as P
-from conftest import prose
+from corpus_texts import prose
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 

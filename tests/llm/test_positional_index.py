@@ -2,7 +2,7 @@ import random
 import re
 
 from cladeframe.llm import positional_index as I
-from conftest import prose
+from corpus_texts import prose
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 

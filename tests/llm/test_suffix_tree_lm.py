@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 from cladeframe.llm import suffix_tree_lm as L
-from conftest import prose
+from corpus_texts import prose
 
 
 def base(rows, training):

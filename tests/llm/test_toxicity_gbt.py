@@ -1,7 +1,7 @@
 import random
 
 from cladeframe.llm import toxicity_gbt as G
-from conftest import prose
+from corpus_texts import prose
 
 BAD = ["idiot", "scum", "lowlifeish", "trashy"]
 
@@ -47,7 +47,7 @@ def test_lexicon_finds_words_and_stems(make, spark):
     rng = random.Random(4)
     data = rows(rng, 300)
     table = spark.createDataFrame([(t, int(x)) for _, t, x in data], "text string, toxic int")
-    found = G.lexicon(table)
+    found = G.lexicon(table, G.Scratch(spark, "test"))
     assert {"idiot ", "scum ", "lowl", "lowlif"} <= set(found) and not {"w1 ", "w2 "} & set(found)
 
 
@@ -56,4 +56,4 @@ def test_features_of_plain_cases():
     at = dict(zip(G.FEATURES, G._features("You IDIOT !! 1d1ot x", words)))
     assert at["lexicon_count"] > 0 and at["near_second"] == 2 and at["capital_words"] > 0 and at["repeat_marks"] == 1
     assert G._features("", words) == [0.0] * len(G.FEATURES)
-    assert G.plain("1d1ot") == "idiot"
+    assert G.parts("1d1ot!")[2] == "idiot" and G.parts("Word,") == ("Word", "word", "word")
