@@ -17,16 +17,20 @@ from cladeframe.llm.common import Scratch, documents, id_remainder
 
 #: Below this score a language is rejected.
 LEAST_SCORE = 0.5
+#: So many ids are sent to every task, a hash table of some 32 MB.
+SENT_IDS = 1_000_000
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``verdicts``, or is null; the columns stay as they are.
+def _without(docs: DataFrame, verdicts: DataFrame, keeps: str, name: str) -> DataFrame:
+    """``docs`` without the ids for which no row of ``verdicts`` has ``keeps``.
 
-    A null doc_id names no document that a stage could decide on by id, so it goes on.
+    A null doc_id names no document that a stage could decide on by id, so it goes on.  The
+    ids that go are written first; few are sent to the texts, many meet them in a shuffle.
     """
-    known = docs.join(verdicts.select("doc_id").distinct(), "doc_id", "left_semi")
-    return known.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+    each = verdicts.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.expr(keeps)).alias("stays"))
+    gone = Scratch(docs.sparkSession, "gone").keep(each.filter("NOT stays").select("doc_id"), name)
+    return docs.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,19 +44,18 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = language_ftrl.identify(docs, model)
-    sure = found.filter((F.col("lang_pred") != language_ftrl.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return _kept(docs, sure)
+    return _without(docs, found, f"lang_pred <> '{language_ftrl.UNKNOWN}' AND score >= {LEAST_SCORE}", "languages")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each group of near copies."""
-    return _kept(docs, hamming_dedup.near_duplicates(docs).filter("kept"))
+    return _without(docs, hamming_dedup.near_duplicates(docs), "kept", "copies")
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
     found = positional_index.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _kept(docs, found.filter("NOT contaminated"))
+    return _without(docs, found, "NOT contaminated", "contaminated")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
