@@ -30,6 +30,8 @@ LEXICON, LEAST_TEXTS, LEAST_ODDS = 4096, 5, 1.0
 TREES, DEPTH, RATE = 20, 3, 0.3
 #: Part of the labelled rows that calibrates, and the steps of its score grid.
 CALIBRATION, GRID = 0.25, 1000
+#: So many labels are sent to every task, a hash table of some 32 MB.
+SENT_LABELS = 1_000_000
 #: A lexicon word is near the second person within so many words.
 NEAR = 4
 
@@ -39,7 +41,7 @@ SECOND = frozenset(
 )
 SIGNS = str.maketrans("0134578@$!", "oieastbasi")
 
-_EDGES = regex.compile(r"^[^\p{L}\p{N}@$]+|[^\p{L}\p{N}@$!]+$")
+_EDGES = regex.compile(r"^[^\p{L}\p{N}@$]+|[^\p{L}\p{N}@$]+$")
 _LETTERS = regex.compile(r"[^\p{L}]+")
 
 FEATURES = (
@@ -53,16 +55,16 @@ def keys(word: str) -> list[str]:
     return [f"{word} ", word[:4], word[:6]] if len(word) > 6 else [f"{word} ", word[:4]] if len(word) > 4 else [f"{word} "]
 
 
-def folded(token: str) -> str:
-    return _LETTERS.sub("", _EDGES.sub("", token).lower())
+def parts(token: str) -> tuple[str, str, str]:
+    """A token without its outer marks, its word, and the word behind digits and signs."""
+    core = token if token.isalpha() else _EDGES.sub("", token)
+    low = core.lower()
+    if core.isalpha():
+        return core, low, low
+    return core, _LETTERS.sub("", low), _LETTERS.sub("", low.translate(SIGNS))
 
 
-def plain(token: str) -> str:
-    """The word behind digits and signs, and behind marks between letters."""
-    return _LETTERS.sub("", _EDGES.sub("", token).lower().translate(SIGNS))
-
-
-def lexicon(labelled: DataFrame) -> dict[str, float]:
+def lexicon(labelled: DataFrame, scratch: Scratch) -> dict[str, float]:
     """Key -> log-odds of standing in a toxic text, from ``(text, toxic)``; all rows count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +81,7 @@ def lexicon(labelled: DataFrame) -> dict[str, float]:
                 said: set[str] = set()
                 for token in set((text or "").split()):
                     if token not in known:
-                        word = folded(token)
+                        word = parts(token)[1]
                         known[token] = keys(word) if word else []
                     said.update(known[token])
                 for k in said:
@@ -93,7 +95,7 @@ def lexicon(labelled: DataFrame) -> dict[str, float]:
         yield out()
 
     partial = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "key string, clean long, toxic long")
-    counts = partial.groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = scratch.keep(partial.groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "words")
     total = counts.filter("key = ''").first()
     if total is None or not total["clean"] or not total["toxic"]:
         return {}
@@ -104,11 +106,12 @@ def lexicon(labelled: DataFrame) -> dict[str, float]:
 
 
 class _Words(dict):
-    """Token -> number of its row in ``values``: odds, second person, capitals, obfuscation."""
+    """Token -> number of its row in ``values``: odds, second person, capitals, obfuscation
+    (two columns), letters, upper-case letters."""
 
     def __init__(self, odds: dict[str, float]):
         super().__init__()
-        self.odds, self.values = odds, np.zeros((1024, 5))
+        self.odds, self.values = odds, np.zeros((1024, 7))
 
     def _odds(self, word: str) -> float:
         return max((self.odds.get(k, 0.0) for k in keys(word)), default=0.0) if word else 0.0
@@ -117,12 +120,13 @@ class _Words(dict):
         at = self[token] = len(self)
         if at == len(self.values):
             self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-        word, hidden = folded(token), plain(token)
-        core = _EDGES.sub("", token)
-        mixed = bool(core) and core[0].isalpha() and not core.isalpha() and hidden != word
+        core, word, hidden = parts(token)
         odds = self._odds(word)
+        behind = self._odds(hidden) if hidden != word else odds
+        mixed = hidden != word and core[0].isalpha()
         self.values[at] = (
-            max(odds, self._odds(hidden)), word in SECOND, len(word) > 1 and token.isupper(), mixed, odds == 0.0 and self._odds(hidden) > 0,
+            max(odds, behind), word in SECOND, len(word) > 1 and token.isupper(), mixed, odds == 0.0 and behind > 0,
+            len(word), sum(map(str.isupper, token)),
         )
         return at
 
@@ -133,10 +137,8 @@ def _features(text: str, words: _Words) -> list[float]:
     if not n:
         return [0.0] * len(FEATURES)
     index = np.fromiter(map(words.__getitem__, tokens), np.int64, n)
-    odds, second, capital, mixed, hidden = words.values[index].T
+    odds, second, capital, mixed, hidden, letters, upper = words.values[index].T
     hit = odds > 0
-    letters = max(1, len(_LETTERS.sub("", text)))
-    upper = sum(map(str.isupper, text))
     you = np.flatnonzero(second)
     near = 0.0
     if len(you) and hit.any():
@@ -146,7 +148,7 @@ def _features(text: str, words: _Words) -> list[float]:
         near = float((gap <= NEAR).sum())
     return [
         hit.mean(), odds.sum() / n, odds.max(), math.log1p(hit.sum()), len(np.unique(index[hit])), near, second.mean(),
-        upper / letters, capital.mean(), (text.count("!") + text.count("?")) / len(text), text.count("!!") + text.count("??"),
+        upper.sum() / max(1.0, letters.sum()), capital.mean(), (text.count("!") + text.count("?")) / len(text), text.count("!!") + text.count("??"),
         mixed.mean(), hidden.sum(), math.log1p(n),
     ]
 
@@ -186,7 +188,9 @@ def score(docs: DataFrame, labels: DataFrame, learns: str | None = None) -> Data
         said = said.filter(learns)
     said = scratch.keep(said, "labels")
     texts = docs.select("doc_id", "text")
-    odds = lexicon(texts.join(said, "doc_id").select("text", "toxic"))
+    # few labels go to the texts, many meet them in a shuffle
+    near = F.broadcast(said) if said.count() <= SENT_LABELS else said
+    odds = lexicon(texts.join(near, "doc_id").select("text", "toxic"), scratch)
     measured = scratch.keep(features(texts, odds, ["doc_id"]), "features")
 
     rows = measured.join(said, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(1000)) < 1000 * CALIBRATION)
