@@ -52,10 +52,10 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _WordHashes(dict):
-    """Word -> 64-bit hash; emptied when it holds a million words."""
+    """Word -> 64-bit hash; emptied when it holds 300,000 words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 300_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -246,6 +246,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         # what is joined so far has one row for each id; the new links are added to it
         links = found if groups is None else groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found)
         groups = components(links, scratch, f"groups-{turn}")
+    # the result reads the signatures, the classes and the last groups alone
+    for name in ("buckets", *(f"{kind}-{turn}" for kind in ("pairs", "ends", "sets", "links") for turn in range(LEADERS + 1))):
+        scratch.drop(name)
 
     of_class = classes.join(groups, "id", "left").select(*whole, F.coalesce("component", "id").alias("component_id"))
     known = signed.filter("doc_id IS NOT NULL").select("doc_id", *whole).join(of_class, whole, "left")
