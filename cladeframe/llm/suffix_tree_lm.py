@@ -13,9 +13,9 @@ them; the end token's is that of an end rather than a blank.  It is interpolated
 token's share of all training tokens.  As in the base, words that training has not met are
 one class; its share is that of the words met once (Good and Turing's estimate).
 
-The unigram base needs the training count of every word.  The ``HEAVY`` most frequent words
-are sent to every task, a table of bounded size; occurrences of other words are joined with
-the counts by a shuffle, where no word is hot.
+The unigram base needs the training count of every word.  The most frequent words, at
+most ``HEAVY``, are sent to every task; occurrences of other words are joined with the
+counts by a shuffle, where no word is hot.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import Scratch
+from cladeframe.llm.common import Scratch, largest
 
 DEPTH, BITS = 5, 7
 SYMBOLS = 1 << BITS
@@ -202,8 +202,8 @@ def contexts(runs: DataFrame, scratch: Scratch) -> DataFrame:
         ratio = F.log((F.col("n") / F.col("all")) / (F.col("up_n") / F.col("up_all")))
         gain = each.groupBy("context").agg(F.sum(F.col("n") * ratio).alias("gain")).filter(F.col("gain") >= LEAST_GAIN)
         tested.append(gain.select(F.lit(d).alias("depth"), "context", "gain"))
-    kept = reduce(DataFrame.union, tested).orderBy(F.desc("gain"), "depth", "context").limit(STATES)
-    kept = scratch.keep(kept.select("depth", "context"), "kept")
+    gains = scratch.keep(reduce(DataFrame.union, tested), "gains")
+    kept = scratch.keep(largest(gains, "gain", STATES).select("depth", "context"), "kept")
     closed = [
         kept.filter(F.col("depth") >= d).select(F.lit(d).alias("depth"), F.col("context").bitwiseAND(F.lit((1 << BITS * d) - 1)).alias("context"))
         for d in range(DEPTH + 1)
@@ -305,7 +305,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     # the share of new words, never quite none or all
     new = min(0.5, max(size["once"], 0.5) / total) if total else 0.5
     known_share = float(SHARE * (1 - new) / max(1, total))
-    heavy = words.orderBy(F.desc("n"), "code").limit(HEAVY).toArrow()
+    heavy = largest(words, "n", HEAVY).toArrow()
     order = np.argsort(heavy["code"].to_numpy())
     heavy_codes, heavy_counts = heavy["code"].to_numpy()[order], heavy["n"].to_numpy()[order]
     tree = build(contexts(counts.filter("kind = 1").select("code", "n"), scratch).toArrow(), table)
