@@ -6,7 +6,10 @@ share its probability evenly.  Contexts of up to ``DEPTH`` symbols are counted o
 training texts.  A context stays in the tree if its next-symbol distribution diverges from
 that of the context one shorter by at least ``LEAST_GAIN`` nats over all its occurrences, or
 if a longer one that ends in it stays.  Its distribution is smoothed by its parent's.  Each
-symbol is scored in the state of the longest context in the tree that ends before it.
+symbol is scored in the state of the longest context in the tree that ends before it.  All
+contexts that pass stay: up to ``STATES`` of them in a table with a cell for every symbol,
+more as sorted codes of what was seen, in parts of about ``PART`` counts and one pass over
+the texts for each part.
 
 A token's probability in the tree is that of its symbols and of a close, blank or end, after
 them; the end token's is that of an end rather than a blank.  It is interpolated with the
@@ -20,7 +23,7 @@ counts by a shuffle, where no word is hot.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -35,8 +38,14 @@ from cladeframe.llm.common import Scratch, largest
 DEPTH, BITS = 5, 7
 SYMBOLS = 1 << BITS
 END, OTHER = 0, SYMBOLS - 1
-#: Contexts seen less often are not tested; gain in nats that keeps one; largest tree.
-LEAST_COUNT, LEAST_GAIN, STATES = 50, 8.0, 20000
+#: Contexts seen less often are not tested; gain in nats that keeps one.
+LEAST_COUNT, LEAST_GAIN = 50, 8.0
+#: Contexts and suffixes of a tree with a cell for every symbol, 1 KB each; counts in a part of a larger one.
+STATES, PART = 20000, 1 << 21
+#: A part has all longer contexts that end in the same ``SPLIT`` symbols: at most 2 ** 21 and some counts.
+SPLIT = 3
+#: Scores that a task remembers, a power of two.
+MEMO = 1 << 20
 #: Weight, in observations, of the parent's distribution.
 PARENT_WEIGHT = 2.0
 HEAVY = 500_000
@@ -181,6 +190,96 @@ class Tree:
     table: np.ndarray
     other: float
 
+    def start(self) -> float:
+        """The end's score before a text's first symbol."""
+        return float(self.logs[_start(self), END])
+
+    def scorer(self, symbols: np.ndarray, at: np.ndarray) -> Callable[..., np.ndarray]:
+        """Gives the scores of symbols at some or all of the places ``at``."""
+        node = np.zeros(len(at), np.int32)
+        left = np.arange(len(at))
+        for k in range(1, DEPTH + 1):
+            step = self.child[node[left], symbols[at[left] - k]]
+            left, step = left[step >= 0], step[step >= 0]
+            node[left] = step
+        return lambda said, some=slice(None): self.logs[node[some], said].astype(np.float64)
+
+    def outside(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray | None:
+        return None
+
+
+@dataclass
+class Part:
+    """A part of a tree: what was seen after its contexts.
+
+    It scores the places where the last ``SPLIT`` symbols' code is in ``low`` .. ``high`` - 1.
+
+    A run of symbols has its length marked by a bit above it.  A symbol not seen after a
+    context has its score after the next shorter one, and ``backs`` of the context.
+    """
+
+    root: np.ndarray
+    runs: np.ndarray
+    logs: np.ndarray
+    states: np.ndarray
+    backs: np.ndarray
+    low: int
+    high: int
+    table: np.ndarray
+    other: float
+    memo: tuple[np.ndarray, np.ndarray] | None = None
+
+    def start(self) -> float:
+        return float(self._look(np.zeros(1, np.int64))[0]) if self.low == 0 else 0.0
+
+    def scorer(self, symbols: np.ndarray, at: np.ndarray) -> Callable[..., np.ndarray]:
+        before = reduce(lambda c, k: (c << BITS) | symbols[at - k], range(DEPTH - 1, 0, -1), symbols[at - DEPTH])
+        return lambda said, some=slice(None): self._known((before[some] << BITS) | said)
+
+    def outside(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray | None:
+        if self.low == 0 and self.high == 1 << BITS * SPLIT:
+            return None
+        last = reduce(lambda c, k: (c << BITS) | symbols[at - k], range(SPLIT - 1, 0, -1), symbols[at - SPLIT])
+        return (last < self.low) | (last >= self.high)
+
+    def _known(self, code: np.ndarray) -> np.ndarray:
+        """Scores of runs of ``DEPTH + 1`` symbols, remembered by a hash: most runs are frequent ones."""
+        if self.memo is None:
+            self.memo = np.full(MEMO, -1, np.int64), np.zeros(MEMO, np.float32)
+        held, value = self.memo
+        slot = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - MEMO.bit_length())
+        out, miss = value[slot], np.flatnonzero(held[slot] != code)
+        if len(miss):
+            new, first, back = np.unique(code[miss], return_index=True, return_inverse=True)
+            found = self._look(new)
+            out[miss] = found[back]
+            slot = slot[miss[first]]
+            held[slot] = new
+            stays = held[slot] == new  # one of several runs that share a slot
+            value[slot[stays]] = found[stays]
+        return out.astype(np.float64)
+
+    def _look(self, code: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(code))
+        left = np.arange(len(code))
+        for d in range(DEPTH, 0, -1):
+            run = (code[left] & ((1 << BITS * (d + 1)) - 1)) | (1 << BITS * (d + 1))
+            place, found = _find(self.runs, run)
+            out[left[found]] += self.logs[place[found]]
+            left = left[~found]
+            place, found = _find(self.states, run[~found] >> BITS)
+            out[left[found]] += self.backs[place[found]]
+        out[left] += self.root[code[left] & MASK]
+        return out.astype(np.float32)
+
+
+def _find(table: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of codes in a sorted table, and which are there."""
+    if not len(table):
+        return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
+    place = np.minimum(np.searchsorted(table, codes), len(table) - 1)
+    return place, table[place] == codes
+
 
 def contexts(runs: DataFrame, scratch: Scratch) -> DataFrame:
     """``depth, context, next, n`` for the contexts that stay in the tree, and all their suffixes."""
@@ -203,9 +302,8 @@ def contexts(runs: DataFrame, scratch: Scratch) -> DataFrame:
         gain = each.groupBy("context").agg(F.sum(F.col("n") * ratio).alias("gain")).filter(F.col("gain") >= LEAST_GAIN)
         tested.append(gain.select(F.lit(d).alias("depth"), "context", "gain"))
     gains = scratch.keep(reduce(DataFrame.union, tested), "gains")
-    kept = scratch.keep(largest(gains, "gain", STATES).select("depth", "context"), "kept")
     closed = [
-        kept.filter(F.col("depth") >= d).select(F.lit(d).alias("depth"), F.col("context").bitwiseAND(F.lit((1 << BITS * d) - 1)).alias("context"))
+        gains.filter(F.col("depth") >= d).select(F.lit(d).alias("depth"), F.col("context").bitwiseAND(F.lit((1 << BITS * d) - 1)).alias("context"))
         for d in range(DEPTH + 1)
     ]
     states = reduce(DataFrame.union, closed).distinct()
@@ -215,7 +313,7 @@ def contexts(runs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def build(rows: pa.Table, table: np.ndarray) -> Tree:
-    """The tree from the kept contexts' counts: at most ``STATES`` and their suffixes."""
+    """The tree from the kept contexts' counts, with a cell for every symbol: for ``STATES`` contexts at most."""
     depth, context, following, n = (rows[c].to_numpy() for c in ("depth", "context", "next", "n"))
     order = np.lexsort((following, context, depth))
     depth, context, following, n = depth[order], context[order], following[order], n[order]
@@ -233,12 +331,70 @@ def build(rows: pa.Table, table: np.ndarray) -> Tree:
             up = states[d - 1, c & ((1 << BITS * (d - 1)) - 1)]
             child[up, c >> BITS * (d - 1)] = k
             p[k] = (counts[k] + PARENT_WEIGHT * p[up]) / (counts[k].sum() + PARENT_WEIGHT)
-    return Tree(child, np.log10(p).astype(np.float32), table, float(np.log10(1 / max(1, int((table == OTHER).sum())))))
+    return Tree(child, np.log10(p).astype(np.float32), table, _other(table))
+
 
+def _other(table: np.ndarray) -> float:
+    """log10 of each byte's part of what the last symbol has."""
+    return float(np.log10(1 / max(1, int((table == OTHER).sum()))))
 
-def token_scores(tree: Tree, group: list[list[bytes]]) -> np.ndarray:
-    """log10 probability in the tree of every token of every text, its end the last."""
-    empty_text = float(tree.logs[_start(tree), END])
+
+def build_part(rows: pa.Table, low: int, high: int, table: np.ndarray) -> Part:
+    """A part from ``run, n``: its contexts, those of less than ``SPLIT`` symbols and the root."""
+    runs, n = rows["run"].to_numpy(), rows["n"].to_numpy()
+    order = np.argsort(runs)
+    runs, n = runs[order], n[order].astype(float)
+    level = np.searchsorted(runs, [1 << BITS * (d + 1) for d in range(DEPTH + 2)])
+    root = np.zeros(SYMBOLS)
+    root[runs[: level[1]] & MASK] = n[: level[1]]
+    root = (root + 0.5) / (root.sum() + 0.5 * SYMBOLS)
+    p, states, backs = np.empty(len(runs)), [], []
+    for d in range(1, DEPTH + 1):
+        a, b = level[d], level[d + 1]
+        context, index = np.unique(runs[a:b] >> BITS, return_inverse=True)
+        total = np.bincount(index, n[a:b], len(context)) + PARENT_WEIGHT
+        if d == 1:
+            up = root[runs[a:b] & MASK]
+        else:  # what follows a context follows its suffix, which is in the tree
+            shorter = (runs[a:b] & ((1 << BITS * d) - 1)) | (1 << BITS * d)
+            up = p[level[d - 1] + np.searchsorted(runs[level[d - 1] : a], shorter)]
+        p[a:b] = (n[a:b] + PARENT_WEIGHT * up) / total[index]
+        states.append(context)
+        backs.append(PARENT_WEIGHT / total)
+    a = level[1]
+    logs = [np.log10(x).astype(np.float32) for x in (root, p[a:], np.concatenate(backs))]
+    return Part(logs[0], runs[a:], logs[1], np.concatenate(states), logs[2], low, high, table, _other(table))
+
+
+def parts(rows: DataFrame, table: np.ndarray) -> Iterator[Tree | Part]:
+    """The whole tree from ``depth, context, next, n``, one part after the other."""
+    if rows.select("depth", "context").distinct().count() <= STATES:
+        yield build(rows.toArrow(), table)
+        return
+    run = F.expr(f"shiftleft(1L, {BITS} * (depth + 1)) | shiftleft(context, {BITS}) | next")
+    last = F.col("context").bitwiseAND(F.lit((1 << BITS * SPLIT) - 1))
+    cuts = [0, 1 << BITS * SPLIT]
+    if rows.filter(F.col("depth") >= SPLIT).count() > PART:
+        sizes = rows.filter(F.col("depth") >= SPLIT).groupBy(last.alias("last")).agg(F.count("*").alias("n")).toArrow()
+        order = np.argsort(sizes["last"].to_numpy())
+        cuts, held = [0], 0
+        for code, n in zip(sizes["last"].to_numpy()[order].tolist(), sizes["n"].to_numpy()[order].tolist(), strict=True):
+            if held and held + n > PART:
+                cuts.append(code)
+                held = 0
+            held += n
+        cuts.append(1 << BITS * SPLIT)
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        mine = rows.filter((F.col("depth") < SPLIT) | ((last >= low) & (last < high)))
+        yield build_part(mine.select(run.alias("run"), "n").toArrow(), low, high, table)
+
+
+def token_scores(tree: Tree | Part, group: list[list[bytes]]) -> np.ndarray:
+    """log10 probability in the tree of every token of every text, its end the last.
+
+    Those of the parts of a tree add up to those of the tree.
+    """
+    empty_text = tree.start()
     full = [w for w in group if w]
     if not full:
         return np.full(len(group), empty_text)
@@ -247,20 +403,18 @@ def token_scores(tree: Tree, group: list[list[bytes]]) -> np.ndarray:
     for k in range(DEPTH):
         lead[bounds[:-1] + k] = True
     at = np.flatnonzero(~lead)
-    node = np.zeros(len(at), np.int32)
-    left = np.arange(len(at))
-    for k in range(1, DEPTH + 1):
-        step = tree.child[node[left], symbols[at[left] - k]]
-        left, step = left[step >= 0], step[step >= 0]
-        node[left] = step
     said = symbols[at]
-    logs = tree.logs[node, said].astype(np.float64)
+    scores = tree.scorer(symbols, at)
+    logs = scores(said)
     logs[said == OTHER] += tree.other
     # a close is first any close, which ends its word, then an end or else a blank
     blank = tree.table[32]
     closes = np.flatnonzero((said == END) | (said == blank))
     ten = np.log(10)
-    any_close = np.logaddexp(tree.logs[node[closes], END] * ten, tree.logs[node[closes], blank] * ten) / ten
+    any_close = np.logaddexp(scores(END, closes) * ten, scores(blank, closes) * ten) / ten
+    elsewhere = tree.outside(symbols, at)
+    if elsewhere is not None:
+        logs[elsewhere], any_close[elsewhere[closes]] = 0.0, 0.0
     choice = logs[closes] - any_close
     words = np.add.reduceat(logs, np.concatenate([[0], closes[:-1] + 1])) - choice
     # the choice of a blank goes to the next word, that of an end is the end token
@@ -285,6 +439,42 @@ def _start(tree: Tree) -> int:
     return node
 
 
+def _summed(tree: Tree | Part, keys: list, group: list[list[bytes]]) -> np.ndarray:
+    """Scores of the tokens, with those of the parts before, which the keys carry."""
+    logs = token_scores(tree, group)
+    if "said" in keys[0]:
+        logs += np.frombuffer(b"".join(k["said"] for k in keys), np.float64)
+    return logs
+
+
+def _by_parts(slim: DataFrame, trees: Iterator[Tree | Part], scratch: Scratch) -> tuple[DataFrame, Tree | Part]:
+    """``slim`` with the tokens' scores of all parts but the last in its keys, and the last part."""
+    tree, done = next(trees), 0
+    kind = slim.schema["key"].dataType["doc_id"].dataType.simpleString()
+    for after in trees:
+        shared = slim.sparkSession.sparkContext.broadcast(tree)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                row, doc_id = batch.column(0).field("row"), batch.column(0).field("doc_id")
+                at = 0
+                for keys, group in _texts([batch]):
+                    ends = np.cumsum([len(w) + 1 for w in group])
+                    said = [x.tobytes() for x in np.split(_summed(shared.value, keys, group), ends[:-1])]
+                    mine = slice(at, at + len(keys))
+                    columns = [row[mine], doc_id[mine], pa.array(said, pa.binary()), batch.column(1)[mine]]
+                    yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "said", "text"])
+                    at += len(keys)
+
+        found = slim.mapInArrow(run, f"row long, doc_id {kind}, said binary, text string")
+        slim = scratch.keep(found, f"part-{done}").select(F.struct("row", "doc_id", "said").alias("key"), "text")
+        if done:
+            scratch.drop(f"part-{done - 1}")
+        shared.destroy()
+        tree, done = after, done + 1
+    return slim, tree
+
+
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``.
 
@@ -308,7 +498,9 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     heavy = largest(words, "n", HEAVY).toArrow()
     order = np.argsort(heavy["code"].to_numpy())
     heavy_codes, heavy_counts = heavy["code"].to_numpy()[order], heavy["n"].to_numpy()[order]
-    tree = build(contexts(counts.filter("kind = 1").select("code", "n"), scratch).toArrow(), table)
+    runs = scratch.keep(contexts(counts.filter("kind = 1").select("code", "n"), scratch), "tree")
+    slim = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("key"), F.col("text").cast("string").alias("text"))
+    slim, tree = _by_parts(slim, parts(runs, table), scratch)
     shared = spark.sparkContext.broadcast((tree, heavy_codes, heavy_counts))
     scale = float(np.log10(total + 0.1 * (distinct + 1)))
 
@@ -316,7 +508,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
         tree, codes, known = shared.value
         hashes = _Hashes()
         for keys, group in _texts(batches):
-            logs = token_scores(tree, group)
+            logs = _summed(tree, keys, group)
             sizes = np.fromiter((len(w) + 1 for w in group), np.int64, len(group))
             every = np.full(len(logs), END_HASH)
             is_word = np.ones(len(logs), bool)
@@ -348,7 +540,6 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     names = ["row", "code", "doc_id", "n", "n_known", "base", "score"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
-    slim = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("key"), F.col("text").cast("string").alias("text"))
     said = scratch.keep(slim.mapInArrow(run, f"row long, code long, doc_id {kind}, n long, n_known long, base double, score double"), "said")
 
     # words that are not among the frequent ones: one row for each time they are said

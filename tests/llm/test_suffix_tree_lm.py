@@ -74,3 +74,23 @@ def test_contexts_stay_by_divergence(make, spark):
     assert (1, int(table[ord("q")])) in kept
     for d, c in kept:  # every suffix is there
         assert d == 0 or (d - 1, c & ((1 << L.BITS * (d - 1)) - 1)) in kept
+
+
+def test_all_contexts_that_pass_stay_in_parts(make, monkeypatch):
+    """A tree larger than the table for small ones loses no context, in one part or in many."""
+    rng = random.Random(11)
+    training = [(k, prose(rng, 80, 300)) for k in range(60)] + [(90, None), (91, ""), (92, "Word WORD")]
+    docs, learned = make(training + [(200, "d\u00e9j\u00e0 vu 77 zqx"), (None, "a b")]), make(training)
+    scores = lambda: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], r["score"]) for r in L.score(docs, learned).collect())
+    whole, seen, build_part = scores(), [], L.build_part
+    monkeypatch.setattr(L, "build_part", lambda *a: seen.append(a[1:3]) or build_part(*a))
+    monkeypatch.setattr(L, "STATES", 5)
+    for part, memo, least in ((1 << 21, 1 << 20, 1), (100, 16, 2)):
+        monkeypatch.setattr(L, "PART", part)
+        monkeypatch.setattr(L, "MEMO", memo)
+        seen.clear()
+        again = scores()
+        assert [r[:4] for r in again] == [r[:4] for r in whole]
+        assert np.allclose([r[4] for r in again], [r[4] for r in whole], rtol=1e-5)
+        assert (len(seen) == 1) == (least == 1) and len(seen) >= least
+        assert seen[0][0] == 0 and seen[-1][1] == 1 << L.BITS * L.SPLIT
