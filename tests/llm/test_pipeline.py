@@ -57,3 +57,24 @@ def test_empty_documents(spark, folder, tmp_path):
     spark.read.parquet(f"{top}/documents.parquet").filter("false").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{top}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert P.run(spark, str(tmp_path)).collect() == []
+
+
+def test_rows_of_one_id_and_of_none_are_judged_each(spark, tmp_path):
+    """A good row does not rescue a bad one of its id, a null id rescues none, equal rows leave one."""
+    rng = random.Random(22)
+    item, kept, other = prose(rng, 40, 3000), prose(rng, 100, 3000), prose(rng, 100, 3000)
+    rows = [
+        *((k, prose(rng, 100, 3000)) for k in range(20)), (30, kept), (30, item), (30, "12345 !!"), (31, other), (31, other), (29, prose(rng, 90, 3000)),
+        (None, item), (None, "12345 !!"), (None, kept + " more"), (None, "no id"), (32, kept), (33, other + " more"), (33, prose(rng, 80, 3000)),
+    ]
+    docs = spark.createDataFrame([(d, t, "en", "src", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    order = lambda found: sorted(((d is None, d or 0, t) for d, t in found))
+    pairs = lambda df: order((r["doc_id"], r["text"]) for r in df.collect())
+    assert pairs(P.languages(spark, docs, str(tmp_path))) == order((d, t) for d, t in rows if t != "12345 !!")
+    assert pairs(P.benchmark_passages(spark, docs, str(tmp_path))) == order((d, t) for d, t in rows if t != item)
+    # the item stays under its one id, the longer copies and one of the equal rows go
+    single = set(rows) - {(None, item), (None, "12345 !!"), (None, kept + " more"), (32, kept), (33, other + " more")}
+    assert set(pairs(P.near_copies(spark, docs, str(tmp_path)))) == set(order(single)) and len(single) == len(pairs(P.near_copies(spark, docs, str(tmp_path))))
