@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import byte_bpe, hamming_dedup, label_shards, language_ftrl, positional_index, repetition, secret_markov, suffix_tree_lm, token_trees, toxicity_gbt
+from cladeframe.llm import (
+    block_search, byte_bpe, hamming_dedup, label_shards, language_ftrl, link_trust, positional_index, repetition, secret_markov,
+    spelling_index, suffix_tree_lm, token_trees, toxicity_gbt,
+)
 from cladeframe.llm.common import documents, id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +153,122 @@ def _(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
     edited = docs.withColumn("edits", token_trees.masking_edits(F.col("text"), MASKED, "<masked>"))
     return token_trees.recount(edited, RANKS, public_tokenizers.PATTERN)
+
+
+#: Every document's score for every item, word for word.
+SEARCH_SQL = r"""
+WITH said AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+lengths AS (SELECT doc_id, count(*) AS n FROM said GROUP BY doc_id),
+whole AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS length FROM lengths),
+asked AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term),
+held AS (SELECT doc_id, term, count(*) AS tf FROM said WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, whole GROUP BY term),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // length)))) AS BIGINT) AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), whole GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
+@query("op11_block_search", sql=SEARCH_SQL)
+def _(spark, sf_dir):
+    return block_search.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: The walk's steps by a recursive query over the flows of both directions.
+TRUST_SQL = r"""
+WITH RECURSIVE read AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, html FROM pages),
+ruled AS (
+  SELECT page_id, host, path, html, CASE
+    WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule FROM read),
+seeds AS (
+  SELECT host, avg(CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 1.0 ELSE 0.0 END) AS allowed,
+    avg(CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1.0 ELSE 0.0 END) AS blocked FROM ruled WHERE host <> '' GROUP BY host),
+linked AS (
+  SELECT host AS a, translate(b, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS b
+  FROM (SELECT host, unnest(regexp_extract_all(coalesce(html, ''),
+    '(?i)\b(?:href|src|action)\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\s"''<>]+)', 1)) AS b FROM ruled WHERE host <> '')),
+hosts AS (SELECT host AS name FROM ruled WHERE host <> '' UNION SELECT b FROM linked),
+line AS (
+  SELECT DISTINCT array_to_string(l[k:], '.') AS name
+  FROM (SELECT string_split(name, '.') AS l, unnest(range(1, greatest(2, len(string_split(name, '.'))))) AS k FROM hosts)),
+chain AS (
+  SELECT name, regexp_extract(name, '^[^.]*\.(.*)$', 1) AS up FROM line
+  WHERE len(string_split(name, '.')) > 2 AND NOT regexp_matches(name, '(^|\.)[0-9]*$') AND NOT contains(name, ':')),
+edges AS (
+  SELECT a, b, count(*) AS n
+  FROM (SELECT a, b FROM linked WHERE a <> b UNION ALL SELECT name, up FROM chain UNION ALL SELECT up, name FROM chain) GROUP BY a, b),
+both_ways AS (SELECT a AS src, b AS dst, false AS against, n FROM edges UNION ALL SELECT b, a, true, n FROM edges),
+flows AS MATERIALIZED (
+  SELECT src, dst, against, CAST(0.85 AS DOUBLE) * n / sum(n) OVER (PARTITION BY src, against) AS share FROM both_ways),
+walk(k, host, against, own, every) AS (
+  SELECT 0, host, false, CAST(allowed AS DOUBLE), CAST(1 AS DOUBLE) FROM seeds
+  UNION ALL SELECT 0, host, true, CAST(blocked AS DOUBLE), CAST(1 AS DOUBLE) FROM seeds
+  UNION ALL SELECT any_value(w.k) + 1, f.dst, f.against, sum(w.own * f.share), sum(w.every * f.share)
+  FROM walk w JOIN flows f ON f.src = w.host AND f.against = w.against WHERE w.k < 20 GROUP BY f.dst, f.against),
+ranks AS (SELECT host, against, sum(own) / sum(every) AS rank FROM walk GROUP BY host, against),
+judged AS (
+  SELECT host, coalesce(max(rank) FILTER (NOT against), 0) AS trust, coalesce(max(rank) FILTER (against), 0) AS distrust FROM ranks GROUP BY host)
+SELECT r.page_id, r.host, r.path, r.rule, CASE
+    WHEN r.rule IN ('net/', 'example.com/de/') THEN 'block' WHEN r.rule IS NOT NULL THEN 'allow'
+    WHEN j.distrust >= 0.4 - 1e-9 AND j.distrust > j.trust + 1e-9 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled r LEFT JOIN judged j USING (host)
+"""
+
+
+@query("op12_link_trust", sql=TRUST_SQL)
+def _(spark, sf_dir):
+    return link_trust.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: Near words by what is left of them without one code point; the checksum byte by byte.
+SPELLING_SQL = r"""
+WITH RECURSIVE divided(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM divided WHERE k < 8),
+steps AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM divided WHERE k = 8),
+runs AS MATERIALIZED (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY doc_id, run),
+summed AS (
+  SELECT run, n, doc_id, xor(list_reduce(
+      list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(doc_id || ':' || run)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM runs, steps),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT n, CASE WHEN doc_id IS NOT NULL AND h % 199 = 0
+    THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word FROM summed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cuts AS MATERIALIZED (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS near, b.n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-n, near)) AS near, max(n) AS near_n FROM near GROUP BY word),
+judged AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN best b USING (word)),
+chain(word, tip) AS (SELECT word, word FROM judged UNION ALL SELECT c.word, j.form FROM chain c JOIN judged j ON j.word = c.tip WHERE j.form IS NOT NULL)
+SELECT j.word, j.form, c.tip AS root, j.n, j.n_near, j.form_n
+FROM judged j JOIN chain c ON c.word = j.word JOIN judged e ON e.word = c.tip AND e.form IS NULL
+"""
+
+
+@query("op13_search_schemes", sql=SPELLING_SQL)
+def _(spark, sf_dir):
+    return spelling_index.variants(documents(spark, sf_dir))
