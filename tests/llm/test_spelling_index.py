@@ -69,6 +69,7 @@ def corpus(rng, n=60):
 
 def test_words_forms_and_roots(make, odd_rows):
     docs = corpus(random.Random(2)) + list(odd_rows) + [(None, "lonely " * 6), (1, "÷×straße ÉTÉÉÉÉ Étéééé " * 9)]
+    docs.append((99, "qqqqqq " * 5 + "qqqqqqr " * 25 + "qqqqqqrs " * 130))
     check(make, docs)
     assert any(root != form for _, form, root, *_ in brute(docs) if form)
 
