@@ -36,11 +36,12 @@ TERM = rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Distinct terms and items of a group; an item that alone has more terms is a group of its own.
 TERMS, ITEMS = 4096, 4096
 #: Cells of a chunk's matrix, documents times terms, and documents of a block.
-CELLS, BLOCK = 8 << 20, 64
+CELLS, BLOCK = 4 << 20, 64
 #: Directions of the random projections, and the step of a summary's rounded-up weights.
 DIRECTIONS, STEP = 16, 4096
 #: Blocks opened at first; twice as many each time.
 OPENED = 16
+SMALL_GROUPS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 4, "parquet.block.size.row.check.max": 4}
 #: Tasks that share an item's rows before they all meet.
 DEALS = 32
 
@@ -184,7 +185,7 @@ def index(found: DataFrame, weight: np.ndarray, n_docs: int, length: int) -> Dat
         ids = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), table["doc_id"].combine_chunks())
         return pa.RecordBatch.from_arrays(
             [ids, *(pa.array([arrays[k].astype(kind).tobytes()], pa.binary()) for k, kind in ARRAYS.items()),
-             pa.array([pa.compress(summaries.tobytes(), "zstd", asbytes=True)], pa.binary())],
+             pa.array([pa.compress(pa.py_buffer(summaries), "zstd", asbytes=True)], pa.binary())],
             ["doc_ids", *ARRAYS, "summaries"],
         )
 
@@ -311,7 +312,8 @@ def ranked(docs: DataFrame, items: DataFrame) -> DataFrame:
         for row in found.select(F.explode("coords").alias("c")).groupBy("c").agg(F.count("*").alias("n")).collect():
             df[row["c"]] = row["n"]
         weight = np.array([int(1000 * math.log((2 * n_docs + 2) / (2 * n + 1))) for n in df.tolist()], np.int64)
-        built = scratch.keep(index(found, weight, n_docs, max(1, length)), f"index-{k}")
+        # rows of some MB each: a writer holds few of them at once
+        built = scratch.keep(index(found, weight, n_docs, max(1, length)), f"index-{k}", **SMALL_GROUPS)
         out.append(scratch.keep(search(built, group, place, weight, item_kind), f"found-{k}"))
         for name in ("vectors", "index"):
             scratch.drop(f"{name}-{k}")

@@ -52,10 +52,10 @@ class Scratch:
             top = tempfile.mkdtemp(prefix="cladeframe-")
         self.spark, self.root = spark, f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back: a cut in the lineage."""
+    def keep(self, df: DataFrame, name: str, **options) -> DataFrame:
+        """Write ``df`` and read it back: a cut in the lineage.  ``options`` are the writer's."""
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
