@@ -37,6 +37,10 @@ TERM = rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TERMS, ITEMS = 4096, 4096
 #: Cells of a chunk's matrix, documents times terms, and documents of a block.
 CELLS, BLOCK = 4 << 20, 64
+#: A list of no more documents is one block without a summary, which is opened when its turn comes.
+SHORT = 16
+#: Texts counted at a time.
+ROWS = 500
 #: Directions of the random projections, and the step of a summary's rounded-up weights.
 DIRECTIONS, STEP = 16, 4096
 #: Blocks opened at first; twice as many each time.
@@ -100,7 +104,7 @@ def vectors(docs: DataFrame, place: dict[str, int]) -> DataFrame:
     known = {t.encode(): k for t, k in place.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             keep, n, coords, tf = [], [], [], []
             for k, text in enumerate(batch.column("text")):
                 counted = Counter(terms(text.as_py()))
@@ -108,8 +112,8 @@ def vectors(docs: DataFrame, place: dict[str, int]) -> DataFrame:
                     mine = sorted((known[t], c) for t, c in counted.items() if t in known)
                     keep.append(k)
                     n.append(counted.total())
-                    coords.append([c for c, _ in mine])
-                    tf.append([c for _, c in mine])
+                    coords.append(np.array([c for c, _ in mine], np.int32))
+                    tf.append(np.array([c for _, c in mine], np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(keep, pa.int64())), pa.array(n, pa.int64()), pa.array(coords, pa.list_(pa.int32())),
                  pa.array(tf, pa.list_(pa.int64()))],
@@ -119,8 +123,10 @@ def vectors(docs: DataFrame, place: dict[str, int]) -> DataFrame:
     return docs.select("doc_id", _binary("text").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, coords array<int>, tf array<long>")
 
 
-def _blocks(impact: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lists of a chunk: blocks of each term, documents of each block, and the blocks' summaries.
+def _blocks(impact: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Lists of a chunk: first block of each term, begins of the blocks, their documents, their summaries.
+
+    ``summary`` is a block's row of the summaries, -1 for a short list, which is one block without.
 
     ``impact`` has a row for each document and a column for each term.
     """
@@ -128,34 +134,32 @@ def _blocks(impact: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndar
     low = (-(-impact // STEP)).astype(np.uint8)
     sketch = (impact * weight.astype(np.float32)) @ np.random.default_rng(7).standard_normal((n_terms, DIRECTIONS), np.float32)
     sketch /= np.maximum(np.linalg.norm(sketch, axis=1, keepdims=True), 1e-30)
-    of_term, members, begins, summaries, total = np.zeros(n_terms + 1, np.int64), [], [], [], 0
     held, owner = np.nonzero(impact.T)
     ends = np.searchsorted(held, np.arange(n_terms + 1))
-    for t in range(n_terms):
+    sizes, members, summaries = np.diff(ends), owner.astype(np.int32), []
+    n_blocks, cuts = (sizes > 0).astype(np.int64), {}
+    for t in np.flatnonzero(sizes > SHORT).tolist():
         docs = owner[ends[t] : ends[t + 1]]
-        if len(docs) > BLOCK:
-            chosen = docs[:: BLOCK]
-            near = np.argmax(sketch[docs] @ sketch[chosen].T, axis=1)
-            order = np.argsort(near, kind="stable")
-            docs, near = docs[order], near[order]
-            starts = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
-        else:
-            starts = np.arange(1 if len(docs) else 0)
-        if len(docs):
-            summaries.append(np.maximum.reduceat(low[docs], starts, axis=0))
-            members.append(docs)
-            begins.append(starts + total)
-            total += len(docs)
-        of_term[t + 1] = of_term[t] + len(starts)
-    empty = np.empty(0, np.int64)
-    return (
-        of_term, np.concatenate([empty, *begins, [total]]), np.concatenate([empty, *members]).astype(np.int32),
-        np.concatenate([np.empty((0, n_terms), np.uint8), *summaries]),
-    )
+        near = np.argmax(sketch[docs] @ sketch[docs[::BLOCK]].T, axis=1)
+        order = np.argsort(near, kind="stable")
+        docs, near = docs[order], near[order]
+        cuts[t] = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
+        members[ends[t] : ends[t + 1]] = docs
+        n_blocks[t] = len(cuts[t])
+        summaries += [low[block].max(axis=0) for block in np.split(docs, cuts[t][1:])]
+    of_term = np.concatenate([[0], np.cumsum(n_blocks)])
+    begins, summary = np.full(of_term[-1] + 1, len(members), np.int64), np.full(of_term[-1], -1, np.int32)
+    begins[of_term[:-1][sizes > 0]] = ends[:-1][sizes > 0]
+    n = 0
+    for t, starts in cuts.items():
+        begins[of_term[t] : of_term[t + 1]] = ends[t] + starts
+        summary[of_term[t] : of_term[t + 1]] = np.arange(n, n + len(starts))
+        n += len(starts)
+    return of_term, begins, members, summary, np.array(summaries, np.uint8).reshape(-1, n_terms)
 
 
 #: The columns of an index row that hold arrays, as bytes, and their types.
-ARRAYS = {"of_term": np.int64, "begins": np.int64, "members": np.int32, "starts": np.int64, "coords": np.int32, "impacts": np.int32}
+ARRAYS = {"of_term": np.int64, "begins": np.int64, "members": np.int32, "summary": np.int32, "starts": np.int64, "coords": np.int32, "impacts": np.int32}
 
 
 def index(found: DataFrame, weight: np.ndarray, n_docs: int, length: int) -> DataFrame:
@@ -179,9 +183,9 @@ def index(found: DataFrame, weight: np.ndarray, n_docs: int, length: int) -> Dat
         impacts = (1_000_000_000 * tf // (1000 * tf + 8 * m)).astype(np.int32)
         dense = np.zeros((len(n), n_terms), np.int32)
         dense[np.repeat(np.arange(len(n)), sizes), flat] = impacts
-        of_term, begins, members, summaries = _blocks(dense, weight)
+        of_term, begins, members, summary, summaries = _blocks(dense, weight)
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        arrays = {"of_term": of_term, "begins": begins, "members": members, "starts": starts, "coords": flat, "impacts": impacts}
+        arrays = {"of_term": of_term, "begins": begins, "members": members, "summary": summary, "starts": starts, "coords": flat, "impacts": impacts}
         ids = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), table["doc_id"].combine_chunks())
         return pa.RecordBatch.from_arrays(
             [ids, *(pa.array([arrays[k].astype(kind).tobytes()], pa.binary()) for k, kind in ARRAYS.items()),
@@ -213,7 +217,7 @@ class Chunk:
         for name, kind in ARRAYS.items():
             setattr(self, name, np.frombuffer(row[name], kind))
         self.doc_ids = row["doc_ids"]
-        size = (len(self.begins) - 1) * n_terms
+        size = (self.summary.max(initial=-1) + 1) * n_terms
         self.summaries = np.frombuffer(pa.decompress(row["summaries"], size, "zstd"), np.uint8).reshape(-1, n_terms)
         sizes = np.diff(self.starts)
         self.dense = np.zeros((len(sizes), n_terms), np.int32)
@@ -237,7 +241,9 @@ class Chunk:
                 break
             mine = places[first : first + 4]
             blocks = np.concatenate([np.arange(self.of_term[t], self.of_term[t + 1]) for t in mine])
-            bounds = (self.summaries[blocks[:, None], places].astype(np.int64) * STEP) @ weights
+            rows = self.summary[blocks]
+            bounds = np.full(len(blocks), left[0])
+            bounds[rows >= 0] = (self.summaries[rows[rows >= 0][:, None], places].astype(np.int64) * STEP) @ weights
             blocks = blocks[np.argsort(-bounds, kind="stable")]
             bounds = np.sort(bounds)[::-1]
             at, take = 0, OPENED

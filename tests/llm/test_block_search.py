@@ -58,6 +58,8 @@ def test_many_chunks_and_groups_change_nothing(make, spark, monkeypatch):
     monkeypatch.setattr(B, "CELLS", 2000)
     monkeypatch.setattr(B, "TERMS", 40)
     monkeypatch.setattr(B, "BLOCK", 8)
+    monkeypatch.setattr(B, "SHORT", 2)
+    monkeypatch.setattr(B, "ROWS", 7)
     monkeypatch.setattr(B, "OPENED", 2)
     check(make, spark, *texts(random.Random(6), 200))
 
@@ -76,14 +78,17 @@ def test_summaries_bound_their_documents_and_blocks_are_left_out():
     for k in range(6):  # like documents share ten terms
         impact[topic == k, 10 * k : 10 * k + 10] = rng.integers(1, 900_000, ((topic == k).sum(), 10))
     weight = rng.integers(1, 9000, n_terms)
-    of_term, begins, members, summaries = B._blocks(impact, weight)
+    of_term, begins, members, summary, summaries = B._blocks(impact, weight)
     for t in range(n_terms):
         docs = np.concatenate([members[begins[b] : begins[b + 1]] for b in range(of_term[t], of_term[t + 1])])
         assert sorted(docs) == np.flatnonzero(impact[:, t]).tolist()
     for b in range(len(begins) - 1):
-        assert (summaries[b].astype(np.int64) * B.STEP >= impact[members[begins[b] : begins[b + 1]]]).all()
+        if summary[b] >= 0:
+            assert (summaries[summary[b]].astype(np.int64) * B.STEP >= impact[members[begins[b] : begins[b + 1]]]).all()
+        else:
+            assert begins[b + 1] - begins[b] <= B.SHORT
     chunk = B.Chunk.__new__(B.Chunk)
-    chunk.of_term, chunk.begins, chunk.members, chunk.summaries, chunk.dense = of_term, begins, members, summaries, impact
+    chunk.of_term, chunk.begins, chunk.members, chunk.summary, chunk.summaries, chunk.dense = of_term, begins, members, summary, summaries, impact
     chunk.most = impact.max(axis=0)
     opened = 0
     for k in range(6):
