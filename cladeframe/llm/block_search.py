@@ -1,16 +1,16 @@
 """Ranked lexical search with geometric blocks in every posting list.
 
-The texts become vectors over the terms that a group of items asks for.  A chunk of vectors
-makes one row of the index: each term's posting list is cut into blocks of like documents,
-which gather round representatives by the cosine of short random projections, and each block
-keeps a summary, the greatest weight of its documents in every coordinate.  An item's product
+The texts become vectors over the terms that a group of items asks for, which are written.
+A task makes the index of a chunk of vectors in its memory: each term's posting list is cut into
+blocks of like documents, which gather round representatives by the cosine of short random
+projections, and each block keeps a summary, the greatest weight of its documents in every coordinate.  An item's product
 with a summary is therefore never below the score of a document in the block.  A search takes
 the blocks of the item's lists in order of that bound, scores their documents, and leaves out
 only the blocks whose bound is below the item's tenth score so far; the lists that together
 cannot reach that score are not opened.  So the result is that of a full scan.
 
-Texts never move: an index row is made where its texts are read, and only each task's ten best
-of an item meet.  The items are asked in groups of at most ``TERMS`` distinct terms, one index
+Texts never move: they are counted where they are read, and only each task's ten best of an item
+meet.  A lost task makes its chunks again from the written vectors.  The items are asked in groups of at most ``TERMS`` distinct terms, one index
 for each group; the counts behind the weights cover all texts.
 """
 
@@ -45,7 +45,6 @@ ROWS = 500
 DIRECTIONS, STEP = 16, 4096
 #: Blocks opened at first; twice as many each time.
 OPENED = 16
-SMALL_GROUPS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 4, "parquet.block.size.row.check.max": 4}
 #: Tasks that share an item's rows before they all meet.
 DEALS = 32
 
@@ -158,70 +157,23 @@ def _blocks(impact: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
     return of_term, begins, members, summary, np.array(summaries, np.uint8).reshape(-1, n_terms)
 
 
-#: The columns of an index row that hold arrays, as bytes, and their types.
-ARRAYS = {"of_term": np.int64, "begins": np.int64, "members": np.int32, "summary": np.int32, "starts": np.int64, "coords": np.int32, "impacts": np.int32}
-
-
-def index(found: DataFrame, weight: np.ndarray, n_docs: int, length: int) -> DataFrame:
-    """One row for each chunk of ``vectors``: its documents, lists, blocks and summaries.
+class Chunk:
+    """The index of some documents: vectors, posting lists, their blocks and summaries.
 
     ``n_docs`` documents have ``length`` terms in all.  A term counts in a document with
     ``(10^9 tf) div (1000 tf + 8 m)``, where ``m = 25 + (75 n n_docs) div length``.
     """
-    kind = found.schema["doc_id"].dataType.simpleString()
-    n_terms = len(weight)
-    most = max(1, CELLS // max(1, n_terms))
 
-    def chunk(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def __init__(self, rows: list[pa.RecordBatch], weight: np.ndarray, n_docs: int, length: int):
         table = pa.Table.from_batches(rows).combine_chunks()
-        n = table["n"].to_numpy()
-        coords = table["coords"].combine_chunks()
-        sizes = np.diff(coords.offsets.to_numpy()).astype(np.int64)
-        flat = coords.flatten().to_numpy().astype(np.int32)
+        n, coords = table["n"].to_numpy(), table["coords"].combine_chunks()
+        sizes = np.diff(coords.offsets.to_numpy())
         tf = table["tf"].combine_chunks().flatten().to_numpy()
         m = np.repeat(25 + 75 * n * n_docs // length, sizes)
-        impacts = (1_000_000_000 * tf // (1000 * tf + 8 * m)).astype(np.int32)
-        dense = np.zeros((len(n), n_terms), np.int32)
-        dense[np.repeat(np.arange(len(n)), sizes), flat] = impacts
-        of_term, begins, members, summary, summaries = _blocks(dense, weight)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        arrays = {"of_term": of_term, "begins": begins, "members": members, "summary": summary, "starts": starts, "coords": flat, "impacts": impacts}
-        ids = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), table["doc_id"].combine_chunks())
-        return pa.RecordBatch.from_arrays(
-            [ids, *(pa.array([arrays[k].astype(kind).tobytes()], pa.binary()) for k, kind in ARRAYS.items()),
-             pa.array([pa.compress(pa.py_buffer(summaries), "zstd", asbytes=True)], pa.binary())],
-            ["doc_ids", *ARRAYS, "summaries"],
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in batches:
-            while batch.num_rows:
-                part = batch.slice(0, most - rows)
-                held.append(part)
-                batch, rows = batch.slice(part.num_rows), rows + part.num_rows
-                if rows == most:
-                    yield chunk(held)
-                    held, rows = [], 0
-        if held:
-            yield chunk(held)
-
-    columns = ", ".join(f"{k} binary" for k in ARRAYS)
-    return found.mapInArrow(run, f"doc_ids array<{kind}>, {columns}, summaries binary")
-
-
-class Chunk:
-    """An index row, ready to be asked."""
-
-    def __init__(self, row: dict, n_terms: int):
-        for name, kind in ARRAYS.items():
-            setattr(self, name, np.frombuffer(row[name], kind))
-        self.doc_ids = row["doc_ids"]
-        size = (self.summary.max(initial=-1) + 1) * n_terms
-        self.summaries = np.frombuffer(pa.decompress(row["summaries"], size, "zstd"), np.uint8).reshape(-1, n_terms)
-        sizes = np.diff(self.starts)
-        self.dense = np.zeros((len(sizes), n_terms), np.int32)
-        self.dense[np.repeat(np.arange(len(sizes)), sizes), self.coords] = self.impacts
+        self.doc_ids = table["doc_id"]
+        self.dense = np.zeros((len(n), len(weight)), np.int32)
+        self.dense[np.repeat(np.arange(len(n)), sizes), coords.flatten().to_numpy()] = 1_000_000_000 * tf // (1000 * tf + 8 * m)
+        self.of_term, self.begins, self.members, self.summary, self.summaries = _blocks(self.dense, weight)
         self.most = self.dense.max(axis=0, initial=0)
 
     def best(self, places: np.ndarray, weights: np.ndarray, least: int) -> tuple[list[tuple[int, int]], int]:
@@ -261,32 +213,51 @@ class Chunk:
         return [(int(scores[d]), int(d)) for d in reached], opened
 
 
-def search(built: DataFrame, group: list, place: dict[str, int], weight: np.ndarray, item_kind: DataType) -> DataFrame:
-    """``item, item_id, doc_id, score``: of each task the ``TOP`` documents of every item of the group."""
-    doc_kind = built.schema["doc_ids"].dataType.elementType
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches put together and cut so that each list has ``most`` rows, the last fewer."""
+    held, rows = [], 0
+    for batch in batches:
+        while batch.num_rows:
+            part = batch.slice(0, most - rows)
+            held.append(part)
+            batch, rows = batch.slice(part.num_rows), rows + part.num_rows
+            if rows == most:
+                yield held
+                held, rows = [], 0
+    if held:
+        yield held
+
+
+def search(found: DataFrame, group: list, place: dict[str, int], weight: np.ndarray, n_docs: int, length: int, item_kind: DataType) -> DataFrame:
+    """``item, item_id, doc_id, score``: of each task the ``TOP`` documents of every item of the group.
+
+    A task makes the index of one chunk of ``vectors`` after the other, and asks it for all
+    items of the group; what an item has found so far bounds its search of the next chunk.
+    """
+    doc_kind = found.schema["doc_id"].dataType
     questions = []
     for item, item_id, said in group:
         own = np.array([place[t] for t, _ in said], np.int64)
         questions.append((item, item_id, own, weight[own] * np.array([n for _, n in said], np.int64)))
-    n_terms, types = len(weight), [pa.int64(), to_arrow_type(item_kind), to_arrow_type(doc_kind), pa.int64()]
+    types = [pa.int64(), to_arrow_type(item_kind), to_arrow_type(doc_kind), pa.int64()]
+    most = max(1, CELLS // max(1, len(weight)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list[tuple]] = [[] for _ in questions]
-        for batch in batches:
-            for k in range(batch.num_rows):
-                chunk = Chunk(batch.slice(k, 1).to_pylist()[0], n_terms)
-                for q, (_, _, own, weights) in enumerate(questions):
-                    found, _ = chunk.best(own, weights, best[q][-1][0] if len(best[q]) == TOP else 1)
-                    if found:
-                        more = ((score, chunk.doc_ids[d]) for score, d in found)
-                        best[q] = sorted([*best[q], *more], key=lambda x: (-x[0], x[1] is None, x[1] or 0))[:TOP]
-        rows = [(*questions[q][:2], doc_id, score) for q, found in enumerate(best) for score, doc_id in found]
+        for rows in _chunks(batches, most):
+            chunk = Chunk(rows, weight, n_docs, length)
+            for q, (_, _, own, weights) in enumerate(questions):
+                here, _ = chunk.best(own, weights, best[q][-1][0] if len(best[q]) == TOP else 1)
+                if here:
+                    more = ((score, chunk.doc_ids[d].as_py()) for score, d in here)
+                    best[q] = sorted([*best[q], *more], key=lambda x: (-x[0], x[1] is None, x[1] or 0))[:TOP]
+        rows = [(*questions[q][:2], doc_id, score) for q, kept in enumerate(best) for score, doc_id in kept]
         columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["item", "item_id", "doc_id", "score"]
         )
 
-    return built.mapInArrow(run, f"item long, item_id {item_kind.simpleString()}, doc_id {doc_kind.simpleString()}, score long")
+    return found.mapInArrow(run, f"item long, item_id {item_kind.simpleString()}, doc_id {doc_kind.simpleString()}, score long")
 
 
 def first(found: DataFrame) -> DataFrame:
@@ -318,11 +289,8 @@ def ranked(docs: DataFrame, items: DataFrame) -> DataFrame:
         for row in found.select(F.explode("coords").alias("c")).groupBy("c").agg(F.count("*").alias("n")).collect():
             df[row["c"]] = row["n"]
         weight = np.array([int(1000 * math.log((2 * n_docs + 2) / (2 * n + 1))) for n in df.tolist()], np.int64)
-        # rows of some MB each: a writer holds few of them at once
-        built = scratch.keep(index(found, weight, n_docs, max(1, length)), f"index-{k}", **SMALL_GROUPS)
-        out.append(scratch.keep(search(built, group, place, weight, item_kind), f"found-{k}"))
-        for name in ("vectors", "index"):
-            scratch.drop(f"{name}-{k}")
+        out.append(scratch.keep(search(found, group, place, weight, n_docs, max(1, length), item_kind), f"found-{k}"))
+        scratch.drop(f"vectors-{k}")
     if not out:
         return docs.sparkSession.createDataFrame([], f"item_id {item_kind.simpleString()}, rank int, doc_id {doc_kind.simpleString()}, score long")
     return first(reduce(DataFrame.union, out))
