@@ -1,17 +1,19 @@
 """Ranked lexical search with geometric blocks in every posting list.
 
-The texts become vectors over the terms that a group of items asks for, which are written.
-A task makes the index of a chunk of vectors in its memory: each term's posting list is cut into
+The texts become vectors over the terms that a group of items asks for, which are written.  A
+task makes the index of a chunk of vectors in its memory: each term's posting list is cut into
 blocks of like documents, which gather round representatives by the cosine of short random
-projections, and each block keeps a summary, the greatest weight of its documents in every coordinate.  An item's product
-with a summary is therefore never below the score of a document in the block.  A search takes
-the blocks of the item's lists in order of that bound, scores their documents, and leaves out
-only the blocks whose bound is below the item's tenth score so far; the lists that together
-cannot reach that score are not opened.  So the result is that of a full scan.
-
-Texts never move: they are counted where they are read, and only each task's ten best of an item
-meet.  A lost task makes its chunks again from the written vectors.  The items are asked in groups of at most ``TERMS`` distinct terms, one index
-for each group; the counts behind the weights cover all texts.
+projections, and each block keeps a summary, the greatest weight of its documents in every
+coordinate.  An item's product with a summary is therefore never below the score of a document
+in the block.  A search takes the blocks of the item's lists in order of that bound, scores
+their documents, and leaves out only the blocks whose bound is below the item's tenth score so
+far; the lists that together cannot reach that score are not opened.  So the result is that of
+a full scan.
+
+Texts never move: they are counted where they are read, and only each task's ten best of an
+item meet.  A lost task makes its chunks again from the written vectors.  The items are asked in
+groups of at most ``TERMS`` distinct terms, with vectors for each group; the counts behind the
+weights cover all texts.
 """
 
 from __future__ import annotations
