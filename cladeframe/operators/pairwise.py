@@ -40,6 +40,12 @@ def _n_blocks(rows: DataFrame, weight: Column, block: int) -> int:
     return int(max(1, -(-int(r["w"] or 0) // block), min(8, r["n"])))
 
 
+def _most_blocks(rows: DataFrame, within: str, weight: Column, block: int) -> int:
+    """Blocks of the heaviest group; lighter ones have blocks of fewer rows, some of none."""
+    heaviest = rows.groupBy(within).agg(F.sum(weight + 1).alias("w")).agg(F.max("w")).first()[0]
+    return int(max(1, -(-int(heaviest or 0) // block)))
+
+
 def _cells(
     left: DataFrame,
     right: DataFrame | None,
@@ -48,10 +54,15 @@ def _cells(
     key_type: str,
     value_type: str,
     block: int,
+    within: str | None = None,
 ) -> DataFrame:
-    """``(i, j, value)`` for all pairs: ``i <= j`` of one set, or every i of ``left`` and j of ``right``."""
+    """``(i, j, value)`` for all pairs: ``i <= j`` of one set, or every i of ``left`` and j of ``right``.
+
+    With ``within``, a column of one set, only pairs of rows that agree in it; it is returned too.
+    """
     half = right is None
-    nl = _n_blocks(left, weight, block)
+    keys = ["bi", "bj"] if within is None else [within, "bi", "bj"]
+    nl = _n_blocks(left, weight, block) if within is None else _most_blocks(left, within, weight, block)
     nr = nl if half else _n_blocks(right, weight, block)
     at = lambda n: F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")
     one = left.withColumn("bi", at(nl)).withColumn(
@@ -67,22 +78,27 @@ def _cells(
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
         if a.num_rows == 0 or b.num_rows == 0:
             empty = pa.array([], kinds[key_type])
-            return pa.table({"i": empty, "j": empty, "value": pa.array([], kinds[value_type])})
+            none = {"i": empty, "j": empty, "value": pa.array([], kinds[value_type])}
+            return pa.table(none if within is None else {within: a.column(within).slice(0, 0), **none})
         flat = pa.array(body(a, b).ravel(), kinds[value_type])
         i = a.column("i").take(pa.array(np.repeat(np.arange(a.num_rows), b.num_rows)))
         j = b.column("i").take(pa.array(np.tile(np.arange(b.num_rows), a.num_rows)))
         out = pa.table({"i": i, "j": j, "value": flat})
-        if not half:
+        if half:
+            forward = pc.less_equal(i, j)
+            if a.column("bi")[0] == a.column("bj")[0]:
+                out = out.filter(forward)
+            else:
+                out = pa.table({"i": pc.if_else(forward, i, j), "j": pc.if_else(forward, j, i), "value": flat})
+        if within is None:
             return out
-        forward = pc.less_equal(i, j)
-        if a.column("bi")[0] == a.column("bj")[0]:
-            return out.filter(forward)
-        return pa.table({"i": pc.if_else(forward, i, j), "j": pc.if_else(forward, j, i), "value": flat})
+        return out.add_column(0, within, a.column(within).take(pa.array(np.zeros(out.num_rows, np.int64))))
 
+    group = "" if within is None else f"{within} {left.schema[within].dataType.simpleString()}, "
     return (
-        one.groupBy("bi", "bj")
-        .cogroup(two.groupBy("bi", "bj"))
-        .applyInArrow(cell, f"i {key_type}, j {key_type}, value {value_type}")
+        one.groupBy(*keys)
+        .cogroup(two.groupBy(*keys))
+        .applyInArrow(cell, f"{group}i {key_type}, j {key_type}, value {value_type}")
     )
 
 
@@ -121,10 +137,12 @@ def local_scores(
     gap_open: int = GAP_OPEN,
     gap_extend: int = GAP_EXTEND,
     block: int = BLOCK_WEIGHT,
+    within: str | None = None,
 ) -> DataFrame:
     """Local alignment score of all pairs: ``(i, j, score)`` from ``(i, seq)``.
 
-    One set: pairs with ``i <= j``, the diagonal included.  Residues outside the
+    One set: pairs with ``i <= j``, the diagonal included; with ``within`` only pairs of rows
+    that agree in that column, which comes first in the result.  Residues outside the
     matrix are dropped first.  A sequence without residues scores 0.
     """
     symbols, dense = matrix_array(matrix)
@@ -140,8 +158,9 @@ def local_scores(
         return np.maximum(out, 0).astype(np.int32)
 
     key = dict(left.dtypes)["i"].replace("bigint", "long")
-    cells = _cells(left.select("i", "seq"), None if right is None else right.select("i", "seq"),
-                   F.length("seq"), body, key, "int", block)
+    columns = ["i", "seq"] if within is None else [within, "i", "seq"]
+    cells = _cells(left.select(*columns), None if right is None else right.select("i", "seq"),
+                   F.length("seq"), body, key, "int", block, within)
     return cells.withColumnRenamed("value", "score")
 
 
@@ -317,8 +336,11 @@ def aligned_pair_score(a: Column, b: Column) -> Column:
     return matches * PAIR_MATCH + opened * GAP_OPEN + (gaps - opened) * GAP_EXTEND
 
 
-def aligned_scores(msa: DataFrame, block: int = BLOCK_WEIGHT) -> DataFrame:
-    """``(i, j, score)`` of all pairs of rows of one alignment (``i <= j``, names as ids)."""
+def aligned_scores(msa: DataFrame, block: int = BLOCK_WEIGHT, within: str | None = None, key: str = "name") -> DataFrame:
+    """``(i, j, score)`` of all pairs of rows of one alignment (``i <= j``, names or ``key`` as ids).
+
+    With ``within``, a column that numbers alignments, of all pairs of rows of each alignment.
+    """
 
     def body(a: pa.Table, b: pa.Table) -> np.ndarray:
         xs, ys = (
@@ -327,7 +349,9 @@ def aligned_scores(msa: DataFrame, block: int = BLOCK_WEIGHT) -> DataFrame:
         )
         return np.vstack([_row_scores(x, ys) for x in xs]).astype(np.int32)
 
-    cells = _cells(msa.select(F.col("name").alias("i"), "seq"), None, F.length("seq"), body, "string", "int", block)
+    rows = msa.select(*([] if within is None else [within]), F.col(key).alias("i"), "seq")
+    kind = dict(rows.dtypes)["i"].replace("bigint", "long")
+    cells = _cells(rows, None, F.length("seq"), body, kind, "int", block, within)
     return cells.withColumnRenamed("value", "score")
 
 
