@@ -6,7 +6,6 @@ made and nothing else.  Steps depend on one another, so their number is the run'
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -18,6 +17,7 @@ from cladeframe.operators import place as L
 from cladeframe.operators import profiles as P
 from cladeframe.operators import traces as X
 from cladeframe.operators import trees as T
+from cladeframe.plans import forest as N
 from cladeframe.session import cut_lineage
 
 # Scores of an insertion step, and the length of the branches that it makes.
@@ -75,11 +75,19 @@ def start(msa: DataFrame, nodes: DataFrame, edges: DataFrame) -> Grown:
     return Grown(nodes.select("node_id", "name", "is_tip"), edges.select("edge_id", "u", "v", "len"), cut_lineage(kept))
 
 
-def insert_in_order(tree: Grown, sequences: Iterable[tuple[str, str]], **kw) -> Grown:
-    """Insert ``(name, seq)`` one after the other in the order given."""
-    for name, seq in sequences:
-        tree = insert(tree, name, seq, **kw)
-    return tree
+def insert_in_order(tree: Grown, sequences: DataFrame, alpha: str | R.Alphabet = R.DNA) -> Grown:
+    """Insert ``sequences(rank, name, seq)`` one after the other, from rank 0 on.
+
+    Edges that stay as they are keep their lengths.
+    """
+    root = F.lit(0).alias("tree_id")
+    tips = tree.msa.join(tree.nodes.filter("is_tip").select("name", "node_id"), "name")
+    forest = N.Forest(tips.select(root, F.lit(-1).cast("long").alias("i"), "node_id", "name", "seq"), tree.edges.select(root, "edge_id", "u", "v"))
+    seqs = L.clean_queries(sequences, alpha).select(root, F.col("rank").cast("long").alias("i"), "name", "seq")
+    grown = N.extend(forest, seqs, sequences.select(root, "rank", F.col("rank").cast("long").alias("i")), alpha)
+    kept = tree.edges.select("edge_id", "u", "v", "len")
+    edges = grown.edges.join(kept, ["edge_id", "u", "v"], "left").select("edge_id", "u", "v", F.coalesce("len", F.lit(BRANCH)).alias("len"))
+    return Grown(grown.nodes().select("node_id", "name", "is_tip"), edges, grown.rows.select("name", "seq"))
 
 
 def insert_guided(tree: Grown, name: str, seq: str, beside: list[str], branches: DataFrame, **kw) -> Grown:

@@ -62,25 +62,3 @@ def node_job(
     width = int(profiles.agg(F.max(F.size("gap"))).first()[0])
     aligned = X.extended_alignment(refs, X.with_gapped(traces, placed), width, ref_gaps)
     return Placement(placed.select("seq_id", "name", "node_id", "score"), traces, aligned)
-
-
-def addition_order(distances: DataFrame, cut_every: int = 8) -> list:
-    """Ids in greedy order from a full ``(i, j, dist)``: the closest pair, then always the id with
-    the least total distance to those taken; ties to the smallest id.
-
-    The driver keeps the ids alone.  A step is one aggregate over the running sums of the ids
-    that are left and one join with the distances of the id just taken.
-    """
-    pair = distances.filter("i <> j").agg(F.min(F.struct("dist", "i", "j")).alias("m")).first()["m"]
-    if pair is None:
-        return [r["i"] for r in distances.select("i").distinct().limit(2).collect()]
-    order = [pair["i"], pair["j"]]
-    left = distances.filter(F.col("i").isin(order) & ~F.col("j").isin(order)).groupBy("j").agg(F.sum("dist").alias("total"))
-    left = cut_lineage(left)
-    while (best := left.agg(F.min(F.struct("total", "j")).alias("m")).first()["m"]) is not None:
-        order.append(best["j"])
-        step = distances.filter(F.col("i") == best["j"]).select("j", "dist")
-        left = left.filter(F.col("j") != best["j"]).join(step, "j").select("j", (F.col("total") + F.col("dist")).alias("total"))
-        if len(order) % cut_every == 0:
-            left = cut_lineage(left)
-    return order

@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions import gapmodel as M
@@ -19,8 +19,10 @@ from cladeframe.operators import logodds as G
 from cladeframe.operators import pairwise as W
 from cladeframe.operators import place as L
 from cladeframe.operators import profiles as P
+from cladeframe.operators import tours as U
 from cladeframe.operators import traces as X
 from cladeframe.operators import trees as T
+from cladeframe.plans import forest as N
 from cladeframe.plans import jobs as J
 from cladeframe.plans import oracles as O
 from cladeframe.session import cut_lineage, shared_folder
@@ -646,9 +648,56 @@ SELECT k + 1, list_append(used, j) FROM (SELECT g.k, g.used, p.j, row_number() O
 @query("addition_order", "greedy", sql="""SELECT CAST(r - 1 AS INTEGER) AS rank, i FROM
  (SELECT unnest(used) AS i, unnest(range(1, len(used) + 1)) AS r FROM (SELECT arg_max(used, k) AS used FROM greedy))""")
 def _(spark, sf):
-    closer = W.mirror(_item_scores(spark, sf)).select("i", "j", (-F.col("score")).cast("long").alias("dist"))
-    order = J.addition_order(cut_lineage(closer))
-    return spark.createDataFrame([(k, int(i)) for k, i in enumerate(order)], "rank int, i long")
+    closer = W.mirror(_item_scores(spark, sf)).select(F.lit(0).alias("tree_id"), "i", "j", (-F.col("score")).cast("long").alias("dist"))
+    return N.addition_orders(cut_lineage(closer)).select("rank", "i")
+
+
+#: The benchmark texts are dealt to so many trees.
+TREES = 8
+
+
+def _families(spark: SparkSession, sf: str) -> DataFrame:
+    items = _items(spark, sf).filter("seq <> ''")
+    return items.select((F.col("seq_id") % TREES).cast("int").alias("tree_id"), F.col("seq_id").alias("i"), "name", "seq")
+
+
+O.cte("tree_pairs_all", ["pair_all"], f"SELECT CAST(i % {TREES} AS INTEGER) AS t, i, j, score FROM pair_all WHERE i % {TREES} = j % {TREES}")
+O.cte("tree_greedy", ["tree_pairs_all"], """SELECT t, 1 AS k, [i, j] AS used
+FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, i, j) AS r FROM tree_pairs_all WHERE i <> j) WHERE r = 1
+UNION ALL SELECT t, k + 1, list_append(used, j)
+FROM (SELECT g.t, g.k, g.used, p.j, row_number() OVER (PARTITION BY g.t ORDER BY sum(p.score) DESC, p.j) AS r
+ FROM tree_greedy g JOIN tree_pairs_all p ON p.t = g.t AND list_contains(g.used, p.i) AND NOT list_contains(g.used, p.j)
+ GROUP BY g.t, g.k, g.used, p.j) WHERE r = 1""")
+
+
+@query("tree_orders", "tree_greedy", sql="""SELECT t AS tree_id, CAST(r - 1 AS INTEGER) AS rank, i FROM
+ (SELECT t, unnest(used) AS i, unnest(range(1, len(used) + 1)) AS r FROM (SELECT t, arg_max(used, k) AS used FROM tree_greedy GROUP BY t))""")
+def _(spark, sf):
+    texts = D.items(spark, sf).select((F.col("seq_id") % TREES).cast("int").alias("tree_id"), F.col("seq_id").alias("i"), "seq")
+    scores = W.mirror(W.local_scores(texts, S.flat_matrix(spark), within="tree_id"))
+    return N.addition_orders(cut_lineage(scores.select("tree_id", "i", "j", (-F.col("score")).cast("long").alias("dist"))))
+
+
+@query("grown_trees")
+def _(spark, sf):
+    """Rows and splits cannot be said in SQL; the tests hold them against a plain loop."""
+    return N.from_nothing(_families(spark, sf), S.flat_matrix(spark)).rows
+
+
+@query("refined_trees")
+def _(spark, sf):
+    return N.refine(_families(spark, sf), S.flat_matrix(spark)).ends
+
+
+@query("extended_trees")
+def _(spark, sf):
+    """Every tree's first half of texts in id order, then the others added in id order."""
+    seqs = _families(spark, sf)
+    rank = (F.row_number().over(Window.partitionBy("tree_id").orderBy("i")) - 1).alias("rank")
+    orders = cut_lineage(seqs.select("tree_id", rank, "i", F.ceil(F.count("*").over(Window.partitionBy("tree_id")) / 2).cast("int").alias("half")))
+    first, later = orders.filter("rank < greatest(half, 2)"), orders.filter("rank >= greatest(half, 2)")
+    forest = N.build(seqs, first.select("tree_id", "rank", "i"))
+    return N.extend(forest, seqs, later.select("tree_id", (F.col("rank") - F.greatest("half", F.lit(2))).alias("rank"), "i")).rows
 
 
 def _node_profiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -783,6 +832,15 @@ def _(spark, sf):
     return _branches(spark, sf).select("tree_id", "node_id", "height", "depth")
 
 
+@query("table_traversal", "season_rank", sql="""
+SELECT tree_id, CAST(k AS INTEGER) AS node_id, CAST(k AS INTEGER) AS preorder,
+ CAST(CASE WHEN k <= 9 THEN k WHEN k = 10 THEN 10 WHEN k >= 20 THEN 1 ELSE 21 - k END AS INTEGER) AS depth
+FROM (SELECT DISTINCT tree_id, unnest(range(1, 22)) AS k FROM season_rank)""")
+def _(spark, sf):
+    b = _branches(spark, sf)
+    return U.traversal(T.nodes_of(b), T.edges_of(b)).select("tree_id", "node_id", "preorder", "depth")
+
+
 # ---- windows, orders, sets --------------------------------------------------------------------
 
 
@@ -845,15 +903,20 @@ def _(spark, sf):
 O.cte("tree_dist", ["season_splits", "tree_pairs"], "SELECT t1, t2, count(a.tips) AS n_shared, count(*) AS n_splits FROM tree_pairs JOIN season_splits b ON b.tree_id = t2 LEFT JOIN season_splits a ON a.tree_id = t1 AND a.tips = b.tips GROUP BY 1, 2")
 
 
+def _fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    b = _branches(spark, sf)
+    return U.split_fingerprints(T.nodes_of(b), T.edges_of(b))
+
+
 @query("tree_distance", "tree_dist", sql="SELECT t1, t2, n_shared, n_splits, round(1 - n_shared / CAST(n_splits AS DOUBLE), 6) AS dist FROM tree_dist")
 def _(spark, sf):
-    d = T.tree_distance(T.splits(_branches(spark, sf)), _pairs(spark, sf))
+    d = T.tree_distance(_fingerprints(spark, sf), _pairs(spark, sf))
     return d.withColumn("dist", six("dist"))
 
 
 @query("split_sets_equal", "tree_dist", sql="SELECT t1, t2, n_shared = n_splits AS contained FROM tree_dist")
 def _(spark, sf):
-    return T.split_sets_equal(cut_lineage(T.splits(_branches(spark, sf))), _pairs(spark, sf))
+    return T.split_sets_equal(cut_lineage(_fingerprints(spark, sf)), _pairs(spark, sf))
 
 
 @query("without_clones", "season_splits", "season_sets", sql="""

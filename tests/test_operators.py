@@ -191,20 +191,6 @@ def test_one_length_is_ranked_over_many_partitions(spark):
     assert rows(W.length_order(seqs).select("rank", "i")) == [(k, k) for k in range(500)]
 
 
-def test_addition_order(spark):
-    rng = np.random.default_rng(6)
-    for n in (2, 5, 8):
-        d = rng.integers(1, 6, (n, n))
-        d = d + d.T
-        table = spark.createDataFrame([(i, j, int(d[i, j])) for i in range(n) for j in range(n)], "i long, j long, dist long")
-        _, a, b = min((d[i, j], i, j) for i in range(n) for j in range(n) if i != j)
-        want = [a, b]
-        while len(want) < n:
-            want.append(min((sum(d[u, k] for u in want), k) for k in range(n) if k not in want)[1])
-        assert J.addition_order(table, cut_every=3) == want
-    assert J.addition_order(spark.createDataFrame([(4, 4, 0)], "i long, j long, dist long")) == [4]
-
-
 def test_generation_cycle(spark):
     history = [(g, f"{g if g < 3 else 3}-{k}") for g in range(8) for k in range(2)]
     found = rows(T.generation_cycle(spark.createDataFrame(history, "gen int, split_key string")))
@@ -261,7 +247,7 @@ def test_insertion_in_order_and_guided(spark, small_tree):
     nodes, edges = small_tree
     msa = spark.createDataFrame(list(ROWS.items()), "name string, seq string")
     first = N.start(msa, nodes, edges)
-    grown = N.insert_in_order(first, [("x", "ACGTTACGTAC"), ("y", "AAGTTTACCTGC")])
+    grown = N.insert_in_order(first, spark.createDataFrame([(1, "y", "AAGTTTACCTGC"), (0, "x", "ACGTTACGTAC")], "rank int, name string, seq string"))
     found = dict(rows(grown.msa))
     assert set(found) == set("abcdexy") and len({len(s) for s in found.values()}) == 1
     assert found["x"].replace("-", "") == "ACGTTACGTAC" and found["y"].replace("-", "") == "AAGTTTACCTGC"
