@@ -41,6 +41,16 @@ class Scores:
     match_flag: int = -3
 
 
+@dataclass(frozen=True)
+class Penalties:
+    """Costs of the penalty scheme.  Fixed values: its defaults."""
+
+    gap_open: int = 3
+    gap_extend: int = 1
+    mismatch: int = 1
+    match_flag: int = 3
+
+
 @dataclass(frozen=True)
 class ProfileSet:
     """Profiles as arrays: ``state`` and ``flag`` are (columns, edges), edges ascending."""
@@ -270,6 +280,48 @@ def best_edge(queries: DataFrame, profiles: DataFrame, **kw) -> DataFrame:
     return top_edges(queries, profiles, 1, **kw).drop("rank")
 
 
+def cheapest_edge(
+    queries: DataFrame, profiles: DataFrame, penalties: Penalties = Penalties(), spread_queries: bool = True,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """``(seq_id, edge_id, penalty)``: the edge of least penalty for each query, ties to the smallest edge id.
+
+    ``queries(seq_id, seq)`` hold pure A, C, G and T.  The penalty is that of the query within
+    the band of its free shifts along the profile, which has to be longer; a query that is not
+    shorter, or has no residues, has a null edge and penalty.
+    """
+    n_edges, n_cols = profile_shape(profiles)
+    if n_edges == 0:
+        raise ValueError("no profiles")
+    states = R.DNA.state_table()
+    cells = max(1, (1 << 17) // max(1, n_cols))
+
+    def body(batch: dict, prof: ProfileSet) -> pa.Table:
+        syms = _symbols(batch["seq"], R.DNA)
+        fits = np.array([0 < q.size < n_cols for q in syms], bool)
+        edge, least = np.zeros(len(syms), np.int32), np.full(len(syms), np.iinfo(np.int32).max, np.int64)
+        for e in range(0, prof.edge_id.size, cells) if fits.any() else ():
+            part = slice(e, e + cells)
+            got = K.penalty_scores(
+                prof.state[:, part], prof.flag[:, part], states, [q for q, f in zip(syms, fits, strict=True) if f],
+                penalties.gap_open, penalties.gap_extend, penalties.mismatch, penalties.match_flag,
+            )
+            at = got.argmin(axis=1)
+            value = got[np.arange(len(got)), at]
+            better = value < least[fits]
+            where = np.flatnonzero(fits)[better]
+            least[where], edge[where] = value[better], prof.edge_id[part][at[better]]
+        return pa.table({"seq_id": pa.array(np.asarray(batch["seq_id"], dtype=np.int64)), "edge_id": pa.array(edge, mask=~fits),
+                         "penalty": pa.array(least.astype(np.int32), mask=~fits)})
+
+    asked = queries.select("seq_id", "seq")
+    size = n_edges * n_cols * PROFILE_CELL_BYTES
+    parts = in_blocks(spread(asked) if spread_queries else asked, profiles.select("edge_id", "state", "aux"), "edge_id", size, broadcast_bytes,
+                      ProfileSet.of, body, "seq_id long, edge_id int, penalty int")
+    least = F.min(F.when(F.col("penalty").isNotNull(), F.struct("penalty", "edge_id"))).alias("m")
+    return parts.groupBy("seq_id").agg(least).select("seq_id", F.col("m.edge_id").alias("edge_id"), F.col("m.penalty").alias("penalty"))
+
+
 def trace(
     placed: DataFrame,
     profiles: DataFrame,

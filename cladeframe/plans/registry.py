@@ -603,6 +603,34 @@ def _(spark, sf):
     return L.top_edges(_items(spark, sf), _profiles(spark, sf), 5)
 
 
+O.cte(
+    "pen_prof", ["prof"],
+    "SELECT edge_id, c, state, aux = 1 AS f, sum(CASE WHEN aux = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY edge_id ORDER BY c) AS carry "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY col) - 1 AS c FROM prof)",
+)
+O.cte("pen_seq", [], f"SELECT DISTINCT {O.acgt('p_name')} AS s FROM part")
+O.cte(
+    "pen_dp", ["pen_prof", "pen_seq"],
+    "SELECT s, edge_id, d, 0 AS i, 0 AS cost FROM (SELECT s, edge_id, unnest(range(0, w - length(s) + 1)) AS d "
+    "FROM pen_seq, (SELECT edge_id, count(*) AS w FROM pen_prof GROUP BY 1) WHERE length(s) > 0 AND length(s) < w) "
+    "UNION ALL SELECT s, edge_id, d, i, least(h, min(run) OVER (PARTITION BY s, edge_id ORDER BY d ROWS UNBOUNDED PRECEDING) + carry) AS cost "
+    "FROM (SELECT *, lag(h) OVER (PARTITION BY s, edge_id ORDER BY d) + CASE WHEN f THEN 0 ELSE 4 END - carry AS run "
+    "FROM (SELECT x.s, x.edge_id, x.d, x.i + 1 AS i, p.f, p.carry, least(x.cost + "
+    "CASE WHEN p.state & (1 << (strpos('ACGT', substr(x.s, x.i + 1, 1)) - 1)::INTEGER) = 0 THEN 1 ELSE 0 END + CASE WHEN p.f THEN 3 ELSE 0 END, "
+    "coalesce(lead(x.cost) OVER (PARTITION BY x.s, x.edge_id ORDER BY x.d) + 1, 1000000)) AS h "
+    "FROM pen_dp x JOIN pen_prof p ON p.edge_id = x.edge_id AND p.c = x.i + x.d WHERE x.i < length(x.s)))",
+)
+
+
+@query("cheapest_edge", "pen_dp", sql=f"""
+SELECT p_partkey AS seq_id, edge_id, CAST(penalty AS INTEGER) AS penalty
+FROM part LEFT JOIN (SELECT s, arg_min(edge_id, (cost, edge_id)) AS edge_id, min(cost) AS penalty FROM pen_dp WHERE i = length(s) GROUP BY s) b
+ ON b.s = {O.acgt('p_name')}""")
+def _(spark, sf):
+    names = D.table(spark, sf, "part").select(F.col("p_partkey").alias("seq_id"), F.col("p_name").alias("seq"))
+    return L.cheapest_edge(L.clean_queries(names, "dna4"), _profiles(spark, sf))
+
+
 @query("work_cells", "ref_cols", sql=f"""
 SELECT count(*) AS n_queries, CAST(sum(length({O.single('text')})) AS BIGINT) AS n_residues, CAST(47 AS BIGINT) AS n_edges, max(w) AS n_cols,
  CAST(sum(length({O.single('text')})) * 47 * max(w) AS BIGINT) AS cells FROM documents, (SELECT count(DISTINCT col) AS w FROM ref_cols)""")

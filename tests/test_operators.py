@@ -214,6 +214,60 @@ def test_decimals_of_exact_halves(spark):
     assert S.matrix_lines(table).first()["value"] == "1\t" + "\t".join("%.4f" % v for v in values)
 
 
+def plain_penalty(state, flag, query, gap_open=3, gap_extend=1, mismatch=1, match_flag=3):
+    """Rows of the band one after the other; a skip is tried from every column before."""
+    band = len(state) - len(query) + 1
+    cur = [0] * band
+    for i, b in enumerate(query):
+        step = lambda d: (0 if state[i + d] & b else mismatch) + (match_flag if flag[i + d] else 0)
+        h = [min([cur[d] + step(d)] + ([cur[d + 1] + mismatch] if d + 1 < band else [])) for d in range(band)]
+        skip = lambda e, d: sum(0 if flag[i + k] else gap_extend + (gap_open if k == e + 1 else 0) for k in range(e + 1, d + 1))
+        cur = [min([h[d]] + [h[e] + skip(e, d) for e in range(d)]) for d in range(band)]
+    return min(cur)
+
+
+def test_cheapest_edge(edges_and_queries):
+    prof, queries, state, aux, seqs = edges_and_queries
+    code = {"A": 1, "C": 2, "G": 4, "T": 8}
+    wanted = {99: (None, None)}
+    for k, s in enumerate(seqs):
+        costs = [plain_penalty(a.tolist(), (x == 1).tolist(), [code[c] for c in s]) for a, x in zip(state, aux)]
+        wanted[k] = (3 * costs.index(min(costs)), min(costs))
+    for size in (1 << 20, 500):
+        found = L.cheapest_edge(queries, prof, broadcast_bytes=size).collect()
+        assert {r["seq_id"]: (r["edge_id"], r["penalty"]) for r in found} == wanted
+    long = queries.sparkSession.createDataFrame([(1, "A" * 30), (2, None)], "seq_id long, seq string")
+    assert [r["penalty"] for r in L.cheapest_edge(long, prof).collect()] == [None, None]
+
+
+def test_samples(spark):
+    seqs = spark.range(2000).select(F.col("id").alias("seq_id"), F.lit("ACGT").alias("seq"), F.when(F.col("id") < 100, 50.0).otherwise(1.0).alias("weight"))
+    for draw in (lambda seed: W.uniform_sample(seqs, 50, seed), lambda seed: W.weighted_sample(seqs, 50, seed)):
+        ids = [r["seq_id"] for r in draw(3).collect()]
+        assert len(ids) == len(set(ids)) == 50 and set(ids) <= set(range(2000))
+        assert sorted(ids) == sorted(r["seq_id"] for r in draw(3).collect()) != sorted(r["seq_id"] for r in draw(4).collect())
+    assert W.uniform_sample(seqs, 5000, 1).count() == 2000
+    heavy = sum(r["seq_id"] < 100 for seed in range(6) for r in W.weighted_sample(seqs, 50, seed).collect())
+    assert 150 < heavy < 280  # 72 % of the weight is theirs
+    assert W.weighted_sample(seqs.withColumn("weight", F.lit(0.0)), 5, 1).count() == 0
+    n = W.bernoulli_sample(seqs, 0.1, 5).count()
+    assert 120 < n < 290 and W.bernoulli_sample(seqs, 0.0, 5).count() == 0 and W.bernoulli_sample(seqs, 1.0, 5).count() == 2000
+
+
+def test_matching_sequences_reach_the_share(spark):
+    primers = spark.createDataFrame([(0, "CTTGGTCATTTAGAGGAAGT"), (1, "CGATGAAGAACGCAG")], "primer_id int, seq string")
+    one, two = (r["seq"] for r in primers.orderBy("primer_id").collect())
+    body = "ACGTTGCA" * 5
+    close = one[:10] + ("A" if one[10] != "A" else "C") + one[11:]  # a mismatch costs 8 of 100
+    texts = [one + body + two, body + close + two, body + one, one[:12] + body + two, ""]
+    seqs = spark.createDataFrame(list(enumerate(texts)), "seq_id long, seq string")
+    assert {r["seq_id"] for r in W.primer_matches(seqs, primers).collect()} == {0, 1}
+    assert {r["seq_id"] for r in W.sample_matching(seqs, primers, 5, 1).collect()} == {0, 1}
+    assert W.sample_matching(seqs, primers, 1, 1).count() == 1
+    with pytest.raises(ValueError, match="no sequence"):
+        W.sample_matching(seqs.filter("seq_id > 1"), primers, 1, 1)
+
+
 # ---- whole job and files -----------------------------------------------------------------------
 
 
