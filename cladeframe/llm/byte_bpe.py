@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 #: Pieces of more bytes take the query for long pieces.
 LONG = 48
 #: Pieces kept in a task's table before it is emptied, and text characters per step.
-KEPT, STEP = 100_000, 1 << 20
+KEPT, STEP = 200_000, 1 << 20
 #: Tokens put together by one group of the ordered aggregation.
 RUN = 4096
 #: A vocabulary file is sent to every task; a larger one is refused.
