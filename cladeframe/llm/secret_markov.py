@@ -3,8 +3,9 @@
 Two first-order models over characters are trained on labelled runs: what the fixed rules
 find is labelled random, the other runs of at least ``TRAIN`` characters are ordinary
 identifiers and words.  Every run of at least ``RUN`` characters with a letter and a digit
-is scored by its log-likelihood ratio; one above ``LEAST`` is an added span, unless a fixed
-rule has found a part of it already.  A model is 66 x 66 cells, so its size never grows.
+is scored by its log-likelihood ratio; one above ``LEAST`` is an added span.  Where a fixed
+rule has found a part of a run, the parts beside it are scored, each by itself and whatever
+its length.  A model is 66 x 66 cells, so its size never grows.
 
 The whole scan is a projection of built-in functions: no join, no shuffle.  Spans are found
 by cutting a text at the matches; the sizes of the pieces and of the matches, in code
@@ -124,6 +125,24 @@ def _any() -> str:
     return "|".join(f"(?:{p})" for _, p, _, _ in RULES)
 
 
+def _overlap(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def _beside(run: Column, base: Column) -> Column:
+    """The parts of a run that no base span covers, as spans: the whole run where none meets it."""
+    cuts = F.filter(base, lambda b: _overlap(b, run))
+    starts = F.concat(F.array(run["start"]), F.filter(F.transform(cuts, lambda b: b["end"]), lambda e: e < run["end"]))
+    free = F.filter(F.array_distinct(starts), lambda p: ~F.exists(cuts, lambda b: (b["start"] <= p) & (p < b["end"])))
+
+    def part(p: Column) -> Column:
+        end = F.array_min(F.concat(F.array(run["end"]), F.filter(F.transform(cuts, lambda b: b["start"]), lambda s: s > p)))
+        value = F.substring(run["value"], p - run["start"] + 1, end - p)
+        return F.struct(p.alias("start"), run["kind"].alias("kind"), end.alias("end"), value.alias("value"))
+
+    return F.when(F.exists(base, lambda b: _overlap(b, run)), F.transform(free, part)).otherwise(F.array(run))
+
+
 def scan(docs: DataFrame, model: Model | None = None, into: str = "spans") -> DataFrame:
     """``docs`` and their spans, base and added, in a new column ``into`` by start, then kind.
 
@@ -135,8 +154,8 @@ def scan(docs: DataFrame, model: Model | None = None, into: str = "spans") -> Da
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.withColumn(into, base_spans(text))
     mixed = _found(text, MIXED_RUN, len(RULES), 0, RUN)
-    apart = F.filter(mixed, lambda s: ~F.exists(F.col(into), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    added = F.filter(apart, lambda s: model.score(s["value"]) >= LEAST)
+    parts = F.flatten(F.transform(mixed, lambda s: _beside(s, F.col(into))))
+    added = F.filter(parts, lambda s: model.score(s["value"]) >= LEAST)
     return found.withColumn(into, F.array_sort(F.concat(into, F.when(text.rlike(MIXED_RUN), added).otherwise(F.array().cast(_SPAN)))))
 
 

@@ -50,6 +50,24 @@ def test_random_runs_are_added_and_ordinary_ones_left(make, spark):
     assert spans == {1: [(10, 3, 10 + len(key))], 2: [], 3: [], 4: [(0, 0, 6 + len(key))], 5: [], 6: []}
 
 
+def test_the_rest_of_a_run_beside_a_base_span(make, spark):
+    model = M.train(samples(spark, random.Random(12)))
+    head, tail, access, hexes = "q7Zx2Lp0Vt9Bn4Kd8Ws1", "m6Yc3Hg5Tf0Rj2Qe7XbP", "AKIA" + "B2" * 8, "0123456789abcdef" * 2
+    rows = [
+        (1, f"é {head}+{access}/{tail} end"), (2, f"see {access} end"), (3, f"{hexes}+{tail}"), (4, f"internationalization/{hexes}/internationalization"),
+        (5, f"{head}+{access}/{hexes}Z{tail}"),
+    ]
+    spans = {d: s for d, _, s in found(make(rows), model)}
+    at = 3 + len(head)
+    assert spans[1] == [(2, 3, at), (at, 1, at + 20), (at + 20, 3, at + 21 + len(tail))]
+    assert spans[2] == [(4, 1, 24)]
+    assert spans[3] == [(0, 2, 32), (32, 3, 33 + len(tail))]
+    assert spans[4] == [(21, 2, 53)]
+    assert [k for _, k, _ in spans[5]] == [3, 1, 2, 3]
+    text = M.scan(make(rows), model).select("doc_id", M.redacted(F.col("text"), F.col("spans")).alias("t")).collect()
+    assert not [r for r in text if head in r["t"] or tail in r["t"] or access in r["t"]]
+
+
 def test_scores_match_a_plain_sum(make, spark):
     rng = random.Random(13)
     model = M.train(samples(spark, rng))
