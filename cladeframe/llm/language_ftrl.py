@@ -26,6 +26,8 @@ SIZE = 1 << BITS
 FIT_ROWS, CALIBRATION = 1000, 0.2
 #: Most characters of the rows that are fitted on together: it bounds the fitting task.
 FIT_CHARS = 64_000_000
+#: A text above this share of its language's room is fitted on only after all shorter ones.
+LONG = 0.01
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 2.0, 1.0, 0.002, 0.001
 UNKNOWN = "und"
 
@@ -132,7 +134,8 @@ def fit(training: DataFrame) -> Model | None:
     """A model from ``(doc_id, text, lang)``; None if no row has text with a letter and lang.
 
     Document frequencies come from all rows.  The rows to fit on are each language's first
-    by a hash of doc_id and text, within the two bounds; they go to one task.
+    by a hash of doc_id and text, within the two bounds; they go to one task.  A row that is
+    repeated is fitted on once, and very long texts come last, so neither uses up the bounds.
     """
     rows = training.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -148,9 +151,10 @@ def fit(training: DataFrame) -> Model | None:
     # a threshold on the hash leaves a little more than is wanted, the window takes the rest
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     share = F.create_map(*(F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, (2 * FIT_ROWS + 50) / n))))
-    few = rows.withColumn("draw", draw).filter(F.col("draw") < share[F.col("lang")] * (1 << 30))
-    first = Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
+    few = rows.withColumn("draw", draw).filter(F.col("draw") < share[F.col("lang")] * (1 << 30)).distinct()
     room = FIT_CHARS // len(languages)
+    long = F.char_length("text") > room * LONG
+    first = Window.partitionBy("lang").orderBy(long, "draw", "doc_id", "text")
     sample = few.withColumn("rank", F.row_number().over(first)).withColumn("chars", F.sum(F.char_length("text")).over(first))
     sample = sample.filter((F.col("rank") <= FIT_ROWS) & ((F.col("chars") <= room) | (F.col("rank") == 1)))
 

@@ -51,6 +51,17 @@ def test_no_model_and_one_language(make, none):
     assert [tuple(r)[1:] for r in L.identify(make([(1, "abc")]), alone).collect()] == [("en", 1.0)]
 
 
+def test_long_and_repeated_rows_do_not_use_up_the_sample(make, rows, monkeypatch):
+    monkeypatch.setattr(L, "FIT_CHARS", 60_000)
+    # 30 long texts of mixed words bear the label of one language, a third of all rows are one row
+    rng = random.Random(9)
+    long = [(1000 + k, " ".join(text(rng, x, 700) for x in sorted(PARTS)), "fr") for k in range(30)]
+    assert min(len(t) for _, t, _ in long) > 60_000 // 3 * L.LONG
+    model = L.fit(make([*rows[:200], *long, *[rows[0]] * 200]))
+    found = {r["doc_id"]: r["lang_pred"] for r in L.identify(make(rows[200:]), model).collect()}
+    assert sum(found[k] == lang for k, _, lang in rows[200:]) >= 97
+
+
 def test_frequencies_count_every_text(make, rows):
     counted = dict(L.frequencies(make(rows).repartition(5)).collect())
     assert counted.pop(-1) == len(rows)
