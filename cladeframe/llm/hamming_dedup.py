@@ -52,10 +52,10 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _WordHashes(dict):
-    """Word -> 64-bit hash; emptied when it holds 300,000 words."""
+    """Word -> 64-bit hash; emptied when it holds 50,000 words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 50_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
