@@ -367,3 +367,44 @@ def checked_traces(traces: DataFrame, placed: DataFrame) -> DataFrame:
         .withColumn("score", F.when(same, F.col("score")).otherwise(wrong.cast("int")))
         .drop("_want")
     )
+
+
+def rescored(traces: DataFrame, queries: DataFrame, profiles: DataFrame, scores: Scores = Scores()) -> DataFrame:
+    """``traces`` with ``score`` worked out again from their operations alone.
+
+    ``traces(seq_id, edge_id, ops[, start, end])`` may have several edges of a query;
+    ``queries(seq_id, seq)`` hold cleaned DNA residues and ``profiles`` their edges.  The first
+    and the last run of skips or insertions within the column range are free shifts.  A trace
+    without residues has a null score.  Rows meet their own query and profile, nothing else.
+    """
+    bounded = "start" in traces.columns
+    lo = F.coalesce("start", F.lit(0)) if bounded else F.lit(0)
+    hi = F.coalesce("end", F.size("_state") - 1) if bounded else F.size("_state") - 1
+    inside = F.substr("ops", lo + 1, F.length("ops") - lo - (F.size("_state") - 1 - hi))
+    body = F.when(F.col("_in").startswith("1"), F.ltrim("_in", F.lit("1"))).otherwise(F.ltrim("_in", F.lit("2")))
+    walked = F.when(F.col("_body").endswith("1"), F.rtrim("_body", F.lit("1"))).otherwise(F.rtrim("_body", F.lit("2")))
+    shift = F.length("_in") - F.length("_body")
+    skipped = F.col("_in").startswith("1")
+    codes = F.transform(R.chars(F.col("_seq")), lambda c: F.instr(F.lit(R.DNA.residues()), c))
+
+    def step(a, op):
+        flagged = F.get("_aux", a["col"]) == 1
+        met = F.get("_state", a["col"]).bitwiseAND(F.get("_codes", a["res"])) != 0
+        gap = F.when(a["before"] == op, scores.gap_extend).otherwise(scores.gap_open)
+        match = F.when(met, scores.match).otherwise(0) + F.when(flagged, scores.match_flag).otherwise(0)
+        gain = F.when(op == "0", match).when((op == "1") & flagged, 0).otherwise(gap)
+        return F.struct(
+            (a["col"] + (op != "2").cast("int")).alias("col"), (a["res"] + (op != "1").cast("int")).alias("res"),
+            op.alias("before"), (a["score"] + gain).alias("score"),
+        )
+
+    first = F.struct(
+        (lo + F.when(skipped, shift).otherwise(0)).alias("col"), F.when(skipped, 0).otherwise(shift).alias("res"),
+        F.lit("").alias("before"), F.lit(0).alias("score"),
+    )
+    total = F.aggregate(F.filter(F.split("_walked", ""), lambda c: c != ""), first, step)["score"]
+    own = traces.join(queries.select("seq_id", F.col("seq").alias("_seq")), "seq_id").join(
+        profiles.select("edge_id", F.col("state").alias("_state"), F.col("aux").alias("_aux")), "edge_id"
+    )
+    ready = own.withColumn("_in", inside).withColumn("_body", body).withColumn("_walked", walked).withColumn("_codes", codes)
+    return ready.withColumn("score", F.when(F.length("_seq") > 0, total)).select(*dict.fromkeys([*traces.columns, "score"]))

@@ -62,3 +62,20 @@ def node_job(
     width = int(profiles.agg(F.max(F.size("gap"))).first()[0])
     aligned = X.extended_alignment(refs, X.with_gapped(traces, placed), width, ref_gaps)
     return Placement(placed.select("seq_id", "name", "node_id", "score"), traces, aligned)
+
+
+@dataclass(frozen=True)
+class Candidates:
+    """``scored(seq_id, edge_id, rank, ops, score)`` of the k best edges, each score worked out from the operations,
+    and ``report``: the distinct alignments among them."""
+
+    scored: DataFrame
+    report: DataFrame
+
+
+def candidates(queries: DataFrame, profiles: DataFrame, k: int, **kw) -> Candidates:
+    """Trace cleaned ``queries(seq_id, name, seq)`` on their k best edges."""
+    top = cut_lineage(L.top_edges(queries, profiles, k, **kw).drop("score").join(queries.select("seq_id", "seq"), "seq_id"))
+    traced = L.trace(top, profiles, **kw).select("seq_id", "edge_id", "ops")
+    scored = cut_lineage(L.rescored(traced, queries, profiles).join(top.select("seq_id", "edge_id", "rank"), ["seq_id", "edge_id"]))
+    return Candidates(scored, X.distinct_traces(scored))

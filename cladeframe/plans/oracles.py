@@ -230,18 +230,39 @@ cte(
     "SELECT edge_id, col, state, aux, o, sum(e) OVER (PARTITION BY edge_id ORDER BY col) AS ce, max(col) OVER () AS lastcol FROM "
     "(SELECT *, CASE WHEN aux = 1 THEN 0 ELSE -3 END AS o, CASE WHEN aux = 1 THEN 0 ELSE -1 END AS e FROM prof)",
 )
+def free_shift(start: str, dp: str) -> str:
+    """Recursive steps of the free-shift scores: one residue a step, ``start`` gives (seq_id, cost row)s."""
+    return (
+        f"SELECT seq_id, edge_id, col, 0 AS i, 0 AS n, state, aux, o, ce, lastcol, 0 AS s, -1000000 AS up FROM {start} "
+        "UNION ALL SELECT seq_id, edge_id, col, i, n, state, aux, o, ce, lastcol, greatest(h, ce + max(lh + o - ce) OVER w) AS s, up FROM ("
+        "SELECT *, coalesce(lag(h) OVER (PARTITION BY seq_id, edge_id ORDER BY col), 0) AS lh FROM ("
+        "SELECT *, greatest(diag + (CASE WHEN state & b <> 0 THEN 2 ELSE 0 END) + (CASE WHEN aux = 1 THEN -3 ELSE 0 END), up) AS h FROM ("
+        "SELECT d.seq_id, d.edge_id, d.col, q.i, q.n, d.state, d.aux, d.o, d.ce, d.lastcol, q.b, greatest(d.up - 1, d.s - 3) AS up, "
+        "coalesce(lag(d.s) OVER (PARTITION BY d.seq_id, d.edge_id ORDER BY d.col), 0) AS diag "
+        f"FROM {dp} d JOIN item_sym q ON q.seq_id = d.seq_id AND q.i = d.i + 1))) "
+        "WINDOW w AS (PARTITION BY seq_id, edge_id ORDER BY col ROWS UNBOUNDED PRECEDING)"
+    )
+
+
+def best_of(dp: str) -> str:
+    return f"SELECT seq_id, edge_id, CAST(max(s) AS INTEGER) AS score FROM {dp} WHERE i > 0 AND (col = lastcol OR i = n) GROUP BY 1, 2"
+
+
+cte("dp", ["item_sym", "cost"], free_shift("cost, (SELECT DISTINCT seq_id FROM item_sym)", "dp"))
+cte("edge_scores", ["dp"], best_of("dp"))
+# the columns of an item: its gene's, as far as the reduced reference reaches, or all
 cte(
-    "dp", ["item_sym", "cost"],
-    "SELECT seq_id, edge_id, col, 0 AS i, 0 AS n, state, aux, o, ce, lastcol, 0 AS s, -1000000 AS up FROM cost, (SELECT DISTINCT seq_id FROM item_sym) "
-    "UNION ALL SELECT seq_id, edge_id, col, i, n, state, aux, o, ce, lastcol, greatest(h, ce + max(lh + o - ce) OVER w) AS s, up FROM ("
-    "SELECT *, coalesce(lag(h) OVER (PARTITION BY seq_id, edge_id ORDER BY col), 0) AS lh FROM ("
-    "SELECT *, greatest(diag + (CASE WHEN state & b <> 0 THEN 2 ELSE 0 END) + (CASE WHEN aux = 1 THEN -3 ELSE 0 END), up) AS h FROM ("
-    "SELECT d.seq_id, d.edge_id, d.col, q.i, q.n, d.state, d.aux, d.o, d.ce, d.lastcol, q.b, greatest(d.up - 1, d.s - 3) AS up, "
-    "coalesce(lag(d.s) OVER (PARTITION BY d.seq_id, d.edge_id ORDER BY d.col), 0) AS diag "
-    "FROM dp d JOIN item_sym q ON q.seq_id = d.seq_id AND q.i = d.i + 1))) "
-    "WINDOW w AS (PARTITION BY seq_id, edge_id ORDER BY col ROWS UNBOUNDED PRECEDING)",
+    "item_bounds", ["items", "hit_cols", "genes", "cost"],
+    'SELECT seq_id, CAST(CASE WHEN g."start" <= w THEN g."start" END AS INTEGER) AS "start", '
+    'CAST(CASE WHEN g."start" <= w THEN least(g."end", w) END AS INTEGER) AS "end", w FROM items '
+    "CROSS JOIN (SELECT max(lastcol) AS w FROM cost) LEFT JOIN hit_cols ON qs_name = 'o' || seq_id "
+    'LEFT JOIN genes g ON g.ord = (SELECT min(ord) FROM genes p WHERE col_start >= p."start" AND col_end <= p."end")',
 )
 cte(
-    "edge_scores", ["dp"],
-    "SELECT seq_id, edge_id, CAST(max(s) AS INTEGER) AS score FROM dp WHERE i > 0 AND (col = lastcol OR i = n) GROUP BY 1, 2",
+    "bound_dp", ["item_sym", "cost", "item_bounds"],
+    free_shift(
+        '(SELECT seq_id, edge_id, col, state, aux, o, ce, coalesce("end", w) AS lastcol FROM cost JOIN item_bounds '
+        'ON col BETWEEN coalesce("start", 0) AND coalesce("end", w) WHERE seq_id IN (SELECT seq_id FROM item_sym))', "bound_dp",
+    ),
 )
+cte("bound_scores", ["bound_dp"], best_of("bound_dp"))

@@ -603,6 +603,39 @@ def _(spark, sf):
     return L.top_edges(_items(spark, sf), _profiles(spark, sf), 5)
 
 
+@query("candidate_scores", "edge_scores",
+       sql="SELECT * FROM (SELECT seq_id, edge_id, score, CAST(row_number() OVER (PARTITION BY seq_id ORDER BY score DESC, edge_id) AS INTEGER) AS rank FROM edge_scores) WHERE rank <= 5")
+def _(spark, sf):
+    """The candidates' traces, scored again from their operations alone: both sides agree only if every trace is a best one."""
+    items, profiles = _items(spark, sf), _profiles(spark, sf)
+    return J.candidates(items, profiles, 5).scored.select("seq_id", "edge_id", "score", "rank")
+
+
+@query("candidate_report")
+def _(spark, sf):
+    """Tied traces have no order that SQL could follow; the tests hold the report against plain code."""
+    items = _items(spark, sf)
+    report = J.candidates(items, _profiles(spark, sf), 5).report.join(items.select("seq_id", "seq"), "seq_id")
+    return S.candidate_report(report.withColumn("aligned", X.realize(F.col("ops"), F.col("seq"))))
+
+
+@query("bounded_placement", "bound_scores", "item_bounds", sql="""
+SELECT seq_id, edge_id, score, "start", "end" FROM (
+ SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY score DESC, edge_id) AS r FROM bound_scores) JOIN item_bounds USING (seq_id) WHERE r = 1""")
+def _(spark, sf):
+    """Hits give the columns, the columns limit the placement, and the traces are scored again from their operations."""
+    hits = D.hits(spark, sf).withColumn("qs_name", F.regexp_replace("qs_name", "^o", "b"))
+    items, profiles = D.items(spark, sf), _profiles(spark, sf)
+    found = B.query_bounds(items.select("name"), hits, _msa(spark, sf), D.genes(spark, sf), missing="full")
+    last = L.profile_shape(profiles)[1] - 1
+    reached = F.col("start") <= last
+    bounds = found.select("name", F.when(reached, F.col("start")).alias("start"), F.when(reached, F.least("end", F.lit(last))).alias("end"))
+    bounds = cut_lineage(bounds)
+    job = J.place_job(_msa(spark, sf), *_tree(spark, sf), items, bounds)
+    traced = job.traces.join(items.select("seq_id", "name"), "seq_id").join(bounds, "name", "left").drop("score")
+    return L.rescored(traced, _items(spark, sf), profiles).select("seq_id", "edge_id", "score", "start", "end")
+
+
 O.cte(
     "pen_prof", ["prof"],
     "SELECT edge_id, c, state, aux = 1 AS f, sum(CASE WHEN aux = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY edge_id ORDER BY c) AS carry "

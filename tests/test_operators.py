@@ -389,3 +389,80 @@ def test_stream_of_files(spark, edges_and_queries, tmp_path):
 def test_distinct_traces(spark):
     table = spark.createDataFrame([(1, "00", 5, 3), (1, "00", 2, 3), (1, "01", 4, 2)], "seq_id long, ops string, edge_id int, score int")
     assert rows(X.distinct_traces(table).select("seq_id", "ops", "edge_id")) == [(1, "00", 2), (1, "01", 4)]
+
+
+def plain_rescore(state, flag, query, ops):
+    """A walk over the operations; the first and the last run of skips or insertions are free."""
+    runs = []
+    for o in ops:
+        if runs and runs[-1][0] == o:
+            runs[-1][1] += 1
+        else:
+            runs.append([o, 1])
+    col = res = total = 0
+    for at, (o, n) in enumerate(runs):
+        for k in range(n):
+            paid = o == "0" or 0 < at < len(runs) - 1
+            if o == "0":
+                total += (2 if state[col] & query[res] else 0) - (3 if flag[col] else 0)
+            elif paid:
+                total -= 0 if o == "1" and flag[col] else 1 if k else 3
+            col, res = col + (o != "2"), res + (o != "1")
+    return total
+
+
+def test_traces_are_scored_again_from_their_operations(spark):
+    rng = np.random.default_rng(31)
+    state, flag = rng.integers(1, 15, (4, 12)), rng.integers(0, 2, (4, 12))
+    prof = spark.createDataFrame([(k, state[k].tolist(), flag[k].tolist()) for k in range(4)], "edge_id int, state array<int>, aux array<int>")
+    code = {"A": 1, "C": 2, "G": 4, "T": 8}
+    queries, traces, want = [], [], {}
+    for k in range(200):
+        # any order of steps over all columns, also runs beside runs and none of residues
+        ops = list("0" * 12)
+        for at in rng.choice(12, rng.integers(0, 8), replace=False):
+            ops[at] = "1"
+        for _ in range(rng.integers(0, 5)):
+            ops.insert(int(rng.integers(0, len(ops) + 1)), "2")
+        ops = "".join(ops)
+        seq = "".join(rng.choice(list("ACGT"), ops.count("0") + ops.count("2")))
+        queries.append((k, seq))
+        traces.append((k, k % 4, ops))
+        want[k] = plain_rescore(state[k % 4], flag[k % 4], [code[c] for c in seq], ops)
+    queries += [(900, ""), (901, None)]
+    traces += [(900, 0, "1" * 12), (901, 0, "1" * 12)]
+    table = spark.createDataFrame(traces, "seq_id long, edge_id int, ops string")
+    asked = spark.createDataFrame(queries, "seq_id long, seq string")
+    got = {r["seq_id"]: r["score"] for r in L.rescored(table, asked, prof).collect()}
+    assert got == want | {900: None, 901: None}
+    assert L.rescored(table.limit(0), asked, prof).count() == 0
+
+
+def test_scores_of_operations_are_those_of_the_placement(edges_and_queries):
+    prof, queries, *_ = edges_and_queries
+    placed = L.best_edge(queries, prof).join(queries, "seq_id")
+    traces = L.trace(placed, prof)
+    again = L.rescored(traces.drop("score"), queries, prof)
+    assert rows(again.select("seq_id", "score")) == rows(traces.select("seq_id", "score"))
+    # one residue more before the last column is another score or no trace at all
+    spoilt = traces.filter("ops LIKE '%00%'").withColumn("ops", F.regexp_replace("ops", "00", "0210"))
+    worse = {r["seq_id"]: r["score"] for r in L.rescored(spoilt.drop("score"), queries, prof).collect()}
+    best = {r["seq_id"]: r["score"] for r in traces.collect()}
+    assert worse and any(worse[k] != best[k] for k in worse)
+    bounds = placed.withColumn("start", F.when(F.col("seq_id") % 3 > 0, (F.col("seq_id") % 7).cast("int"))).withColumn("end", F.col("start") + 15)
+    limited = L.trace(bounds.drop("score", "edge_id").join(L.best_edge(bounds.drop("edge_id", "score"), prof), "seq_id"), prof)
+    limited = limited.join(bounds.select("seq_id", "start", "end"), "seq_id")
+    again = L.rescored(limited.drop("score"), queries, prof)
+    assert rows(again.select("seq_id", "score")) == rows(limited.select("seq_id", "score"))
+
+
+def test_candidates(edges_and_queries):
+    prof, queries, *_ = edges_and_queries
+    asked = queries.filter("seq <> ''")
+    found = J.candidates(asked, prof, 4)
+    top = L.top_edges(asked, prof, 4)
+    assert rows(found.scored.select("seq_id", "edge_id", "score", "rank")) == rows(top.select("seq_id", "edge_id", "score", "rank"))
+    least = {}
+    for r in found.scored.collect():
+        least[r["seq_id"], r["ops"]] = min(least.get((r["seq_id"], r["ops"]), (10**9, 0)), (r["edge_id"], r["score"]))
+    assert {(r["seq_id"], r["ops"]): (r["edge_id"], r["score"]) for r in found.report.collect()} == least
