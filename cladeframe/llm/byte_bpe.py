@@ -3,10 +3,16 @@
 A task cuts its texts into pieces by the tokenizer's pattern.  Distinct new pieces become
 token lists of single bytes; a recursive query lays them out as token-position rows, joins
 those with the merge table, and contracts each piece's leftmost pair of minimum rank until no
-piece has a pair left.  Long pieces take a second recursive query that contracts all
-non-overlapping occurrences of the minimum pair at once, up to the first whose result could
-merge with a neighbour at a lower rank, and keeps only each piece's last state.  Decoding joins token ids with the vocabulary and
-puts their bytes together by an ordered aggregation.
+piece has a pair left.  Decoding joins token ids with the vocabulary and puts their bytes
+together by an ordered aggregation.
+
+A long piece is cut into short stretches, which are encoded each by itself.  Ids are those of
+the whole piece where every two neighbours, taken alone, encode to themselves: the first
+contraction across a border would be the minimum of its two tokens as well.  So borders are
+tested by their two tokens, and around one that fails a window is encoded again, twice as wide
+in each turn, until all hold.  A window that is long itself takes a second recursive query,
+which contracts all non-overlapping occurrences of the minimum pair at once, up to the first
+whose result could merge with a neighbour at a lower rank.
 
 The merge table holds every split of a vocabulary entry into two entries, which is the rule
 of rank files: two neighbours merge when their bytes together are an entry.
@@ -18,6 +24,8 @@ import base64
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 
 import duckdb
 import numpy as np
@@ -26,10 +34,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces of more bytes take the query for long pieces.
-LONG = 48
-#: Pieces kept in a task's table before it is emptied, and text characters per step.
-KEPT, STEP = 200_000, 1 << 20
+#: Longer pieces are cut into stretches of so many bytes; tokens on each side of a first window.
+LONG, REACH = 48, 4
+#: Bytes of pieces in one query, and what its database may hold.
+BLOCK, MEMORY = 1 << 18, "192MB"
+#: Pieces, and characters of pieces, kept in a task before they go; text characters per step.
+KEPT, KEPT_CHARS, STEP = 300_000, 8 << 20, 1 << 20
 #: Tokens put together by one group of the ordered aggregation.
 RUN = 4096
 #: A vocabulary file is sent to every task; a larger one is refused.
@@ -90,6 +100,7 @@ class Coder:
 
     def __init__(self, raw: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+        self.bytes = {b: a for a, b in self.ranks.items()}
         self.cut = regex.compile(pattern).findall
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         splits = [
@@ -101,7 +112,7 @@ class Coder:
         # whether two results side by side would merge at a lower rank than their own
         double = {token: self.ranks.get(token + token) for token in self.ranks}
         twice = {r: double[t] is not None and double[t] < r for t, r in self.ranks.items()}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         self.db.execute("SET enable_progress_bar = false")
         merges = pa.table({"l": left, "r": right, "merged": merged, "twice": [twice[m] for m in merged.tolist()]})
         vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [k.hex() for k in self.ranks]})
@@ -120,6 +131,7 @@ class Coder:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.flat, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _merged(self, pieces: list[bytes], sql: str) -> list[np.ndarray]:
@@ -133,6 +145,51 @@ class Coder:
         bounds, values = out.offsets.to_numpy(), out.values.to_numpy()
         return [values[bounds[k] : bounds[k + 1]] for k in range(len(pieces))]
 
+    def _contracted(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of byte strings by contraction alone, in blocks of ``BLOCK`` bytes."""
+        found: list[np.ndarray | None] = [None] * len(pieces)
+        for long, sql in ((False, SHORT_SQL), (True, LONG_SQL)):
+            places = [k for k, b in enumerate(pieces) if (len(b) > LONG) == long]
+            block = np.cumsum([len(pieces[k]) for k in places]) // BLOCK
+            for _, group in groupby(zip(block.tolist(), places, strict=True), key=itemgetter(0)):
+                at = [k for _, k in group]
+                for k, ids in zip(at, self._merged([pieces[k] for k in at], sql), strict=True):
+                    found[k] = ids
+        return found
+
+    def _hold(self, pairs: set[tuple[int, int]]) -> dict[tuple[int, int], bool]:
+        """Whether two neighbouring tokens, taken alone, encode to themselves."""
+        listed = list(pairs)
+        alone = self._contracted([self.bytes[a] + self.bytes[b] for a, b in listed])
+        return {p: ids.tolist() == list(p) for p, ids in zip(listed, alone, strict=True)}
+
+    def _stretched(self, piece: bytes) -> np.ndarray:
+        """Ids of a long piece from those of its stretches."""
+        parts = self._contracted([piece[k : k + LONG] for k in range(0, len(piece), LONG)])
+        ids = np.concatenate(parts)
+        doubtful = np.cumsum([len(p) for p in parts])[:-1]
+        known: dict[tuple[int, int], bool] = {}
+        reach = REACH
+        while len(doubtful):
+            pairs = list(zip(ids[doubtful - 1].tolist(), ids[doubtful].tolist(), strict=True))
+            known.update(self._hold(set(pairs) - known.keys()))
+            bad = doubtful[[not known[p] for p in pairs]]
+            # windows that overlap or touch are one
+            first = np.concatenate([[True], bad[1:] - bad[:-1] > 2 * reach]) if len(bad) else np.empty(0, bool)
+            begins = np.maximum(bad[first] - reach, 0)
+            ends = np.minimum(bad[np.append(first[1:], True)] + reach, len(ids)) if len(bad) else begins
+            again = self._contracted([b"".join(map(self.bytes.__getitem__, ids[a:b].tolist())) for a, b in zip(begins, ends, strict=True)])
+            out, edges, at, done = [], [], 0, 0
+            for a, b, window in zip(begins.tolist(), ends.tolist(), again, strict=True):
+                out += [ids[done:a], window]
+                at += a - done
+                edges += [at, at + len(window)]
+                at, done = at + len(window), b
+            ids = np.concatenate([*out, ids[done:]])
+            doubtful = np.unique([e for e in edges if 0 < e < len(ids)]).astype(np.int64)
+            reach *= 2
+        return ids
+
     def _learn(self, pieces: set[str]) -> None:
         """Encode pieces that are not known yet."""
         fresh = [p for p in pieces if p not in self.known]
@@ -142,11 +199,13 @@ class Coder:
         found: list[np.ndarray | None] = [
             np.array([self.ranks[b]], np.int32) if b in self.ranks else None for b in raw
         ]
-        for wanted, sql in ((lambda b: len(b) <= LONG, SHORT_SQL), (lambda b: len(b) > LONG, LONG_SQL)):
-            places = [k for k, b in enumerate(raw) if found[k] is None and wanted(b)]
-            if places:
-                for k, ids in zip(places, self._merged([raw[k] for k in places], sql), strict=True):
-                    found[k] = ids
+        places = [k for k, b in enumerate(raw) if found[k] is None and len(b) <= LONG]
+        for k, ids in zip(places, self._contracted([raw[k] for k in places]), strict=True):
+            found[k] = ids
+        for k, b in enumerate(raw):
+            if found[k] is None:
+                found[k] = self._stretched(b)
+        self.held += sum(map(len, fresh))
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         starts = len(self.flat) + np.cumsum(sizes) - sizes
         self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
@@ -156,7 +215,7 @@ class Coder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
         cut = [self.cut(t) for t in texts]
-        if len(self.known) > KEPT:
+        if len(self.known) > KEPT or self.held > KEPT_CHARS:
             self._clear()
         self._learn({p for pieces in cut for p in pieces})
         out = []

@@ -52,3 +52,19 @@ def test_long_pieces_and_ties(plain):
     ids = coder.encode(texts)
     assert [i.tolist() for i in ids] == [plain.encode_ordinary(t) for t in texts]
     assert coder.decode(ids) == [t.encode() for t in texts]
+
+
+def test_unbroken_runs_are_put_together_from_stretches(plain):
+    coder = B.Coder(B.read_ranks(PATH), public_tokenizers.PATTERN)
+    rng = random.Random(5)
+    runs = ["".join(rng.choice(letters) for _ in range(size)) for letters in ("ab", "aaab", "theraniougs", "éa日") for size in (49, 97, 700)]
+    runs += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(200_000)), "ab" * 50_000]
+    assert [i.tolist() for i in coder.encode(runs)] == [plain.encode_ordinary(t) for t in runs]
+
+
+def test_pieces_are_learned_in_blocks(plain, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", 100)
+    coder = B.Coder(B.read_ranks(PATH), public_tokenizers.PATTERN)
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 60))) for _ in range(300))
+    assert coder.encode([text])[0].tolist() == plain.encode_ordinary(text)
