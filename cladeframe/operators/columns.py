@@ -107,10 +107,10 @@ def column_gap_frequency(msa: DataFrame) -> DataFrame:
     )
 
 
-def gap_frequency(msa: DataFrame, normalized: bool = True) -> DataFrame:
+def gap_frequency(msa: DataFrame, normalized: bool = True, alpha: str | R.Alphabet = R.DNA) -> DataFrame:
     """One row ``(n_gap, n_total, gap_freq)``; ``normalized=False`` counts ``-`` only."""
     seq = F.col("seq")
-    n_gap = R.gap_count(seq) if normalized else F.length(seq) - F.length(F.regexp_replace(seq, "-", ""))
+    n_gap = R.gap_count(seq, alpha) if normalized else F.length(seq) - F.length(F.regexp_replace(seq, "-", ""))
     return (
         msa.select(n_gap.alias("g"), F.length("seq").alias("n"))
         .agg(F.sum("g").alias("n_gap"), F.sum("n").alias("n_total"))
@@ -163,10 +163,10 @@ def select_columns(msa: DataFrame, kept: DataFrame) -> DataFrame:
     )
 
 
-def drop_gap_columns(msa: DataFrame, tips: DataFrame | None = None) -> DataFrame:
+def drop_gap_columns(msa: DataFrame, tips: DataFrame | None = None, alpha: str | R.Alphabet = R.DNA) -> DataFrame:
     """Rows of the tree without the columns that are gaps in all of them."""
     refs = tree_rows(msa, tips) if tips is not None else msa
-    refs = refs.withColumn("seq", R.normalize_seq(F.col("seq")))
+    refs = refs.withColumn("seq", R.normalize_seq(F.col("seq"), alpha))
     return select_columns(refs, column_coverage(refs).filter("covered"))
 
 

@@ -225,7 +225,7 @@ def edge_profiles(
     a = R.alphabet(alpha)
     msa = msa.select("name", R.normalize_seq(F.col("seq"), a).alias("seq"))
     if gap_freq is None:
-        gap_freq = gap_frequency(msa).first()["gap_freq"]
+        gap_freq = gap_frequency(msa, alpha=a).first()["gap_freq"]
     freq, model = float(gap_freq), gap_model
 
     def task(tip_rows: pd.DataFrame, edge_rows: pd.DataFrame) -> pd.DataFrame:

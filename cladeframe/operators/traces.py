@@ -116,10 +116,10 @@ def output_columns(ref_gaps: DataFrame, width: int) -> DataFrame:
     return pos.join(ref_gaps, "pos", "left").select("pos", (F.col("pos") + F.sum(n).over(w)).alias("out_col"))
 
 
-def open_reference(refs: DataFrame, ref_gaps: DataFrame, width: int) -> DataFrame:
+def open_reference(refs: DataFrame, ref_gaps: DataFrame, width: int, alpha: str | R.Alphabet = R.DNA) -> DataFrame:
     """Reference rows with insert columns as gaps: ``(name, seq)``."""
     out = F.zip_with(
-        R.chars(R.normalize_seq(F.col("seq"))),
+        R.chars(R.normalize_seq(F.col("seq"), alpha)),
         F.slice("_b", 1, width),
         lambda c, n: F.concat(F.repeat(F.lit("-"), n), c),
     )
@@ -151,15 +151,15 @@ def open_queries(gapped_traces: DataFrame, ref_gaps: DataFrame, width: int) -> D
 
 
 def extended_alignment(
-    refs: DataFrame, gapped_traces: DataFrame, width: int, ref_gaps: bool = True
+    refs: DataFrame, gapped_traces: DataFrame, width: int, ref_gaps: bool = True, alpha: str | R.Alphabet = R.DNA
 ) -> DataFrame:
     """``aligned(name, seq, kind)``: reference rows, then query rows."""
     if ref_gaps:
         budget = insert_budget(gapped_traces)
-        top = open_reference(refs, budget, width)
+        top = open_reference(refs, budget, width, alpha)
         low = open_queries(gapped_traces, budget, width).select("name", "seq")
     else:
-        top = refs.select("name", R.normalize_seq(F.col("seq")).alias("seq"))
+        top = refs.select("name", R.normalize_seq(F.col("seq"), alpha).alias("seq"))
         low = gapped_traces.select("name", F.regexp_replace("gapped", "[a-z]", "").alias("seq"))
     return top.withColumn("kind", F.lit("ref")).unionByName(low.withColumn("kind", F.lit("qs")))
 
@@ -187,16 +187,16 @@ def overhang_report(chopped: DataFrame, show: int = 20) -> DataFrame:
     return hit.select("name").orderBy("name").limit(show).withColumn("n_total", total)
 
 
-def placement_quality(original: DataFrame, traces: DataFrame) -> DataFrame:
+def placement_quality(original: DataFrame, traces: DataFrame, alpha: str | R.Alphabet = R.DNA) -> DataFrame:
     """``quality(name, share)`` for queries that arrived aligned.
 
     ``original(seq_id, name, seq)`` are the gapped rows; the share counts residues that
     came back to their own column.
     """
-    singles = F.lit(R.DNA.residues())
+    singles = F.lit(R.alphabet(alpha).residues())
     home = F.filter(
         F.transform(
-            R.chars(R.normalize_seq(F.col("seq"))),
+            R.chars(R.normalize_seq(F.col("seq"), alpha)),
             lambda c, i: F.when(singles.contains(c), i).otherwise(F.lit(-1)),
         ),
         lambda i: i >= 0,

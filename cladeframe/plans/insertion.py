@@ -47,7 +47,7 @@ def insert(tree: Grown, name: str, seq: str, edge_id: int | None = None, alpha:
         edge_id = L.best_edge(query, profiles, scores=SCORES, alpha=alpha).first()["edge_id"]
     placed = query.withColumn("edge_id", F.lit(edge_id))
     traced = cut_lineage(X.with_gapped(L.trace(placed, profiles, SCORES, alpha), placed))
-    aligned = X.extended_alignment(tree.msa, traced, L.profile_shape(profiles)[1]).select("name", "seq")
+    aligned = X.extended_alignment(tree.msa, traced, L.profile_shape(profiles)[1], alpha=alpha).select("name", "seq")
     return Grown(*_split(tree, name, edge_id), cut_lineage(aligned))
 
 
@@ -69,9 +69,9 @@ def _split(tree: Grown, name: str, edge_id: int) -> tuple[DataFrame, DataFrame]:
     return cut_lineage(nodes), cut_lineage(edges)
 
 
-def start(msa: DataFrame, nodes: DataFrame, edges: DataFrame) -> Grown:
+def start(msa: DataFrame, nodes: DataFrame, edges: DataFrame, alpha: str | R.Alphabet = R.DNA) -> Grown:
     """The tree's own rows, without columns that hold nothing but gaps."""
-    kept = C.drop_gap_columns(msa, nodes.filter("is_tip"))
+    kept = C.drop_gap_columns(msa, nodes.filter("is_tip"), alpha)
     return Grown(nodes.select("node_id", "name", "is_tip"), edges.select("edge_id", "u", "v", "len"), cut_lineage(kept))
 
 

@@ -35,8 +35,8 @@ def place_job(
     reference; null or absent bounds mean the full width.  A trace whose score differs from
     the placement's is an error.
     """
-    refs = cut_lineage(C.drop_gap_columns(msa, nodes.filter("is_tip")))
-    profiles = cut_lineage(P.edge_profiles(refs, nodes, edges))
+    refs = cut_lineage(C.drop_gap_columns(msa, nodes.filter("is_tip"), alpha))
+    profiles = cut_lineage(P.edge_profiles(refs, nodes, edges, alpha=alpha))
     cleaned = L.clean_queries(queries.select("seq_id", "name", "seq"), alpha)
     if bounds is not None:
         cleaned = cleaned.join(bounds.select("name", "start", "end"), "name", "left")
@@ -44,7 +44,7 @@ def place_job(
     placed = cut_lineage(cleaned.join(best, "seq_id"))
     traces = cut_lineage(L.checked_traces(L.trace(placed, profiles, alpha=alpha, **kw), placed))
     width = L.profile_shape(profiles)[1]
-    aligned = X.extended_alignment(refs, X.with_gapped(traces, placed), width, ref_gaps)
+    aligned = X.extended_alignment(refs, X.with_gapped(traces, placed), width, ref_gaps, alpha)
     return Placement(placed.select("seq_id", "name", "edge_id", "score"), traces, aligned)
 
 

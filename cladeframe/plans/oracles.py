@@ -6,10 +6,15 @@ programs are recursive CTEs with one step per residue and a window per row.
 
 from __future__ import annotations
 
+import re
+
 # The residue fold used by every adapter.
 FOLD = ("abcdefghijklmnopqrstuvwxyzUN?.", "ABCDEFGHIJKLM-OPQRSTTVWXYZT---")
 FOLD4 = ("abcdefghijklmnopqrstuvwxyzU", "ABCDEFGHIJKLMNOPQRSTTVWXYZT")
 SINGLES = "ACMGRSVTWYHKDB"
+AA = "ARNDCQEGHILKMFPSTWYV"
+#: Amino acids that stand for A, C, G, T, N and U of the month alignment.
+AA_REFERENCE = "AEBSZN"
 
 
 def norm(x: str) -> str:
@@ -48,6 +53,18 @@ def cte(name: str, needs: list[str], sql: str) -> None:
     CTES[name] = (needs, sql)
 
 
+def variant(suffix: str, *changed: str) -> None:
+    """Copies, with a suffix, of all CTEs that read one of ``changed``, reading the suffixed ones."""
+    renamed = set(changed)
+    for name, (needs, _) in list(CTES.items()):
+        if renamed & set(needs) and name + suffix not in CTES:
+            renamed.add(name)
+    words = re.compile(rf"\b({'|'.join(sorted(renamed))})\b")
+    for name in [n for n in CTES if n in renamed and n not in changed]:
+        needs, sql = CTES[name]
+        CTES[name + suffix] = ([n + suffix if n in renamed else n for n in needs], words.sub(rf"\1{suffix}", sql))
+
+
 def statement(final: str, *needs: str, recursive: bool = False) -> str:
     order: list[str] = []
 
@@ -266,3 +283,23 @@ cte(
     ),
 )
 cte("bound_scores", ["bound_dp"], best_of("bound_dp"))
+
+# ---- the same for amino acids: other reference letters, tip states and residues -------------
+cte(
+    "ref_cols_aa", ["msa", "tips"],
+    "SELECT name, ch, dense_rank() OVER (ORDER BY col) - 1 AS col FROM (SELECT *, bool_or(ch <> '-') OVER (PARTITION BY col) AS covered FROM ("
+    + long_of(f"(SELECT name, translate(seq, 'ACGTNU', '{AA_REFERENCE}') AS seq FROM msa WHERE name IN (SELECT name FROM tips))")
+    + ")) WHERE covered",
+)
+cte(
+    "tip_vals_aa", ["ref_cols_aa", "tips"],
+    f"SELECT node_id AS v, col, CASE ch WHEN '-' THEN 1048575 WHEN 'B' THEN 12 WHEN 'Z' THEN 96 ELSE 1 << (strpos('{AA}', ch) - 1) END AS st, "
+    "CASE WHEN ch = '-' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS l0, CASE WHEN ch = '-' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS l1 "
+    "FROM ref_cols_aa JOIN tips USING (name)",
+)
+cte(
+    "item_sym_aa", ["items"],
+    f"SELECT seq_id, i, length(s) AS n, 1 << (strpos('{AA}', substr(s, CAST(i AS INTEGER), 1)) - 1) AS b FROM (SELECT seq_id, s, unnest(range(1, length(s) + 1)) AS i "
+    f"FROM (SELECT seq_id, regexp_replace(translate(seq, '{FOLD4[0][:26]}', '{FOLD4[0][:26].upper()}'), '[^{AA}]', '', 'g') AS s FROM items))",
+)
+variant("_aa", "ref_cols", "tip_vals", "item_sym")

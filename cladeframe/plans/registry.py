@@ -227,12 +227,9 @@ def _(spark, sf):
     return d.select("doc_id", back(R.encode_pstate, R.decode_pstate).alias("via_state"), back(R.encode_cstate, R.decode_cstate).alias("via_index"))
 
 
-AA = "ARNDCQEGHILKMFPSTWYV"
-
-
 @query("amino_states", sql=f"""
-SELECT doc_id, CAST(length(q) AS BIGINT) AS n, CAST(coalesce(list_sum(list_transform(string_split(q, ''), lambda c: CASE WHEN c = '' THEN 0 ELSE 1 << (strpos('{AA}', c) - 1) END)), 0) AS BIGINT) AS state_sum
-FROM (SELECT doc_id, regexp_replace(translate(text, '{R.LOWER}', '{R.UPPER}'), '[^{AA}]', '', 'g') AS q FROM documents)""")
+SELECT doc_id, CAST(length(q) AS BIGINT) AS n, CAST(coalesce(list_sum(list_transform(string_split(q, ''), lambda c: CASE WHEN c = '' THEN 0 ELSE 1 << (strpos('{O.AA}', c) - 1) END)), 0) AS BIGINT) AS state_sum
+FROM (SELECT doc_id, regexp_replace(translate(text, '{R.LOWER}', '{R.UPPER}'), '[^{O.AA}]', '', 'g') AS q FROM documents)""")
 def _(spark, sf):
     d = D.table(spark, sf, "documents").select("doc_id", R.query_residues(F.col("text"), R.AA).alias("q"))
     states = F.when(F.length("q") > 0, R.encode_pstate(F.col("q"), R.AA)).otherwise(F.array().cast("array<int>"))
@@ -467,6 +464,23 @@ def _(spark, sf):
     return _item_scores(spark, sf)
 
 
+O.cte("nation_long", [], "SELECT j, i, substr(s, CAST(i AS INTEGER), 1) AS b FROM (SELECT *, unnest(range(1, length(s) + 1)) AS i FROM "
+      "(SELECT CAST(n_nationkey AS BIGINT) AS j, upper(regexp_replace(n_name, '[^ACGTacgt]', '', 'g')) AS s FROM nation))")
+O.cte(
+    "cross_dp", ["acgt_long", "nation_long"],
+    "SELECT a.seq_id AS a, p.j AS p, p.i AS col, p.b AS c, 0 AS i, 0 AS s, -1000000 AS up FROM (SELECT DISTINCT seq_id FROM acgt_long) a, nation_long p "
+    + O.CTES["local_dp"][1][O.CTES["local_dp"][1].index("UNION ALL"):].replace("local_dp", "cross_dp"),
+)
+
+
+@query("cross_scores", "cross_dp", "items", sql="""
+SELECT seq_id AS i, CAST(n_nationkey AS BIGINT) AS j, CAST(coalesce(score, 0) AS INTEGER) AS score FROM items CROSS JOIN nation
+LEFT JOIN (SELECT a, p, max(s) AS score FROM cross_dp GROUP BY 1, 2) ON a = seq_id AND p = n_nationkey""")
+def _(spark, sf):
+    nations = D.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("i"), F.col("n_name").alias("seq"))
+    return W.local_scores(D.items(spark, sf).select(F.col("seq_id").alias("i"), "seq"), S.flat_matrix(spark), nations)
+
+
 @query("mean_distances", "pair_norm", sql="SELECT i, j, score, round(dist, 6) AS dist FROM pair_norm")
 def _(spark, sf):
     d = W.normalize_distance(W.mirror(_item_scores(spark, sf)))
@@ -597,6 +611,25 @@ def _(spark, sf):
     return L.best_edge(_items(spark, sf), _profiles(spark, sf))
 
 
+def _amino_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Profiles of the nation tree over the month alignment, its letters changed into amino acids."""
+    nodes, edges = _tree(spark, sf)
+    msa = _msa(spark, sf).withColumn("seq", F.translate("seq", "ACGTNU", O.AA_REFERENCE))
+    refs = cut_lineage(C.drop_gap_columns(msa, nodes.filter("is_tip"), R.AA))
+    return cut_lineage(P.edge_profiles(refs, nodes, edges, alpha=R.AA))
+
+
+@query("amino_profiles", "prof_aa", sql="SELECT edge_id, col, state, aux, round(gapp, 6) AS gapp FROM prof_aa")
+def _(spark, sf):
+    return P.profiles_long(_amino_profiles(spark, sf)).select("edge_id", "col", "state", "aux", six("gapp").alias("gapp"))
+
+
+@query("amino_edges", "edge_scores_aa",
+       sql="SELECT seq_id, edge_id, score FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY score DESC, edge_id) AS r FROM edge_scores_aa) WHERE r = 1")
+def _(spark, sf):
+    return L.best_edge(L.clean_queries(D.items(spark, sf), R.AA), _amino_profiles(spark, sf), alpha=R.AA)
+
+
 @query("top_edges", "edge_scores",
        sql="SELECT * FROM (SELECT seq_id, edge_id, score, CAST(row_number() OVER (PARTITION BY seq_id ORDER BY score DESC, edge_id) AS INTEGER) AS rank FROM edge_scores) WHERE rank <= 5")
 def _(spark, sf):

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 import brute
 from cladeframe.functions import kernels as K
+from cladeframe.functions import residues as R
 from cladeframe.operators import columns as C
 from cladeframe.operators import logodds as G
 from cladeframe.operators import pairwise as W
 from cladeframe.operators import place as L
+from cladeframe.operators import profiles as P
 from cladeframe.operators import traces as X
 from cladeframe.operators import trees as T
 from cladeframe.plans import jobs as J
@@ -295,6 +297,27 @@ def test_place_job(spark, small_tree):
     assert ops[3].startswith("1" * 6)
 
 
+def test_place_job_of_amino_acids(spark, small_tree):
+    # N is a residue and no gap, U is nothing; B and Z stand for two amino acids each
+    nodes, edges = small_tree
+    rows = {"a": "NNMK-WNBR", "b": "NNMKLWNZR", "c": "NDMK-WNDR", "d": "NDMKLWNER", "e": "NNNN-NNNN"}
+    msa = spark.createDataFrame(list(rows.items()), "name string, seq string")
+    queries = spark.createDataFrame([(1, "q1", "nnmkwndr"), (2, "q2", "NNMKULWNDR")], "seq_id long, name string, seq string")
+    job = J.place_job(msa, nodes, edges, queries, alpha=R.AA)
+    aligned = {r["name"]: r["seq"] for r in job.aligned.collect()}
+    assert {n: s.replace("-", "") for n, s in aligned.items()} == {
+        **{n: s.replace("-", "") for n, s in rows.items()}, "q1": "NNMKWNDR", "q2": "NNMKLWNDR",
+    }
+    profiles = P.edge_profiles(msa, nodes, edges, alpha=R.AA).collect()
+    state = lambda seq: [int(R.AA.state_table()[R.AA.byte_index()[ord(c)]]) for c in seq]
+    want = {
+        k: max(brute.profile_score(r["state"], r["aux"], state(q)) for r in profiles) for k, q in ((1, "NNMKWNDR"), (2, "NNMKLWNDR"))
+    }
+    assert {int(r["name"][1:]): r["score"] for r in job.placed.collect()} == want
+    own = spark.createDataFrame([(1, "q1", aligned["q1"])], "seq_id long, name string, seq string")
+    assert X.placement_quality(own, job.traces, R.AA).first()["share"] == 1.0
+
+
 def test_insertion_in_order_and_guided(spark, small_tree):
     from cladeframe.plans import insertion as N
 
