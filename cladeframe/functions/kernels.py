@@ -13,9 +13,14 @@ opening a gap never costs less than extending one, which is checked.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
-LANES = 6144  # (query, profile) pairs advanced together; keeps a row in cache
+LANES = 6144  # (query, profile) pairs advanced together at most
+CACHE_BYTES = 1 << 18  # of one array of a step, where that leaves LEAST_LANES pairs; keeps a step in a core's own cache
+LEAST_LANES = 1024
+PIECE = 1024  # residues of a query that one lane takes; longer ones are cut
 TRACE_LANES = 1024  # pairs traced together
 TRACE_ROWS = 128  # query residues between two kept rows of a trace
 
@@ -52,6 +57,30 @@ def _running_max(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class _Running:
+    """An array (columns, queries, profiles) and its running maximum along the columns.
+
+    Columns are in blocks of about their square root: all blocks advance together, then their
+    ends, and the ends go to the rest of the next blocks in one step, so few steps are needed.
+    """
+
+    def __init__(self, n: int, queries: int, profiles: int, dt: np.dtype):
+        self.n, width = n, max(1, int(np.sqrt(n)))
+        self.cells = np.zeros((-(-n // width), width, queries, profiles), dtype=dt)
+
+    def of(self, live: int) -> np.ndarray:
+        """The array of the first ``live`` queries, as a view."""
+        part, (blocks, width) = self.cells[:, :, :live], self.cells.shape[:2]
+        self.steps = [(part[:, k], part[:, k - 1]) for k in range(1, width)]
+        self.steps += [(part[b, -1], part[b - 1, -1]) for b in range(1, blocks)]
+        self.steps += [(part[1:, :-1], part[:-1, -1:])] if blocks > 1 and width > 1 else []
+        return self.cells.reshape(blocks * width, *self.cells.shape[2:])[: self.n, :live]
+
+    def carry(self) -> None:
+        for later, earlier in self.steps:
+            np.maximum(later, earlier, out=later)
+
+
 def affine_scores(
     table: np.ndarray,
     col_open: np.ndarray,
@@ -72,83 +101,147 @@ def affine_scores(
     start and end an alignment.  ``widths`` gives each profile's real column count.
     ``soft_start`` charges a gap before the first column as an extension.
     Queries without residues score the lowest representable value.
+
+    Unless ``local``, a long query is cut into overlapping pieces that are lanes of their own.  A
+    piece begins with all columns skipped, which is never above the true row; where that was
+    below it, ``overlap`` residues later it no longer matters, so all scores are exact.
     """
     if np.any(col_open > col_extend) or gap_open > gap_extend:
         raise ValueError("opening a gap must not be cheaper than extending it")
     n_col, _, n_prof = table.shape
-    lens = np.array([q.size for q in queries], dtype=np.int64)
-    longest = int(lens.max(initial=0))
-    steps = np.abs(table).max(initial=0) + np.abs(col_open).max(initial=0) + abs(gap_open)
-    carry = np.cumsum(col_extend, axis=0, dtype=np.int64)
-    reach = np.abs(carry).max(initial=0) + 2 * int(steps) + int(np.abs(table).max(initial=0)) * (
-        min(n_col, longest) + 1
-    ) + abs(gap_extend) * 2
-    dt, low = _dtype(float(reach) * 1.5)
+    longest = max((q.size for q in queries), default=0)
     out = np.full((len(queries), n_prof), np.iinfo(np.int32).min, dtype=np.int64)
     if n_col == 0 or longest == 0:
         return out
-
-    shifted = (table - col_extend[:, None, :]).astype(dt)
-    start_cost = (col_open - col_extend).astype(dt)[:, None, :]
+    carry = np.cumsum(col_extend, axis=0, dtype=np.int64)
+    shifted, start_cost = table - col_extend[:, None, :], col_open - col_extend
     if soft_start:
         start_cost = start_cost.copy()
         start_cost[0] = 0
-    carry_dt = carry.astype(dt)[:, None, :]
+    if local:
+        steps = np.abs(table).max(initial=0) + np.abs(col_open).max(initial=0) + abs(gap_open)
+        reach = np.abs(carry).max(initial=0) + 2 * int(steps) + int(np.abs(table).max(initial=0)) * (
+            min(n_col, longest) + 1
+        ) + abs(gap_extend) * 2
+        dt, low = _dtype(float(reach) * 1.5)
+        zero = 0
+        pieces = [(k, 0, q.size) for k, q in enumerate(queries) if q.size]
+    else:
+        least = int(min(start_cost[0].min(), 0))
+        low = least + gap_open
+        bottom = least + int(min(shifted.min(), gap_open + gap_extend, start_cost.min())) - 1
+        top = int(np.maximum(-col_extend, np.maximum(shifted.max(axis=1), 0)).sum(axis=0).max())
+        dt, zero = _offset_type(bottom, top)
+        low -= zero
+        gain = int(np.maximum(table.max(axis=1), 0).sum(axis=0).max())
+        back = overlap(n_col, gain, least + int(carry.min()), gap_extend)
+        pieces = [(k, a, b) for k, q in enumerate(queries) for a, b in cuts(q.size, back)]
+    shifted, start_cost = shifted.astype(dt), start_cost.astype(dt)[:, None, :]
+    fresh = (-carry - zero).astype(dt)[:, None, :]
     last = (widths if widths is not None else np.full(n_prof, n_col)) - 1
     lanes = np.arange(n_prof)
-    inside = np.arange(n_col)[:, None, None] <= last[None, None, :]
+    inside = np.arange(n_col)[:, None] <= last
     ragged = bool((last != n_col - 1).any())
 
-    order = _by_length(lens)
-    batch = max(1, LANES // n_prof)
-    for lo in range(0, len(order), batch):
-        pick = order[lo : lo + batch]
-        pick = pick[lens[pick] > 0]
-        if pick.size == 0:
-            break
-        blen = lens[pick]
-        sym = _pad([queries[k] for k in pick], int(blen[0]), 0)
-        nb = pick.size
-        s = np.broadcast_to(-carry_dt, (n_col, nb, n_prof)).copy()
-        up = np.full((n_col, nb, n_prof), low, dtype=dt)
-        best = np.full((nb, n_prof), low, dtype=dt)
-        h, tmp, run = np.empty_like(s), np.empty_like(s), np.empty_like(s)
-        live = nb
-        for i in range(int(blen[0])):
-            while blen[live - 1] <= i:
-                live -= 1
-                s, up, h = s[:, :live], up[:, :live], h[:, :live]
-                tmp, run = tmp[:, :live], run[:, :live]
-            np.take(shifted, sym[:live, i], axis=1, out=h, mode="clip")
-            h[1:] += s[:-1]
-            np.add(s, dt.type(gap_open), out=tmp)
-            up += dt.type(gap_extend)
-            np.maximum(up, tmp, out=up)
-            np.maximum(h, up, out=h)
-            if local:
-                np.maximum(h, -carry_dt, out=h)
-            run[0] = start_cost[0]
-            np.add(h[:-1], start_cost[1:], out=run[1:])
-            np.maximum(h, _running_max(run), out=h)
-            s, h = h, s
-            if local:
-                np.add(s, carry_dt, out=tmp)
-                np.maximum(best[:live], tmp.max(axis=0), out=best[:live])
-                continue
-            edge = s[last, :, lanes].T + carry_dt[last, 0, lanes]
-            np.maximum(best[:live], edge, out=best[:live])
-            done = live
-            while done > 0 and blen[done - 1] == i + 1:
-                done -= 1
-            if done < live:
-                tail = s[:, done:live] + carry_dt
-                if ragged:
-                    tail = np.where(inside, tail, low)
-                best[done:live] = np.maximum(best[done:live], tail.max(axis=0))
-        out[pick] = best
+    fit = CACHE_BYTES // (n_col * np.dtype(dt).itemsize)
+    queues = _queues([b - a for _, a, b in pieces], max(1, min(LANES, max(LEAST_LANES, fit)) // n_prof))
+    symbols = [np.concatenate([queries[k][a:b] for k, a, b in (pieces[x] for x in queue)]) for queue in queues]
+    begins: dict[int, list[tuple[int, int]]] = {}
+    ends: dict[int, list[tuple[int, int]]] = {}
+    for lane, queue in enumerate(queues):
+        at = 0
+        for x in queue:
+            begins.setdefault(at, []).append((lane, x))
+            at += pieces[x][2] - pieces[x][1]
+            ends.setdefault(at - 1, []).append((lane, x))
+    size = np.array([q.size for q in symbols])
+    sym, nb = np.ascontiguousarray(_pad(symbols, int(size[0]), 0).T), len(queues)
+    shape = (n_col, nb, n_prof)
+    s, up, h, tmp = (np.zeros(shape, dtype=dt) for _ in range(4))
+    best = np.empty((nb, n_prof), dtype=dt)
+    starts = np.broadcast_to(start_cost, shape).copy()
+    runs = _Running(n_col, nb, n_prof, dt)
+    live = nb
+    run = runs.of(live)
+    skipped = start_cost[0] - dt.type(zero)
+    first = np.broadcast_to(skipped, (nb, n_prof)).copy()
+    for i in range(int(size[0])):
+        if size[live - 1] <= i:
+            live = int(np.searchsorted(-size, -i))
+            s, up, h, tmp, starts = (x[:, :live] for x in (s, up, h, tmp, starts))
+            run, first = runs.of(live), first[:live]
+        for lane, x in begins.get(i, ()):
+            s[:, lane] = skipped if pieces[x][1] else fresh[:, 0]
+            up[:, lane] = best[lane] = low
+        np.take(shifted, sym[i, :live], axis=1, out=h, mode="clip")
+        h[1:] += s[:-1]
+        if zero:
+            h[0] -= dt.type(zero)
+        np.add(s, dt.type(gap_open), out=tmp)
+        up += dt.type(gap_extend)
+        np.maximum(up, tmp, out=up)
+        np.maximum(h, up, out=h)
+        if local:
+            np.maximum(h, fresh, out=h)
+        run[0] = first
+        np.add(h[:-1], starts[1:], out=run[1:])
+        runs.carry()
+        np.maximum(h, run, out=h)
+        s, h = h, s
+        if local:
+            np.subtract(s, fresh, out=tmp)
+            np.maximum(best[:live], tmp.max(axis=0), out=best[:live])
+        else:
+            np.maximum(best[:live], s[last, :, lanes].T if ragged else s[-1], out=best[:live])
+        for lane, x in ends.get(i, ()):
+            k, _, b = pieces[x]
+            found = best[lane].astype(np.int64)
+            if not local:
+                found += zero + carry[last, lanes]
+            if not local and b == queries[k].size:
+                tail = s[:, lane] + (carry + zero)
+                found = np.maximum(found, (np.where(inside, tail, np.iinfo(np.int32).min) if ragged else tail).max(axis=0))
+            np.maximum(out[k], found, out=out[k])
     return out
 
 
+def _queues(sizes: list[int], lanes: int) -> list[list[int]]:
+    """Pieces dealt out to lanes, the longest first and always to the shortest lane; the longest lane first."""
+    queues: list[list[int]] = [[] for _ in range(min(lanes, len(sizes)))]
+    filled = [(0, k) for k in range(len(queues))]
+    for x in _by_length(np.array(sizes)).tolist():
+        total, k = filled[0]
+        queues[k].append(x)
+        heapq.heapreplace(filled, (total + sizes[x], k))
+    return [queues[k] for _, k in sorted(filled, key=lambda f: (-f[0], f[1]))]
+
+
+def _offset_type(bottom: int, top: int) -> tuple[np.dtype, int]:
+    """The narrowest type for values from ``bottom`` to ``top``, and what is taken off them to fit."""
+    if top - bottom < 250:
+        return np.dtype(np.int8), bottom + 126
+    if max(top, -bottom) < 32000:
+        return np.dtype(np.int16), 0
+    return np.dtype(np.int32), 0
+
+
+def overlap(n_col: int, gain: int, least: int, gap_extend: int) -> int | None:
+    """Residues before a cell that can matter to it: an alignment over more of them is worse than skipping all columns.
+
+    ``gain`` is the most that all columns can give and ``least`` the score of skipping them; None where
+    insertions are free.
+    """
+    return n_col + (gain - least) // -gap_extend + 2 if gap_extend < 0 else None
+
+
+def cuts(size: int, back: int | None) -> list[tuple[int, int]]:
+    """Pieces ``(first, end)`` of a query: each begins ``back`` residues before the end of the one before it."""
+    if back is None or size <= max(PIECE, 4 * back):
+        return [(0, size)] if size else []
+    step = max(PIECE, 4 * back)
+    return [(max(0, a - back), min(size, a + step)) for a in range(0, size, step)]
+
+
 def profile_scores(
     state: np.ndarray,
     flag: np.ndarray,

@@ -28,6 +28,7 @@ from cladeframe.functions import residues as R
 
 BROADCAST_BYTES = 48 << 20
 PROFILE_CELL_BYTES = 5  # state and flag of one profile column
+EDGES_PER_ROUND = 16  # profiles scored before the best score so far may rule out others
 SALT_QUERIES = 20_000  # queries of one edge in one tracing task
 
 
@@ -130,17 +131,33 @@ def _bounds_groups(batch: dict, n_cols: int):
 
 
 def _score_rows(batch: dict, prof: ProfileSet, alpha: R.Alphabet, sp: Scores, top_k: int) -> pa.Table:
-    """The ``top_k`` best edges of each query in one cell (score desc, edge asc)."""
+    """The ``top_k`` best edges of each query in one cell (score desc, edge asc).
+
+    For the best edge alone, profiles go in rounds by the most that they can score: a query leaves
+    when its best score is above that of all that are left.
+    """
     syms = _symbols(batch["seq"], alpha)
     states = alpha.state_table()
     edges_per_pass = max(1, min(prof.edge_id.size, (1 << 17) // max(1, prof.state.shape[0])))
-    score = np.empty((len(syms), prof.edge_id.size), dtype=np.int64)
+    ruled = top_k == 1 and max(sp.gap_open, sp.gap_extend) <= 0
+    if ruled:
+        edges_per_pass = min(edges_per_pass, EDGES_PER_ROUND)
+    none = np.iinfo(np.int32).min
+    score = np.full((len(syms), prof.edge_id.size), none, dtype=np.int64)
     for lo, hi, rows in _bounds_groups(batch, prof.state.shape[0]):
         part = prof.slice(int(lo), int(hi))
-        for e in range(0, prof.edge_id.size, edges_per_pass):
-            sl = slice(e, e + edges_per_pass)
-            score[rows, sl] = K.profile_scores(
-                part.state[:, sl], part.flag[:, sl], states, [syms[r] for r in rows],
+        rows = rows[[syms[r].size > 0 for r in rows]]
+        most = np.where(part.flag, max(0, sp.match_flag, sp.match + sp.match_flag), max(0, sp.match)).sum(axis=0)
+        order = np.argsort(-most, kind="stable")
+        for e in range(0, order.size, edges_per_pass):
+            pick = np.sort(order[e : e + edges_per_pass])
+            if ruled and e:
+                # edges that even a full match would leave below the best so far have nothing to add
+                rows = rows[score[rows].max(axis=1) <= most[pick].max()]
+            if rows.size == 0:
+                break
+            score[rows[:, None], pick] = K.profile_scores(
+                part.state[:, pick], part.flag[:, pick], states, [syms[r] for r in rows],
                 sp.match, sp.match_flag, sp.gap_open, sp.gap_extend,
             )
     k = min(top_k, prof.edge_id.size)
@@ -186,7 +203,7 @@ def _trace_rows(batch: dict, prof: ProfileSet, alpha: R.Alphabet, sp: Scores) ->
     )
 
 
-def _batches(table: pa.Table, residues: int = 1 << 19) -> Iterator[dict]:
+def _batches(table: pa.Table, residues: int = 1 << 21) -> Iterator[dict]:
     """Slices of a table by residue count, so a batch of long texts stays small."""
     lens = np.array([len(s or "") for s in table.column("seq").to_pylist()], dtype=np.int64)
     cut = np.cumsum(lens) // residues

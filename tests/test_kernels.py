@@ -105,3 +105,37 @@ def test_dtw():
             assert got[i, j] == brute.dtw(x, y)
     d, path = K.dtw_path(np.array([1, 2, 3, 4, 5]), np.array([1, 2, 4]))
     assert d == 2 and path[0] == (0, 0) and path[-1] == (4, 2)
+
+
+def test_long_queries_are_scored_in_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    state, flag = rng.integers(1, 16, (12, 3)), rng.random((12, 3)) < 0.2
+    queries = [rng.integers(0, 15, n) for n in (0, 3, 700, 1500)]
+    scored = lambda: K.profile_scores(state, flag, np.arange(16), queries, 2, -3, -3, -1)
+    whole = scored()
+    back = K.overlap(12, 24, -14, -1)
+    monkeypatch.setattr(K, "PIECE", 1)
+    assert len(K.cuts(1500, back)) > 5 and K.cuts(1500, back)[-1][1] == 1500
+    assert (scored() == whole).all()
+    # values of such a profile fit a byte
+    assert K._offset_type(-10, 200)[0] == np.int8
+
+
+def test_edges_that_cannot_win_are_not_scored(monkeypatch):
+    from cladeframe.functions import residues as R
+    from cladeframe.operators import place as L
+
+    rng = np.random.default_rng(6)
+    state = rng.integers(1, 16, (30, 20))
+    flag = np.arange(30)[:, None] >= np.repeat([30, 4], 10)
+    prof = L.ProfileSet(np.arange(20), state, flag)
+    batch = {"seq_id": [0, 1, 2], "seq": ["ACGTRYKMACGTACGT" * 9, "", "GATTACA" * 20]}
+    met = []
+    real = K.profile_scores
+    monkeypatch.setattr(K, "profile_scores", lambda s, *a: met.append(s.shape[1]) or real(s, *a))
+    monkeypatch.setattr(L, "EDGES_PER_ROUND", 20)
+    every = L._score_rows(batch, prof, R.DNA, L.Scores(), 1)
+    monkeypatch.setattr(L, "EDGES_PER_ROUND", 5)
+    met.clear()
+    assert L._score_rows(batch, prof, R.DNA, L.Scores(), 1).equals(every)
+    assert sum(met) <= 10
