@@ -308,33 +308,54 @@ def trace_pairs(
     inserted.  Ties: insert only if strictly best, skip if at least as good as
     insert and better than a match, else match; the first best end cell in row order.
 
-    The first sweep keeps one row in every ``TRACE_ROWS``; directions are recomputed
-    from there only for the stretches a path crosses.  Memory grows with the
-    query length by a few bytes per residue, not by the profile width.
+    A first sweep finds the end cells, a long query in pieces as in :func:`affine_scores`.  A
+    second one goes over the residues that the best alignment can reach back to from there and
+    keeps one row in every ``TRACE_ROWS``; directions are recomputed from those.
     """
     n_col = state.shape[0]
     lens = np.array([q.size for q in queries], dtype=np.int64)
     scores = np.full(len(queries), np.iinfo(np.int32).min, dtype=np.int64)
     ops: list[bytes] = [b"1" * n_col] * len(queries)
-    order = _by_length(lens)
+    if n_col == 0 or lens.max(initial=0) == 0:
+        return scores, ops
+    costs = match, match_flag, gap_open, gap_extend
+    gain = int(np.where(flag, max(0, match_flag, match + match_flag), max(0, match)).sum(axis=0).max())
+    back = overlap(n_col, gain, n_col * min(0, gap_extend) + min(0, gap_open), gap_extend)
+    pieces = [(k, a, b) for k, q in enumerate(queries) for a, b in cuts(q.size, back)]
+    end_row, end_col = np.zeros_like(lens), np.zeros_like(lens)
+    order = _by_length(np.array([b - a for _, a, b in pieces]))
+    for lo in range(0, order.size, TRACE_LANES):
+        part = [pieces[x] for x in order[lo : lo + TRACE_LANES]]
+        pick = [k for k, _, _ in part]
+        pairs = _Pairs(state[:, pick], flag[:, pick], [queries[k][a:b] for k, a, b in part], *costs,
+                       begun=np.array([a > 0 for _, a, _ in part]), whole=np.array([b == lens[k] for k, _, b in part]))
+        best = pairs.sweep(keep=False)
+        for x, (k, a, _) in enumerate(part):
+            if (best[x], -int(pairs.end_row[x]) - a) > (scores[k], -int(end_row[k])):
+                scores[k], end_row[k], end_col[k] = best[x], pairs.end_row[x] + a, pairs.end_col[x]
+    first = np.zeros_like(lens) if back is None else np.maximum(0, end_row + 1 - back)
+    order = _by_length(np.where(lens > 0, end_row + 1 - first, 0))
     order = order[lens[order] > 0]
-    for lo in range(0, order.size if n_col else 0, TRACE_LANES):
+    for lo in range(0, order.size, TRACE_LANES):
         pick = order[lo : lo + TRACE_LANES]
-        pairs = _Pairs(
-            state[:, pick], flag[:, pick], [queries[k] for k in pick], match, match_flag, gap_open, gap_extend
-        )
-        scores[pick] = pairs.sweep()
+        pairs = _Pairs(state[:, pick], flag[:, pick], [queries[k][first[k] : end_row[k] + 1] for k in pick], *costs, begun=first[pick] > 0)
+        pairs.sweep()
+        pairs.end_row, pairs.end_col = pairs.lens - 1, end_col[pick]
         for k, t in zip(pick, pairs.walk()):
-            ops[k] = t
+            head, tail = b"2" * int(first[k]), b"2" * int(lens[k] - 1 - end_row[k])
+            ops[k] = head + t + tail + b"1" * int(n_col - 1 - end_col[k])
     return scores, ops
 
 
 class _Pairs:
-    """Aligned pairs traced together; lanes are sorted by query length, longest first."""
+    """Aligned pairs traced together; lanes are sorted by query length, longest first.
+
+    A lane that has ``begun`` is the rest of a query, and one that is not ``whole`` lacks its end.
+    """
 
     LOW = -(1 << 29)
 
-    def __init__(self, state, flag, queries, match, match_flag, gap_open, gap_extend) -> None:
+    def __init__(self, state, flag, queries, match, match_flag, gap_open, gap_extend, begun, whole=None) -> None:
         self.state, self.match = state.astype(np.int32), match
         self.open, self.extend = gap_open, gap_extend
         self.n_col, self.n = state.shape
@@ -344,6 +365,8 @@ class _Pairs:
         self.e = np.where(flag, 0, gap_extend).astype(np.int32)
         self.extra = np.where(flag, match_flag, 0).astype(np.int32)
         self.carry = np.cumsum(self.e, axis=0, dtype=np.int32)
+        self.whole = np.ones(self.n, bool) if whole is None else whole
+        self.before = np.where(begun, self.o[0] - self.e[0] + self.carry, 0).astype(np.int32)
 
     def row(self, lanes, residues, s, up):
         """One query residue further: match, insert, skip and best values per column."""
@@ -357,8 +380,8 @@ class _Pairs:
         left = _running_max(run) + self.carry[:, lanes]
         return sm, up, left, np.maximum(h, left)
 
-    def sweep(self) -> np.ndarray:
-        s = np.zeros((self.n_col, self.n), dtype=np.int32)
+    def sweep(self, keep: bool = True) -> np.ndarray:
+        s = self.before
         up = np.full_like(s, self.LOW)
         self.kept = []
         self.best = np.full(self.n, self.LOW, dtype=np.int64)
@@ -369,11 +392,11 @@ class _Pairs:
             while self.lens[live - 1] <= i:
                 live -= 1
                 s, up = s[:, :live], up[:, :live]
-            if i % TRACE_ROWS == 0:
+            if keep and i % TRACE_ROWS == 0:
                 self.kept.append((s, up))
             _, up, _, s = self.row(slice(0, live), self.qs[:live, i], s, up)
             # ends: the last column of every row, any column of a pair's last row
-            final = self.lens[:live] == i + 1
+            final = (self.lens[:live] == i + 1) & self.whole[:live]
             value, col = s[-1].astype(np.int64), np.full(live, self.n_col - 1)
             if final.any():
                 value = np.where(final, s.max(axis=0), value)
@@ -402,7 +425,7 @@ class _Pairs:
         return bits
 
     def walk(self) -> list[bytes]:
-        """Follow the paths of all pairs back from their end cells, stretch by stretch."""
+        """Follow the paths of all pairs back from their end cells, stretch by stretch: operations up to there."""
         a, b = self.end_col.copy(), self.end_row.copy()
         skipping = np.zeros(self.n, dtype=bool)
         inserting = np.zeros(self.n, dtype=bool)
@@ -440,9 +463,8 @@ class _Pairs:
         out = []
         for k in range(self.n):
             head = b"1" * int(a[k] + 1) + b"2" * int(b[k] + 1)
-            tail = b"2" * int(self.lens[k] - 1 - self.end_row[k]) + b"1" * int(self.n_col - 1 - self.end_col[k])
             path = np.concatenate(body[k])[::-1].tobytes() if body[k] else b""
-            out.append(head + path + tail)
+            out.append(head + path)
         return out
 
 

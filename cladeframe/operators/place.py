@@ -172,8 +172,20 @@ def _score_rows(batch: dict, prof: ProfileSet, alpha: R.Alphabet, sp: Scores, to
     )
 
 
+def _gapped(ops: str, seq: str) -> str:
+    """``traces.gapped`` of one query: residues in place of ``0``, in lower case of ``2``, and ``-`` of ``1``."""
+    steps = np.frombuffer(ops.encode(), np.uint8)
+    out = np.full(steps.size, ord("-"), np.uint8)
+    residues = steps != ord("1")
+    out[residues] = np.frombuffer((seq or "").encode(), np.uint8) + 32 * (steps[residues] == ord("2")).astype(np.uint8)
+    return out.tobytes().decode()
+
+
 def _trace_rows(batch: dict, prof: ProfileSet, alpha: R.Alphabet, sp: Scores) -> pa.Table:
-    """Score and operations of each query on the edge it names; skips outside its range."""
+    """Score and operations of each query on the edge it names; skips outside its range.
+
+    Queries that have a name get their gapped text too, and their scores must be those they came with.
+    """
     syms = _symbols(batch["seq"], alpha)
     states = alpha.state_table()
     wanted = np.asarray(batch["edge_id"])
@@ -193,14 +205,21 @@ def _trace_rows(batch: dict, prof: ProfileSet, alpha: R.Alphabet, sp: Scores) ->
         score[rows] = got
         for r, t in zip(rows, text):
             ops[r] = "1" * int(lo) + t.decode() + "1" * int(n_cols - 1 - hi)
-    return pa.table(
+    found = pa.table(
         {
             "seq_id": pa.array(np.asarray(batch["seq_id"], dtype=np.int64)),
             "edge_id": pa.array(np.asarray(batch["edge_id"], dtype=np.int32)),
             "score": pa.array(score.astype(np.int32), mask=score == np.iinfo(np.int32).min),
-            "ops": pa.array(ops),
+            "ops": pa.array(ops, pa.string()),
         }
     )
+    if "name" not in batch:
+        return found
+    for seq_id, want, got in zip(batch["seq_id"], batch["score"], found.column("score").to_pylist(), strict=True):
+        if want != got:
+            raise ValueError(f"trace score differs for sequence {seq_id}")
+    gapped = pa.array([_gapped(o, s) for o, s in zip(ops, batch["seq"], strict=True)], pa.string())
+    return found.append_column("name", pa.array(batch["name"], pa.string())).append_column("gapped", gapped)
 
 
 def _batches(table: pa.Table, residues: int = 1 << 21) -> Iterator[dict]:
@@ -346,18 +365,21 @@ def trace(
     alpha: str | R.Alphabet = R.DNA,
     spread_queries: bool = True,
     broadcast_bytes: int = BROADCAST_BYTES,
+    checked: bool = False,
 ) -> DataFrame:
     """``(seq_id, edge_id, score, ops)`` for ``placed(seq_id, seq, edge_id[, start, end])``.
 
     ``ops`` is the forward operation string: 0 residue on a column, 1 column skipped,
-    2 residue inserted.
+    2 residue inserted.  With ``checked`` the rows of ``placed`` also have ``name`` and ``score``:
+    another score of the trace is an error, and the result has ``name`` and ``gapped`` too, so
+    neither the check nor the aligned text needs a join.
     """
     a = R.alphabet(alpha)
-    cols = ["seq_id", "seq", "edge_id"] + [c for c in ("start", "end") if c in placed.columns]
+    cols = ["seq_id", "seq", "edge_id"] + ["name", "score"] * checked + [c for c in ("start", "end") if c in placed.columns]
     n_edges, n_cols = profile_shape(profiles)
     if n_edges == 0:
         raise ValueError("no profiles")
-    schema = "seq_id long, edge_id int, score int, ops string"
+    schema = "seq_id long, edge_id int, score int, ops string" + ", name string, gapped string" * checked
     asked, slim = placed.select(*cols), profiles.select("edge_id", "state", "aux")
     body = lambda rows, prof: _trace_rows(rows, prof, a, scores)
     size = n_edges * n_cols * PROFILE_CELL_BYTES

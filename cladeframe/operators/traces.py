@@ -7,11 +7,17 @@ after that is string work per row plus one small aggregate over insert lengths.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions import residues as R
 
+OPENED_BYTES = 1 << 24  # of opened rows that a task holds at once
+
 
 def gapped(ops: Column, seq: Column) -> Column:
     """Merge operations and residues: ``0`` -> upper, ``1`` -> ``-``, ``2`` -> lower case."""
@@ -77,9 +83,9 @@ def insert_budget(traces: DataFrame) -> DataFrame:
     and task, however many traces there are.
     """
     runs = F.regexp_extract_all(F.col("ops"), F.lit("2*[01]|2+$"), F.lit(0))
+    found = F.transform(runs, lambda t, i: F.struct(i.alias("pos"), (F.length(t) - (~t.endswith("2")).cast("int")).alias("n")))
     return (
-        traces.select(F.posexplode(F.transform(runs, lambda t: F.length(F.regexp_replace(t, "[01]", "")))).alias("pos", "n"))
-        .filter("n > 0")
+        traces.select(F.inline(F.filter(found, lambda r: r["n"] > 0)))
         .groupBy("pos")
         .agg(F.max("n").alias("n"))
     )
@@ -132,22 +138,50 @@ def open_reference(refs: DataFrame, ref_gaps: DataFrame, width: int, alpha: str
 def open_queries(gapped_traces: DataFrame, ref_gaps: DataFrame, width: int) -> DataFrame:
     """Query rows over the opened columns: ``(seq_id, name, seq)``.
 
-    Insertions fill their block from the left; before the first column they end at it.
+    Insertions fill their block from the left; before the first column they end at it.  The
+    budget, one number a column, goes to the tasks.
     """
-    def block(token: Column, n: Column, pos: Column) -> Column:
-        ins = F.translate(F.regexp_extract(token, "^([a-z]*)", 1), R.LOWER, R.UPPER)
-        pad = F.repeat(F.lit("-"), n - F.length(ins))
-        return F.concat(
-            F.when(pos == 0, F.concat(pad, ins)).otherwise(F.concat(ins, pad)),
-            F.regexp_replace(token, "[a-z]", ""),
-        )
-
-    tokens = F.slice(F.concat(column_tokens(F.col("gapped")), F.array(F.lit(""))), 1, width + 1)
-    paired = F.arrays_zip(tokens.alias("t"), F.col("_b").alias("b"))
-    out = F.transform(paired, lambda x, i: block(x["t"], x["b"], i))
-    return gapped_traces.withColumn("_b", budget_array(ref_gaps, width)).select(
-        "seq_id", "name", F.array_join(out, "").alias("seq")
-    )
+    n = np.zeros(width + 1, np.int64)
+    for pos, most in ref_gaps.select("pos", "n").collect():  # at most one row a column
+        n[pos] = most
+    per = max(1, OPENED_BYTES // max(1, width + int(n.sum())))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for lo in range(0, rb.num_rows, per):
+                part = rb.slice(lo, per)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _opened(part.column(2), n)], names=["seq_id", "name", "seq"])
+
+    asked = gapped_traces.select("seq_id", "name", F.col("gapped").alias("seq"))
+    return asked.mapInArrow(rows, asked.schema)
+
+
+def _opened(texts: pa.Array, n: np.ndarray) -> pa.Array:
+    """Gapped texts written over the opened columns, all of a batch at once; ``n`` is the budget of each position."""
+    absent = texts.is_null().to_numpy(zero_copy_only=False)
+    raw = [(s or "").encode() for s in texts.to_pylist()]
+    size = np.array([len(s) for s in raw], np.int64)
+    chars = np.frombuffer(b"".join(raw), np.uint8)
+    first = np.cumsum(size) - size
+    row, at = np.repeat(np.arange(size.size), size), np.arange(chars.size)
+    inserted = (chars >= 97) & (chars <= 122)
+    seen = np.concatenate([[0], np.cumsum(~inserted)])
+    if np.any((seen[first + size] - seen[first] != n.size - 1) & ~absent):
+        raise ValueError(f"a row does not have {n.size - 1} columns")
+    col = seen[:-1] - seen[first][row]
+    # an insertion's number in its run, and the length of the run before the first column
+    before = np.maximum(np.maximum.accumulate(np.where(inserted, -1, at)), first[row] - 1) if at.size else at
+    lead = np.bincount(row[inserted & (col == 0)], minlength=size.size)
+    block = np.arange(n.size) + np.cumsum(n) - n
+    width = int(block[-1] + n[-1])
+    inside = at - before - 1 + np.where(col == 0, n[0] - lead[row], 0)
+    if np.any(inserted & ((inside < 0) | (at - before > n[col]))):
+        raise ValueError("an insertion is longer than its budget")
+    out = np.full((size.size, width), ord("-"), np.uint8)
+    out[row, block[col] + np.where(inserted, inside, n[col])] = np.where(inserted, chars - 32, chars)
+    offsets = pa.py_buffer((np.arange(size.size + 1) * width).astype(np.int32))
+    valid = pa.array(~absent).buffers()[1]
+    return pa.Array.from_buffers(pa.string(), size.size, [valid, offsets, pa.py_buffer(out)])
 
 
 def extended_alignment(

@@ -42,10 +42,10 @@ def place_job(
         cleaned = cleaned.join(bounds.select("name", "start", "end"), "name", "left")
     best = L.best_edge(cleaned, profiles, alpha=alpha, **kw)
     placed = cut_lineage(cleaned.join(best, "seq_id"))
-    traces = cut_lineage(L.checked_traces(L.trace(placed, profiles, alpha=alpha, **kw), placed))
+    traces = cut_lineage(L.trace(placed, profiles, alpha=alpha, checked=True, **kw))
     width = L.profile_shape(profiles)[1]
-    aligned = X.extended_alignment(refs, X.with_gapped(traces, placed), width, ref_gaps, alpha)
-    return Placement(placed.select("seq_id", "name", "edge_id", "score"), traces, aligned)
+    aligned = X.extended_alignment(refs, traces, width, ref_gaps, alpha)
+    return Placement(placed.select("seq_id", "name", "edge_id", "score"), traces.select("seq_id", "edge_id", "score", "ops"), aligned)
 
 
 def node_job(

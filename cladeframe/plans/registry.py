@@ -719,7 +719,7 @@ def _(spark, sf):
        sql=f"SELECT name, length(s) AS n, md5(s) AS digest FROM (SELECT 'd' || doc_id AS name, {O.single('text')} AS s FROM documents)")
 def _(spark, sf):
     aligned = J.place_job(_msa(spark, sf), *_tree(spark, sf), D.texts(spark, sf)).aligned.filter("kind = 'qs'")
-    residues = F.regexp_replace("seq", "-", "")
+    residues = F.regexp_replace("seq", "-+", "")
     return aligned.select("name", F.length(residues).cast("long").alias("n"), F.md5(residues).alias("digest"))
 
 

@@ -139,3 +139,18 @@ def test_edges_that_cannot_win_are_not_scored(monkeypatch):
     met.clear()
     assert L._score_rows(batch, prof, R.DNA, L.Scores(), 1).equals(every)
     assert sum(met) <= 10
+
+
+def test_traces_of_long_queries_do_not_depend_on_pieces(monkeypatch):
+    rng = np.random.default_rng(7)
+    state, flag = rng.integers(1, 16, (9, 6)), rng.random((9, 6)) < 0.3
+    queries = [rng.choice([1, 2, 4, 8], n) for n in (0, 4, 90, 200, 500, 900)]
+    scores, ops = K.trace_pairs(state, flag, queries, 2, -3, -3, -1)
+    swept = []
+    real = K._Pairs.sweep
+    monkeypatch.setattr(K._Pairs, "sweep", lambda self, keep=True: swept.append((keep, self.lens.max())) or real(self, keep))
+    monkeypatch.setattr(K, "PIECE", 1)
+    again, same = K.trace_pairs(state, flag, queries, 2, -3, -3, -1)
+    assert (scores == again).all() and ops == same
+    # rows are kept only for the residues that a path can cross
+    assert max(n for keep, n in swept if keep) < 60 and max(n for _, n in swept) < 500

@@ -73,6 +73,28 @@ def test_traces_by_both_routes_have_the_placement_score(edges_and_queries, monke
         L.checked_traces(one, wrong).collect()
 
 
+def test_checked_traces_need_no_join(edges_and_queries):
+    prof, queries, *_ = edges_and_queries
+    placed = queries.withColumn("name", F.concat(F.lit("q"), "seq_id")).join(L.best_edge(queries, prof), "seq_id")
+    want = X.with_gapped(L.trace(placed, prof), placed).select("seq_id", "edge_id", "score", "ops", "name", "gapped")
+    for size in (1 << 20, 500):
+        assert rows(L.trace(placed, prof, broadcast_bytes=size, checked=True)) == rows(want)
+        with pytest.raises(Exception, match="trace score differs"):
+            L.trace(placed.withColumn("score", F.col("score") + 1), prof, broadcast_bytes=size, checked=True).collect()
+
+
+def test_opened_rows_of_a_batch(spark, monkeypatch):
+    texts = [("a", "acA-Gt"), ("b", "C-T"), ("c", "gAcC-"), ("d", "---"), ("e", None)]
+    traces = spark.createDataFrame([(k, n, s) for k, (n, s) in enumerate(texts)], "seq_id long, name string, gapped string")
+    gaps = spark.createDataFrame([(0, 2), (1, 1), (3, 2)], "pos int, n int")
+    want = {"a": "ACA--GT-", "b": "--C--T--", "c": "-GACC---", "d": "--------", "e": None}
+    for held in (1 << 24, 8):
+        monkeypatch.setattr(X, "OPENED_BYTES", held)
+        assert {r["name"]: r["seq"] for r in X.open_queries(traces, gaps, 3).collect()} == want
+    with pytest.raises(Exception, match="longer than its budget"):
+        X.open_queries(traces, gaps.filter("pos > 0"), 3).collect()
+
+
 def test_a_missing_profile_is_an_error(edges_and_queries):
     prof, queries, *_ = edges_and_queries
     placed = queries.limit(1).withColumn("edge_id", F.lit(4))
