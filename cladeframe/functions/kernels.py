@@ -206,8 +206,11 @@ def affine_scores(
 
 
 def _queues(sizes: list[int], lanes: int) -> list[list[int]]:
-    """Pieces dealt out to lanes, the longest first and always to the shortest lane; the longest lane first."""
-    queues: list[list[int]] = [[] for _ in range(min(lanes, len(sizes)))]
+    """Pieces dealt out to lanes, the longest first and always to the shortest lane; the longest lane first.
+
+    More lanes than fill the time of the longest piece twice would only wait for it.
+    """
+    queues: list[list[int]] = [[] for _ in range(min(lanes, len(sizes), 2 * -(-sum(sizes) // max(sizes))))]
     filled = [(0, k) for k in range(len(queues))]
     for x in _by_length(np.array(sizes)).tolist():
         total, k = filled[0]

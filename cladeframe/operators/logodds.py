@@ -18,7 +18,7 @@ from cladeframe.functions import residues as R
 from cladeframe.functions.gapmodel import LOG_ODDS_FLOOR
 from cladeframe.operators import profiles as P
 from cladeframe.operators.columns import base_frequencies, gap_frequency
-from cladeframe.operators.place import BROADCAST_BYTES, _batches, _symbols, body_schema, by_own_profile, in_blocks, spread
+from cladeframe.operators.place import BROADCAST_BYTES, residue_slices, _symbols, body_schema, by_own_profile, in_blocks, spread
 
 # Gap opening and extension, the background gap frequency, the score tie width.
 DELTA, EPSILON = 1e-4, 1e-3
@@ -168,7 +168,7 @@ def trace_nodes(
             raise ValueError(f"no profile for node {q.column('node_id')[0]}")
         found = [pa.table({f.name: pa.array([], f.type) for f in body_schema(schema)})]
         prof = _Nodes(p, bg, gap_freq) if q.num_rows else None
-        for rows in _batches(q):
+        for rows in residue_slices(q):
             score, ops = K.log_odds_traces(
                 prof.match[:, :, 0], prof.residue[:, 0], prof.gap[:, 0], _acgt(rows), delta, epsilon
             )

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.functions import kernels as K
 from cladeframe.functions import residues as R
-from cladeframe.operators.place import spread
+from cladeframe.operators.place import residue_slices, spread
 from cladeframe.session import cut_lineage
 
 BLOCK_WEIGHT = 1 << 16  # residues or samples per block
@@ -244,8 +244,8 @@ def primer_scores(
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, encoded = held.value
-            for rb in batches:
-                queries = _encode(rb.column(1).to_pylist(), symbols, False)
+            for held_rows in (rows for rb in batches for rows in residue_slices(pa.Table.from_batches([rb]))):
+                queries = _encode(held_rows["seq"], symbols, False)
                 got = np.empty((len(queries), len(ids)), dtype=np.int64)
                 for lo in range(0, len(ids), PROFILES_PER_PASS):
                     got[:, lo : lo + PROFILES_PER_PASS] = K.matrix_scores(
@@ -254,7 +254,7 @@ def primer_scores(
                 flat = got.ravel()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.repeat(rb.column(0).to_numpy(), len(ids))),
+                        pa.array(np.repeat(np.asarray(held_rows["seq_id"], np.int64), len(ids))),
                         pa.array(np.tile(ids, len(queries))),
                         pa.array(flat.astype(np.int32), mask=flat == np.iinfo(np.int32).min),
                     ],

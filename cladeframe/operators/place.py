@@ -222,7 +222,7 @@ def _trace_rows(batch: dict, prof: ProfileSet, alpha: R.Alphabet, sp: Scores) ->
     return found.append_column("name", pa.array(batch["name"], pa.string())).append_column("gapped", gapped)
 
 
-def _batches(table: pa.Table, residues: int = 1 << 21) -> Iterator[dict]:
+def residue_slices(table: pa.Table, residues: int = 1 << 21) -> Iterator[dict]:
     """Slices of a table by residue count, so a batch of long texts stays small."""
     lens = np.array([len(s or "") for s in table.column("seq").to_pylist()], dtype=np.int64)
     cut = np.cumsum(lens) // residues
@@ -244,7 +244,7 @@ def in_blocks(
     def one(held) -> Callable:
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rb in batches:
-                for rows in _batches(pa.Table.from_batches([rb])):
+                for rows in residue_slices(pa.Table.from_batches([rb])):
                     yield from body(rows, held.value).to_batches()
 
         return stream
@@ -391,7 +391,7 @@ def trace(
         if q.num_rows and not p.num_rows:
             raise ValueError(f"no profile for edge {q.column('edge_id')[0]}")
         found = [pa.table({f.name: pa.array([], f.type) for f in body_schema(schema)})]
-        return pa.concat_tables(found + [body(rows, ProfileSet.of(p)) for rows in _batches(q)])
+        return pa.concat_tables(found + [body(rows, ProfileSet.of(p)) for rows in residue_slices(q)])
 
     return by_own_profile(asked, slim, "edge_id", cell, schema)
 

@@ -154,3 +154,20 @@ def test_traces_of_long_queries_do_not_depend_on_pieces(monkeypatch):
     assert (scores == again).all() and ops == same
     # rows are kept only for the residues that a path can cross
     assert max(n for keep, n in swept if keep) < 60 and max(n for _, n in swept) < 500
+
+
+def test_one_long_query_does_not_widen_the_others():
+    sizes = [50_000, *[20] * 3000]
+    filled = [sum(sizes[x] for x in queue) for queue in K._queues(sizes, 500)]
+    assert filled[0] == 50_000 and max(filled[1:]) <= 12_100 and sum(filled) == sum(sizes)
+    # before, every query of a batch was padded to the longest one
+    rng = np.random.default_rng(8)
+    queries = [rng.integers(0, 4, n) for n in sizes]
+    peak = []
+    pad = K._pad
+    K._pad = lambda rows, width, fill: peak.append(len(rows) * width) or pad(rows, width, fill)
+    try:
+        K.matrix_scores([rng.integers(0, 4, 20)], queries, np.eye(4, dtype=int) * 8 - 3, -5, -2, False, True)
+    finally:
+        K._pad = pad
+    assert max(peak) <= 4 * sum(sizes)
