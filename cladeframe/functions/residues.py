@@ -195,6 +195,14 @@ def gap_count(seq: Column, alpha: str | Alphabet = DNA) -> Column:
     return F.length(seq) - F.length(F.regexp_replace(normalize_seq(seq, alpha), "-", ""))
 
 
+def row_of_cells(cells: Column, width: Column) -> Column:
+    """Row text of a sorted array of ``(col, ch)`` with distinct columns: ``-`` elsewhere, so the work is that of the cells."""
+    before = lambda i: F.coalesce(F.get(cells, i)["col"], F.lit(-1))
+    piece = lambda x, i: F.concat(F.repeat(F.lit("-"), x["col"] - before(i - 1) - 1), x["ch"])
+    tail = F.repeat(F.lit("-"), width - 1 - before(F.size(cells) - 1))
+    return F.concat(F.array_join(F.transform(cells, piece), ""), tail)
+
+
 def map_states(seq: Column, symbols: str) -> Column:
     """Positions in ``symbols`` of the residues that occur there; others are dropped."""
     src = F.lit(symbols)

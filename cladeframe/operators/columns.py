@@ -226,9 +226,11 @@ def merge_by_prefix(msa: DataFrame, prefix: str, first_input: str, sep: str = ".
     is_pref = F.col("name").startswith(prefix)
     group = F.substring_index("name", sep, 1)
     width = msa.agg(F.max(F.length("seq")).alias("w")).scalar()
+    # gaps leave a row before it is exploded
+    residues = F.filter(F.transform(R.chars(F.col("seq")), lambda c, i: F.struct(i.alias("col"), c.alias("ch"))), lambda x: x["ch"] != "-")
     cells = (
-        to_long(msa.filter(is_pref).withColumn("name", group))
-        .filter("ch <> '-'")
+        msa.filter(is_pref)
+        .select(group.alias("name"), F.inline(residues))
         .groupBy("name", "col")
         .agg(F.max("ch").alias("ch"), F.count("*").alias("n"))
     )
@@ -245,18 +247,9 @@ def merge_by_prefix(msa: DataFrame, prefix: str, first_input: str, sep: str = ".
         .alias("ch"),
     )
     filled = checked.groupBy("name").agg(
-        F.map_from_entries(F.collect_list(F.struct("col", "ch"))).alias("m")
-    )
-    merged = filled.withColumn("_w", width).select(
-        "name",
-        F.array_join(
-            F.transform(
-                F.sequence(F.lit(0), F.col("_w") - 1),
-                lambda c: F.coalesce(F.try_element_at(F.col("m"), c), F.lit("-")),
-            ),
-            "",
-        ).alias("seq"),
+        F.array_sort(F.collect_list(F.struct("col", "ch"))).alias("m")
     )
+    merged = filled.withColumn("_w", width).select("name", R.row_of_cells(F.col("m"), F.col("_w")).alias("seq"))
     all_gap = (
         msa.filter(is_pref).select(group.alias("name")).distinct().join(merged.select("name"), "name", "left_anti")
     ).withColumn("_w", width).select("name", F.expr("repeat('-', _w)").alias("seq"))

@@ -63,17 +63,11 @@ def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rows(counts: DataFrame, width: Column) -> DataFrame:
-    by_col = counts.groupBy("name").agg(
-        F.map_from_entries(F.collect_list(F.struct("col", "n"))).alias("m")
-    )
-    residue = lambda c: F.substr(
-        F.lit(COUNT_SYMBOLS),
-        (F.coalesce(F.try_element_at(F.col("m"), c), F.lit(0)) % 7 + 1).cast("int"),
-        F.lit(1),
-    )
-    return by_col.withColumn("_w", width).select(
-        "name",
-        F.array_join(F.transform(F.sequence(F.lit(0), F.col("_w") - 1), residue), "").alias("seq"),
+    # a month without orders has the residue of zero, which is the gap
+    symbol = F.substr(F.lit(COUNT_SYMBOLS), (F.col("n") % 7 + 1).cast("int"), F.lit(1))
+    cells = F.array_sort(F.collect_list(F.struct(F.col("col").cast("int").alias("col"), symbol.alias("ch"))))
+    return counts.groupBy("name").agg(cells.alias("m")).withColumn("_w", width).select(
+        "name", R.row_of_cells(F.col("m"), F.col("_w").cast("int")).alias("seq")
     )
 
 

@@ -95,6 +95,18 @@ def test_opened_rows_of_a_batch(spark, monkeypatch):
         X.open_queries(traces, gaps.filter("pos > 0"), 3).collect()
 
 
+def test_rows_are_made_from_their_cells(spark):
+    cells = "array<struct<col:int,ch:string>>"
+    given = [(1, [(0, "A"), (3, "C")]), (2, [(5, "T")]), (3, [(k, "G") for k in range(6)]), (4, [])]
+    made = spark.createDataFrame(given, f"k int, m {cells}").select("k", R.row_of_cells(F.col("m"), F.lit(6)).alias("seq"))
+    assert dict(map(tuple, made.collect())) == {1: "A--C--", 2: "-----T", 3: "GGGGGG", 4: "------"}
+    msa = spark.createDataFrame([("p1.a", "A---"), ("p1.b", "--C-"), ("p2.a", "----")], "name string, seq string").withColumn("input", F.lit(0))
+    merged = C.merge_by_prefix(msa, "p", "input")
+    assert rows(merged) == rows(spark.createDataFrame([("p1", "A-C-"), ("p2", "----")], "name string, seq string"))
+    # no lookup for every column of a row
+    assert "try_element_at" not in merged._jdf.queryExecution().analyzed().toString()
+
+
 def test_a_missing_profile_is_an_error(edges_and_queries):
     prof, queries, *_ = edges_and_queries
     placed = queries.limit(1).withColumn("edge_id", F.lit(4))
