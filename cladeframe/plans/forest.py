@@ -4,7 +4,8 @@ Many trees grow at once: every table has a ``tree_id``, and one step adds the ne
 each tree that has one left.  So the number of steps is that of the largest tree, not of all
 sequences, and the work of a step is spread over the trees, their column blocks and their edges.
 The driver holds the number of the step.  The state of a step is a set of written tables, of
-which only the last stays.
+which only the last stays.  As long as a tree is small (``TREE_CELLS``, and ``ORDER_IDS`` for its
+order), one task takes its steps one after the other; the steps beyond that are jobs.
 
 A tree begins with its closest pair, aligned with free ends, and then takes the sequences in
 greedy order of distance.  A sequence goes to the edge whose profile it fits best; all rows get
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,10 @@ STEP_SCORES = Scores(gap_open=-4, gap_extend=-1, match=2, match_flag=-2)
 MOST_GENERATIONS = 100
 #: Profile cells that one task scores.
 SCORE_CELLS = 1 << 20
+#: Tips times a bound on the columns, up to which one task holds a tree and takes its steps.
+TREE_CELLS = 1 << 21
+#: Ids of a tree, up to which one task holds its square of distances.
+ORDER_IDS = 1 << 10
 #: Gap likelihoods do not enter the boolean profiles, so any frequency will do.
 ANY_FREQ = 0.5
 
@@ -61,11 +67,54 @@ class Forest:
         return tips.unionByName(inner.select("tree_id", "node_id", F.lit(None).cast("string").alias("name"), F.lit(False).alias("is_tip")))
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Trees over tasks; a number that is given keeps small tables from being put together in one task."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, "tree_id")
+
+
 def addition_orders(distances: DataFrame) -> DataFrame:
     """``(tree_id, rank, i)``: the order in which each tree takes its ids.
 
     ``distances(tree_id, i, j, dist)`` is a full square for each tree.  First the closest pair,
     then always the id with the least total distance to those taken; ties go to the smallest id.
+    Trees of up to ``ORDER_IDS`` ids are one task each, others go in steps.
+    """
+    sizes = distances.groupBy("tree_id").agg(F.count("*").alias("n"))
+    large = F.col("n") > ORDER_IDS * ORDER_IDS
+    kind = {c: distances.schema[c].dataType.simpleString() for c in ("tree_id", "i")}
+    whole = lambda squares: _dealt(squares).groupBy("tree_id").applyInPandas(_order, f"tree_id {kind['tree_id']}, rank int, i {kind['i']}")
+    if sizes.filter(large).isEmpty():
+        return whole(distances)
+    part = lambda which: distances.join(sizes.filter(which), "tree_id", "left_semi")
+    return whole(part(~large)).union(_orders_by_steps(part(large)))
+
+
+def _order(key, square: pd.DataFrame) -> pd.DataFrame:
+    """The order of one tree, from its square of distances."""
+    ids = np.sort(square["i"].unique())
+    dist = np.zeros((ids.size, ids.size), square["dist"].dtype)
+    dist[np.searchsorted(ids, square["i"]), np.searchsorted(ids, square["j"])] = square["dist"]
+    return pd.DataFrame({"tree_id": [key[0]] * ids.size, "rank": range(ids.size), "i": ids[_greedy(dist)]})
+
+
+def _greedy(dist: np.ndarray) -> list[int]:
+    n = len(dist)
+    if n == 1:
+        return [0]
+    apart = np.flatnonzero(~np.eye(n, dtype=bool))
+    order = [int(k) for k in divmod(apart[dist.ravel()[apart].argmin()], n)]
+    left = np.setdiff1d(np.arange(n), order)
+    total = dist[order[0], left] + dist[order[1], left]
+    while left.size:
+        k = int(total.argmin())
+        order.append(int(left[k]))
+        total, left = np.delete(total + dist[left[k], left], k), np.delete(left, k)
+    return order
+
+
+def _orders_by_steps(distances: DataFrame) -> DataFrame:
+    """Orders of large trees.
+
     A step writes the running totals of the ids that are left; an order is the smallest entry of
     each of these tables, so no id passes the driver.
     """
@@ -114,6 +163,13 @@ def _opened(ops: str, ref: str, seq: str):
     return X.realize_two_sided(F.col(ops), F.col(ref), F.col(seq))
 
 
+def _pair_ops(a: str, b: str, alpha: R.Alphabet) -> str:
+    bit = lambda s: (np.int64(1) << _symbols(s, alpha).astype(np.int64)).astype(np.int64)
+    sp = PAIR_SCORES
+    _, text = K.trace_pairs(bit(a)[:, None], np.zeros((len(a), 1), bool), [bit(b)], sp.match, sp.match_flag, sp.gap_open, sp.gap_extend)
+    return text[0].decode()
+
+
 def _first_pairs(picked: DataFrame, alpha: R.Alphabet) -> DataFrame:
     """Rows of the trees' first one or two sequences, aligned with free ends at the cost of ``PAIR_SCORES``."""
     two = picked.filter("rank < 2").groupBy("tree_id").agg(
@@ -124,10 +180,7 @@ def _first_pairs(picked: DataFrame, alpha: R.Alphabet) -> DataFrame:
         for pdf in batches:
             ops = []
             for a, b in zip(pdf["ref"], pdf["seq"], strict=True):
-                bit = lambda s: (np.int64(1) << _symbols(s, alpha).astype(np.int64)).astype(np.int64)
-                sp = PAIR_SCORES
-                _, text = K.trace_pairs(bit(a)[:, None], np.zeros((len(a), 1), bool), [bit(b)], sp.match, sp.match_flag, sp.gap_open, sp.gap_extend)
-                ops.append(text[0].decode())
+                ops.append(_pair_ops(a, b, alpha))
             yield pd.DataFrame({"tree_id": pdf["tree_id"], "ops": ops})
 
     kind = picked.schema["tree_id"].dataType.simpleString()
@@ -140,6 +193,18 @@ def _first_pairs(picked: DataFrame, alpha: R.Alphabet) -> DataFrame:
     return met.select("tree_id", F.inline(both))
 
 
+def _best(state: np.ndarray, flag: np.ndarray, seq: str, alpha: R.Alphabet) -> tuple[int, int, str]:
+    """The first of the best profiles (cols, profiles) for a sequence, its score and the trace on it."""
+    query, states, sp = _symbols(seq, alpha), alpha.state_table(), STEP_SCORES
+    per = max(1, SCORE_CELLS // max(1, state.shape[0]))
+    costs = sp.match, sp.match_flag, sp.gap_open, sp.gap_extend
+    parts = [K.profile_scores(state[:, lo : lo + per], flag[:, lo : lo + per], states, [query], *costs)[0] for lo in range(0, state.shape[1], per)]
+    got = np.concatenate(parts)
+    e = int(got.argmax())
+    _, ops = K.trace_pairs(state[:, [e]], flag[:, [e]], [states[query]], *costs)
+    return e, int(got[e]), ops[0].decode()
+
+
 def _picks(rows: DataFrame, edges: DataFrame, fresh: DataFrame, n_tips: int, alpha: R.Alphabet) -> DataFrame:
     """``(tree_id, edge_id, score, ops)``: of every tree in ``fresh`` the best edge for its sequence and the trace on it.
 
@@ -176,19 +241,13 @@ def _picks(rows: DataFrame, edges: DataFrame, fresh: DataFrame, n_tips: int, alp
     # every group of a tree's edges gets the one sequence
     parts = sized.filter("wanted").select("tree_id", F.floor(F.col("edge_id") / per_group).cast("int").alias("part")).distinct()
     asked = fresh.select("tree_id", "seq").join(parts, "tree_id")
-    sp = STEP_SCORES
 
     def score(key, found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found = found.sort_values(["block", "edge_id"], ignore_index=True)
         ids = found["edge_id"][found["block"] == 0].to_numpy()
         whole = lambda column: np.concatenate([np.vstack(list(g[column])).T for _, g in found.groupby("block")])
-        state, flag = whole("state"), whole("flag") == 1
-        query = _symbols(asked["seq"].iloc[0], alpha)
-        states = alpha.state_table()
-        got = K.profile_scores(state, flag, states, [query], sp.match, sp.match_flag, sp.gap_open, sp.gap_extend)[0]
-        e = int(got.argmax())
-        _, ops = K.trace_pairs(state[:, [e]], flag[:, [e]], [states[query]], sp.match, sp.match_flag, sp.gap_open, sp.gap_extend)
-        return pd.DataFrame({"tree_id": [key[0]], "edge_id": [ids[e]], "score": [got[e]], "ops": [ops[0].decode()]})
+        e, best, ops = _best(whole("state"), whole("flag") == 1, asked["seq"].iloc[0], alpha)
+        return pd.DataFrame({"tree_id": [key[0]], "edge_id": [ids[e]], "score": [best], "ops": [ops]})
 
     groups = pieces.groupBy("tree_id", "part").cogroup(asked.groupBy("tree_id", "part"))
     best = groups.applyInPandas(score, f"tree_id {kind}, edge_id int, score long, ops string").groupBy("tree_id").agg(
@@ -212,15 +271,94 @@ def _grown(rows: DataFrame, edges: DataFrame, picks: DataFrame) -> tuple[DataFra
     return old.unionByName(new), split.select("tree_id", F.inline(F.when(e == F.col("at"), three).otherwise(F.array(edge(e, u, v)))))
 
 
+def _wide(seq: str) -> np.ndarray:
+    return np.frombuffer(seq.encode("utf-32-le"), np.uint32)
+
+
+def _narrow(seq: str) -> np.ndarray:
+    return np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)
+
+
+def _steps(rows: np.ndarray, codes: np.ndarray, nodes: list[int], ends: dict, asked: list[dict], alpha: R.Alphabet):
+    """Characters of all rows and ``{edge: (u, v)}`` of one tree after a step for each of ``asked``.
+
+    ``rows`` are the texts that are written and ``codes`` those that profiles are made of; both get the same columns.
+    """
+    nodes, ends = list(nodes), dict(ends)
+    for a in asked:
+        tips = pd.DataFrame({"node_id": nodes, "seq": [r.tobytes().decode("latin-1") for r in codes]})
+        edges = pd.DataFrame([(e, u, v, 1.0) for e, (u, v) in sorted(ends.items())], columns=["edge_id", "u", "v", "len"])
+        state, _, flag = P.edge_vectors(edges, tips, alpha, ANY_FREQ)
+        p, q = a["p"], a["q"]
+        wanted = np.array([p is None or q is None or {u, v} == {p, q} for u, v in zip(edges["u"], edges["v"])])
+        e, _, ops = _best(state[wanted].T, flag[wanted].T == P.FLAG_GAP, a["seq"], alpha)
+        rows, codes = _with_row(rows, _wide(a["row"]), ops), _with_row(codes, _narrow(a["known"]), ops)
+        at, inner, first = int(edges["edge_id"][wanted].iloc[e]), a["inner"], a["first_edge"]
+        u, v = ends[at]
+        ends |= {at: (u, inner), first: (inner, v), first + 1: (inner, a["node_id"])}
+        nodes.append(a["node_id"])
+    return rows, ends
+
+
+def _with_row(cells: np.ndarray, text: np.ndarray, ops: str) -> np.ndarray:
+    """Rows with the columns that a trace opens, and the traced text as a row below them."""
+    op = np.frombuffer(ops.encode(), np.uint8)
+    out = np.full((len(cells) + 1, op.size), ord("-"), cells.dtype)
+    out[:-1, op != ord("2")], out[-1, op != ord("1")] = cells, text
+    return out
+
+
+def _early(forest: Forest, asked: DataFrame, alpha: R.Alphabet, shelf: Shelf) -> Forest:
+    """``forest`` with the sequences ``asked`` of small trees, each tree's in the order of their ranks in one task."""
+    trees = asked.select("tree_id").distinct()
+    mine, others = (lambda df: df.join(trees, "tree_id", "left_semi")), (lambda df: df.join(trees, "tree_id", "left_anti"))
+    none = [F.lit(None).cast("int").alias(c) for c in ("inner", "first_edge", "p", "q")]
+    new = asked.select("rank", *ROW, *[F.col(c).cast("int").alias(c) for c in ("inner", "first_edge", "p", "q")])
+    held = mine(forest.rows).select(F.lit(-1).alias("rank"), *ROW, *none).unionByName(new)
+    # a new row is written as its trace would give it, an old one as it is
+    upper = F.when(F.col("rank") < 0, F.col("seq")).otherwise(F.translate("seq", R.LOWER, R.UPPER))
+    held = held.withColumn("row", upper).withColumn("known", R.normalize_seq(upper, alpha))
+
+    def grown(key, held: pa.Table, tree: pa.Table) -> pa.Table:
+        held = held.sort_by("rank")
+        every = held.drop_columns(["i", "name"]).to_pylist()
+        old, asked = [r for r in every if r["rank"] < 0], [r for r in every if r["rank"] >= 0]
+        start = {r["edge_id"]: (r["u"], r["v"]) for r in tree.to_pylist()}
+        matrix = lambda code, c: np.vstack([code(r[c]) for r in old])
+        rows, ends = _steps(matrix(_wide, "row"), matrix(_narrow, "known"), [r["node_id"] for r in old], start, asked, alpha)
+        edges = [(e, *ends[e]) for e in sorted(ends)]
+        texts = [r.tobytes().decode("utf-32-le") for r in rows]
+        both = lambda c: pa.chunked_array([*held.column(c).chunks, pa.nulls(len(edges), held.schema.field(c).type)])
+        of_edges = lambda k: pa.array([None] * held.num_rows + [x[k] for x in edges], pa.int32())
+        one = pa.repeat(key[0], held.num_rows + len(edges))
+        return pa.table({"tree_id": one, "i": both("i"), "node_id": both("node_id"), "name": both("name"),
+                         "seq": pa.array(texts + [None] * len(edges), pa.string()), "edge_id": of_edges(0), "u": of_edges(1), "v": of_edges(2)})
+
+    kind = {c: forest.rows.schema[c].dataType.simpleString() for c in ("tree_id", "i")}
+    schema = f"tree_id {kind['tree_id']}, i {kind['i']}, node_id int, name string, seq string, edge_id int, u int, v int"
+    both_of = _dealt(held).groupBy("tree_id").cogroup(_dealt(mine(forest.edges)).groupBy("tree_id"))
+    out = shelf.keep(both_of.applyInArrow(grown, schema), "early")
+    rows, edges = out.filter("edge_id IS NULL").select(*ROW), out.filter("edge_id IS NOT NULL").select(*EDGE)
+    return Forest(others(forest.rows).select(*ROW).unionByName(rows), others(forest.edges).select(*EDGE).unionByName(edges))
+
+
 def _grow(forest: Forest, picked: DataFrame, first: int, n_tips: int, alpha: R.Alphabet, shelf: Shelf) -> Forest:
     """Add the sequences of rank ``first`` and later, one rank after the other.
 
     ``picked(tree_id, rank, i, name, seq, node_id, inner, first_edge, p, q)`` also says which
     numbers a sequence's tip, inner node and first new edge get; ``n_tips`` is a bound on the
-    tips before.
+    tips before.  A step opens at most the columns of its sequence, which bounds a tree's size.
     """
-    last = picked.agg(F.max("rank")).first()[0]
-    for rank in range(first, (-1 if last is None else last) + 1):
+    size = forest.rows.groupBy("tree_id").agg(F.count("*").alias("n"), F.max(F.length("seq")).alias("width"))
+    so_far = Window.partitionBy("tree_id").orderBy("rank")
+    cells = (F.col("n") + F.count("*").over(so_far)) * (F.col("width") + F.sum(F.length("seq")).over(so_far))
+    sized = picked.filter(F.col("rank") >= first).join(size, "tree_id").withColumn("small", cells <= TREE_CELLS)
+    asked = shelf.keep(sized.select(*picked.columns, "small"), "asked")
+    small, picked = asked.filter("small").drop("small"), asked.filter("NOT small").drop("small")
+    n_small, start, last = asked.agg(F.count_if("small"), *[f(F.when(~F.col("small"), F.col("rank"))) for f in (F.min, F.max)]).first()
+    if n_small:
+        forest = _early(forest, small, alpha, shelf)
+    for rank in range(start or 0, (-1 if last is None else last) + 1):
         fresh = picked.filter(F.col("rank") == rank)
         best = _picks(forest.rows, forest.edges, fresh, n_tips + rank - first, alpha)
         picks = shelf.keep(best.join(fresh.drop("rank", "p", "q"), "tree_id"), f"picks-{rank}")

@@ -173,6 +173,30 @@ def test_trees_from_nothing(spark, monkeypatch, cells):
     same(forest, {t: plain_build(seqs, plain_order(plain_distances(seqs))) for t, seqs in by_tree(rows).items()})
 
 
+def test_larger_trees_go_on_by_jobs(spark, monkeypatch):
+    monkeypatch.setattr(N, "ORDER_IDS", 3)
+    monkeypatch.setattr(N, "TREE_CELLS", 400)  # of the six, two steps are taken in a task
+    rows = family(random.Random(17), [1, 3, 6])
+    forest = N.from_nothing(table(spark, rows), S.flat_matrix(spark))
+    same(forest, {t: plain_build(seqs, plain_order(plain_distances(seqs))) for t, seqs in by_tree(rows).items()})
+
+
+def n_jobs(spark, name, work):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_steps_of_small_trees_are_no_jobs(spark):
+    def grow(n):
+        N.from_nothing(table(spark, family(random.Random(4), [n])), S.flat_matrix(spark)).rows.collect()
+
+    assert n_jobs(spark, "nine tips", lambda: grow(9)) <= n_jobs(spark, "four tips", lambda: grow(4)) + 2
+
+
 def test_refinement_ends_when_splits_repeat(spark):
     rows = family(random.Random(12), [1, 3, 6], 16)
     got = N.refine(table(spark, rows), S.flat_matrix(spark))
