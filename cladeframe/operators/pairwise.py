@@ -347,7 +347,7 @@ def aligned_scores(msa: DataFrame, block: int = BLOCK_WEIGHT, within: str | None
             np.vstack([np.frombuffer(s.encode("latin-1", "replace"), np.uint8) for s in t.column("seq").to_pylist()])
             for t in (a, b)
         )
-        return np.vstack([_row_scores(x, ys) for x in xs]).astype(np.int32)
+        return np.vstack([row_scores(x, ys) for x in xs]).astype(np.int32)
 
     rows = msa.select(*([] if within is None else [within]), F.col(key).alias("i"), "seq")
     kind = dict(rows.dtypes)["i"].replace("bigint", "long")
@@ -355,7 +355,7 @@ def aligned_scores(msa: DataFrame, block: int = BLOCK_WEIGHT, within: str | None
     return cells.withColumnRenamed("value", "score")
 
 
-def _row_scores(x: np.ndarray, ys: np.ndarray) -> np.ndarray:
+def row_scores(x: np.ndarray, ys: np.ndarray) -> np.ndarray:
     """Scores of one row against many, over the columns that are not gaps in both."""
     gx, gy = np.broadcast_to(x == 45, ys.shape), ys == 45
     seen = ~(gx & gy)

@@ -17,8 +17,10 @@ extended in the same way, and a target tree can say where each sequence goes.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -43,6 +45,8 @@ MOST_GENERATIONS = 100
 SCORE_CELLS = 1 << 20
 #: Tips times a bound on the columns, up to which one task holds a tree and takes its steps.
 TREE_CELLS = 1 << 21
+#: Generations of a small tree that one task takes before they are written.
+ROUND = 10
 #: Ids of a tree, up to which one task holds its square of distances.
 ORDER_IDS = 1 << 10
 #: Gap likelihoods do not enter the boolean profiles, so any frequency will do.
@@ -487,11 +491,129 @@ def refine(seqs: DataFrame, matrix: DataFrame, alpha: str | R.Alphabet = R.DNA,
     Generation 0 is the first one that is made from an alignment.  A tree whose set of splits
     equals that of an earlier generation is done: ``period`` is the distance to the latest such
     generation.  Done trees leave the work; the others go on for at most ``most`` generations,
-    and then have no row in ``ends``.  Tables of earlier generations are removed.
+    and then have no row in ``ends``.  Small trees take ``ROUND`` generations at once in a task each,
+    large ones go by jobs; tables of their earlier generations are removed.
     """
-    spark, shelf = seqs.sparkSession, Shelf(seqs.sparkSession, "refine")
-    kind = seqs.schema["tree_id"].dataType.simpleString()
+    shelf = Shelf(seqs.sparkSession, "refine")
     forest = from_nothing(seqs, matrix, alpha)
+    n, residues = F.count("*"), F.sum(F.length("seq"))
+    sizes = seqs.groupBy("tree_id").agg(((n <= ORDER_IDS) & (n * residues <= TREE_CELLS)).alias("small"))
+    sizes = shelf.keep(sizes, "sizes")
+    n_small, n_large = sizes.agg(F.count_if("small"), F.count_if(~F.col("small"))).first()
+    by = {True: _refined_in_rounds, False: _refined_by_jobs}
+    if not (n_small and n_large):
+        return by[not n_large](seqs, forest, alpha, most)
+    of = lambda df, small: df.join(sizes.filter("small" if small else "NOT small"), "tree_id", "left_semi")
+    one, two = (by[s](of(seqs, s), Forest(of(forest.rows, s), of(forest.edges, s)), alpha, most) for s in by)
+    whole = Forest(one.forest.rows.unionByName(two.forest.rows), one.forest.edges.unionByName(two.forest.edges))
+    return Refined(whole, one.history.unionByName(two.history), one.ends.unionByName(two.ends))
+
+
+def _digest(names: list[str], nodes: list[int], ends: dict[int, tuple[int, int]]) -> str:
+    """The value of :func:`split_digests` for one tree."""
+    if not ends:
+        return "none"
+    marks = lambda text: np.array([int(hashlib.md5(text.encode()).hexdigest()[at : at + 15], 16) for at in (0, 15)], object)
+    tips = {node: (name == min(names), np.array([1, *marks(name)], object)) for node, name in zip(nodes, names)}
+    u, v = (np.array(side) for side in zip(*ends.values()))
+    parent, child, levels = P.rooted_at(u, v, int(u[0]))
+    nothing = (False, np.zeros(3, object))
+    below = {node: tips.get(node, nothing) for node in {*u.tolist(), *v.tolist()}}
+    whole = sum(weight for _, weight in tips.values())
+    keys = set()
+    for level in reversed(levels):
+        for k in level:
+            a, (least, weight) = int(parent[k]), below[int(child[k])]
+            below[a] = below[a][0] or least, below[a][1] + weight
+            other = 2 * weight[0] > whole[0] or (2 * weight[0] == whole[0] and not least)
+            keys.add("-".join(map(str, whole - weight if other else weight)))
+    return "-".join(map(str, [len(keys), *sum(marks(key) for key in keys)]))
+
+
+def _generation(members: list[dict], dist: np.ndarray, alpha: R.Alphabet):
+    """Rows in the order of ``members``, their nodes and the edges of one tree that is built by ``dist``."""
+    order = _greedy(dist)
+    nodes = [k if k < 2 else 2 * k - 1 for k in range(len(order))]
+    picked = [members[m] | {"node_id": node, "inner": 2 * k - 2, "first_edge": 2 * k - 3, "p": None, "q": None} for k, (m, node) in enumerate(zip(order, nodes))]
+    rows, codes, ends = _wide(picked[0]["seq"])[None], _narrow(picked[0]["known"])[None], {}
+    if len(order) > 1:
+        ops, ends = _pair_ops(picked[0]["seq"], picked[1]["seq"], alpha), {0: (0, 1)}
+        rows, codes = _with_row(rows, _wide(picked[1]["row"]), ops), _with_row(codes, _narrow(picked[1]["known"]), ops)
+    rows, ends = _steps(rows, codes, nodes[:2], ends, picked[2:], alpha)
+    back = np.argsort(order)
+    return [rows[k].tobytes().decode("utf-32-le") for k in back], [nodes[k] for k in back], ends
+
+
+def _refined_in_rounds(seqs: DataFrame, forest: Forest, alpha: str | R.Alphabet, most: int) -> Refined:
+    a, shelf = R.alphabet(alpha), Shelf(seqs.sparkSession, "rounds")
+    kind = {c: seqs.schema[c].dataType.simpleString() for c in ("tree_id", "i")}
+
+    def take(first: int, last: int):
+        def rounds(key, held: pa.Table, past: pa.Table) -> pa.Table:
+            held = held.sort_by("i")
+            upper = [s.translate(str.maketrans(R.LOWER, R.UPPER)) for s in held.column("seq").to_pylist()]
+            members = [{"seq": s, "row": r, "known": k} for s, r, k in zip(held.column("seq").to_pylist(), upper, held.column("known").to_pylist())]
+            names, rows = held.column("name").to_pylist(), held.column("aligned").to_pylist()
+            seen = dict(zip(past.column("digest").to_pylist(), past.column("gen").to_pylist()))
+            found, nodes, ends = [], [], {}
+            for gen in range(first, last if rows else first):  # a tree that is done has only its past
+                texts = np.vstack([_narrow(s) for s in rows])
+                dist = -np.vstack([W.row_scores(x, texts) for x in texts]).astype(np.int64)
+                rows, nodes, ends = _generation(members, dist, a)
+                digest = _digest(names, nodes, ends)
+                same = seen.get(digest)
+                found.append((gen, digest, same))
+                if same is not None:
+                    break
+                seen[digest] = gen
+            edges = [(e, *ends[e]) for e in sorted(ends)]
+            n, n_edges, n_found = len(rows), len(edges), len(found)
+            of_rows = lambda c: pa.chunked_array([*held.column(c).chunks, pa.nulls(n_edges + n_found, held.schema.field(c).type)])
+            column = lambda head, mid, tail, type_: pa.array([*(head or [None] * n), *(mid or [None] * n_edges), *(tail or [None] * n_found)], type_)
+            of_edges = lambda k: column(None, [e[k] for e in edges], None, pa.int32())
+            of_found = lambda k, type_: column(None, None, [f[k] for f in found], type_)
+            return pa.table({
+                "tree_id": pa.repeat(key[0], n + n_edges + n_found), **{c: of_rows(c) for c in ("i", "name", "seq", "known")},
+                "aligned": column(rows, None, None, pa.string()), "node_id": column(nodes, None, None, pa.int32()),
+                "edge_id": of_edges(0), "u": of_edges(1), "v": of_edges(2),
+                "gen": of_found(0, pa.int32()), "digest": of_found(1, pa.string()), "same_as": of_found(2, pa.int32()),
+            })
+
+        return rounds
+
+    schema = f"tree_id {kind['tree_id']}, i {kind['i']}, name string, seq string, known string, aligned string, node_id int, edge_id int, u int, v int, gen int, digest string, same_as int"
+    members = ["tree_id", "i", "name", "seq", "known", "aligned"]
+    left = seqs.withColumn("known", R.normalize_seq(F.col("seq"), a)).join(
+        forest.rows.select("tree_id", "i", F.col("seq").alias("aligned")), ["tree_id", "i"]
+    ).select(*members)
+    history = seqs.sparkSession.createDataFrame([], f"tree_id {kind['tree_id']}, gen int, digest string")
+    done, ends = [], []
+    for first in range(0, most, ROUND):
+        # fresh aliases: the two sides of a cogroup must not share column identities
+        past = history.select(*[F.col(c).alias(c) for c in history.columns])
+        both = _dealt(left).groupBy("tree_id").cogroup(_dealt(past).groupBy("tree_id"))
+        out = shelf.keep(both.applyInArrow(take(first, min(most, first + ROUND)), schema), f"round-{first}")
+        found = out.filter("digest IS NOT NULL")
+        history = found.select("tree_id", "gen", "digest") if not first else history.union(found.select("tree_id", "gen", "digest"))
+        ends.append(found.filter("same_as IS NOT NULL").select("tree_id", "gen", "same_as", (F.col("gen") - F.col("same_as")).alias("period")))
+        over = ends[-1].select("tree_id")
+        going = out.join(over, "tree_id", "left_anti")
+        left = going.filter("aligned IS NOT NULL").select(*members)
+        if first + ROUND >= most or left.isEmpty():
+            done.append(out)
+            break
+        done.append(out.join(over, "tree_id", "left_semi"))
+    if not done:
+        return Refined(forest, history, history.select("tree_id", "gen", F.col("gen").alias("same_as"), F.col("gen").alias("period")))
+    union = lambda tables: reduce(DataFrame.union, tables)
+    whole = union(done)
+    rows = whole.filter("aligned IS NOT NULL").select("tree_id", "i", "node_id", "name", F.col("aligned").alias("seq"))
+    return Refined(Forest(rows, whole.filter("edge_id IS NOT NULL").select(*EDGE)), history, union(ends))
+
+
+def _refined_by_jobs(seqs: DataFrame, forest: Forest, alpha: str | R.Alphabet, most: int) -> Refined:
+    spark, shelf = seqs.sparkSession, Shelf(seqs.sparkSession, "generations")
+    kind = seqs.schema["tree_id"].dataType.simpleString()
     done_rows, done_edges, history, ends = [], [], [], []
     left = seqs
     for gen in range(most):

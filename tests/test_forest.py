@@ -197,6 +197,24 @@ def test_steps_of_small_trees_are_no_jobs(spark):
     assert n_jobs(spark, "nine tips", lambda: grow(9)) <= n_jobs(spark, "four tips", lambda: grow(4)) + 2
 
 
+def test_generations_of_small_trees_are_no_jobs(spark, monkeypatch):
+    seqs = table(spark, family(random.Random(3), [1, 2, 5, 6], 16)).cache()
+    forest = N.from_nothing(seqs, S.flat_matrix(spark))
+    forest = N.Forest(forest.rows.cache(), forest.edges.cache())
+    for df in (seqs, forest.rows, forest.edges):
+        df.count()
+    monkeypatch.setattr(N, "from_nothing", lambda *_: forest)
+    refined = []
+    most = lambda n: lambda: refined.append(N.refine(seqs, S.flat_matrix(spark), most=n))
+    assert n_jobs(spark, "eight", most(8)) < n_jobs(spark, "two", most(2)) + 6
+    # rounds of any length give what jobs for each generation give
+    monkeypatch.setattr(N, "ROUND", 1)
+    most(2)()
+    refined.append(N._refined_by_jobs(seqs, forest, "dna", 2))
+    of = lambda r: [sorted(map(tuple, df.collect())) for df in (r.history, r.ends, r.forest.rows.select(*N.ROW), r.forest.edges.select(*N.EDGE))]
+    assert of(refined[1]) == of(refined[2]) == of(refined[3])
+
+
 def test_refinement_ends_when_splits_repeat(spark):
     rows = family(random.Random(12), [1, 3, 6], 16)
     got = N.refine(table(spark, rows), S.flat_matrix(spark))
