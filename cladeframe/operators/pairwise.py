@@ -372,7 +372,11 @@ def row_scores(x: np.ndarray, ys: np.ndarray) -> np.ndarray:
 
 
 def dtw_distances(series: DataFrame, right: DataFrame | None = None, block: int = 1 << 13) -> DataFrame:
-    """Dynamic-time-warping distance of all pairs: ``(i, j, dist)`` from ``(key, v)``."""
+    """Dynamic-time-warping distance of all pairs: ``(i, j, dist)`` from ``(key, v)``.
+
+    Equal series are one class while distances are worked out; then the pairs of classes are
+    joined with their members, so every pair of keys has its row.
+    """
 
     def body(a: pa.Table, b: pa.Table) -> np.ndarray:
         xs, ys = ([np.asarray(v, dtype=float) for v in t.column("v").to_pylist()] for t in (a, b))
@@ -383,8 +387,32 @@ def dtw_distances(series: DataFrame, right: DataFrame | None = None, block: int
         return out
 
     rows = lambda d: d.filter(F.size("v") > 0).select(F.col("key").alias("i"), "v")
-    cells = _cells(rows(series), None if right is None else rows(right), F.size("v"), body, "long", "double", block)
-    return cells.withColumnRenamed("value", "dist")
+    one, members = _classes(rows(series))
+    two, others = (None, members) if right is None else _classes(rows(right))
+    cells = _cells(one, two, F.size("v"), body, "long", "double", block).withColumnRenamed("value", "dist")
+    if members is None and others is None:
+        return cells
+    # a number that is given keeps the few class pairs, which have many rows each, from meeting in few tasks
+    pairs = cells.repartition(8 * series.sparkSession.sparkContext.defaultParallelism, "i", "j")
+    of = lambda table, c, name: table.select(F.col("c").alias(c), F.col("i").alias(name))
+    for table, key, c, name in ((members, "i", "ci", "mi"), (others, "j", "cj", "mj")):
+        pairs = pairs.withColumn(c, F.col(key))
+        pairs = pairs.withColumn(name, F.col(key)) if table is None else pairs.join(of(table, c, name), c)
+    if right is not None:
+        return pairs.select(F.col("mi").alias("i"), F.col("mj").alias("j"), "dist")
+    return pairs.filter("ci <> cj OR mi <= mj").select(F.least("mi", "mj").alias("i"), F.greatest("mi", "mj").alias("j"), "dist")
+
+
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """One row ``(i, v)`` for each distinct ``v``, with the least id, and ``(c, i)``: the class of every id.
+
+    Without copies these are the rows themselves and nothing.
+    """
+    rows = cut_lineage(rows)
+    first = cut_lineage(rows.groupBy("v").agg(F.min("i").alias("i")).select("i", "v"))
+    if first.count() == rows.count():
+        return rows, None
+    return first, cut_lineage(rows.join(first.select(F.col("i").alias("c"), "v"), "v").select("c", "i"))
 
 
 def dtw_paths(pairs: DataFrame) -> DataFrame:

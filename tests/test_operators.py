@@ -523,3 +523,17 @@ def test_candidates(edges_and_queries):
     for r in found.scored.collect():
         least[r["seq_id"], r["ops"]] = min(least.get((r["seq_id"], r["ops"]), (10**9, 0)), (r["edge_id"], r["score"]))
     assert {(r["seq_id"], r["ops"]): (r["edge_id"], r["score"]) for r in found.report.collect()} == least
+
+
+def test_dtw_of_equal_series_is_made_once(spark, monkeypatch):
+    kinds = [[1.0, 5.0, 2.0], [4.0], [3.0, 3.0, 0.0, 7.0]]
+    rows = [(k * 7 % 13, kinds[k % 3]) for k in range(13)]
+    asked, cells = [], W._cells
+    monkeypatch.setattr(W, "_cells", lambda left, right, *rest: asked.append([d.count() for d in (left, right) if d is not None]) or cells(left, right, *rest))
+    table = lambda rows: spark.createDataFrame(rows, "key long, v array<double>")
+    got = sorted(tuple(r) for r in W.dtw_distances(table([*rows, (99, [])]), block=4).collect())
+    assert got == sorted((i, j, brute.dtw(x, y)) for i, x in rows for j, y in rows if i <= j)
+    other = [(1, [1.0, 5.0]), (2, [2.0])]  # a set without copies
+    got = sorted(tuple(r) for r in W.dtw_distances(table(rows), table(other), block=4).collect())
+    assert got == sorted((i, j, brute.dtw(x, y)) for i, x in rows for j, y in other)
+    assert asked == [[3], [3, 2]]
