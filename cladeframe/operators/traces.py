@@ -30,11 +30,16 @@ def gapped(ops: Column, seq: Column) -> Column:
             F.when(F.right(t, F.lit(1)) == "0", c).otherwise(F.translate(c, R.UPPER, R.LOWER)),
         ),
     )
-    tail = F.length(F.regexp_extract(ops, "(1*)$", 1))
+    tail = _ends_with(ops, "1")
     body = F.when(F.length(seq) > 0, F.array_join(placed, "")).otherwise(F.lit(""))
     return F.concat(body, F.repeat(F.lit("-"), tail))
 
 
+def _ends_with(ops: Column, op: str) -> Column:
+    """How often an operation stands at the end; a pattern would try every run of it on the way."""
+    return F.length(ops) - F.length(F.rtrim(ops, F.lit(op)))
+
+
 def column_tokens(gapped_seq: Column) -> Column:
     """One text per alignment column: the insertions before it, then its character.
 
@@ -61,7 +66,7 @@ def realize_two_sided(ops: Column, ref: Column, seq: Column) -> tuple[Column, Co
     top = F.zip_with(
         steps, R.chars(ref), lambda t, c: F.concat(F.repeat(F.lit("-"), F.length(t) - 1), c)
     )
-    tail = F.length(F.regexp_extract(ops, "(2*)$", 1))
+    tail = _ends_with(ops, "2")
     return (
         F.concat(F.array_join(top, ""), F.repeat(F.lit("-"), tail)),
         F.translate(gapped(ops, seq), R.LOWER, R.UPPER),
@@ -80,15 +85,33 @@ def insert_budget(traces: DataFrame) -> DataFrame:
     """``ref_gaps(pos, n)``: most residues any trace inserts before each column.
 
     Positions without insertions are absent.  The shuffle holds one row per position
-    and task, however many traces there are.
+    and batch, however many traces there are.
     """
-    runs = F.regexp_extract_all(F.col("ops"), F.lit("2*[01]|2+$"), F.lit(0))
-    found = F.transform(runs, lambda t, i: F.struct(i.alias("pos"), (F.length(t) - (~t.endswith("2")).cast("int")).alias("n")))
-    return (
-        traces.select(F.inline(F.filter(found, lambda r: r["n"] > 0)))
-        .groupBy("pos")
-        .agg(F.max("n").alias("n"))
-    )
+
+    def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            raw = [(s or "").encode() for s in rb.column(0).to_pylist()]
+            begun = np.cumsum([0, *map(len, raw)]) // OPENED_BYTES
+            for part in np.split(np.arange(len(raw)), np.flatnonzero(np.diff(begun[:-1])) + 1):
+                pos, n = _longest_runs([raw[k] for k in part])
+                yield pa.RecordBatch.from_arrays([pa.array(pos, pa.int32()), pa.array(n, pa.int32())], names=["pos", "n"])
+
+    return traces.select("ops").mapInArrow(longest, "pos int, n int").groupBy("pos").agg(F.max("n").alias("n"))
+
+
+def _longest_runs(ops: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Columns before which residues are inserted, and the most that any of the traces inserts there."""
+    chars = np.frombuffer(b"".join(s + b"0" for s in ops), np.uint8)  # a run ends with its trace
+    inserted = chars == ord("2")
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inserted, [False]]).astype(np.int8)))
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    seen = np.cumsum(~inserted)
+    ends = np.cumsum([len(s) + 1 for s in ops])
+    row = np.searchsorted(ends, start, side="right")
+    pos = seen[start] - np.concatenate([[0], seen[ends - 1]])[row]
+    most = np.zeros(int(pos.max(initial=-1)) + 1, np.int64)
+    np.maximum.at(most, pos, size)
+    return np.flatnonzero(most), most[most > 0]
 
 
 def budget_array(ref_gaps: DataFrame, width: int) -> Column:

@@ -951,8 +951,9 @@ SELECT name, string_agg(CASE WHEN pos = 0 THEN repeat('-', n - length(ins)) || i
  LEFT JOIN (SELECT name, cols AS pos, string_agg(substr(seq, CAST(res AS INTEGER), 1), '' ORDER BY i) AS ins FROM steps WHERE o = '2' GROUP BY 1, 2) i ON i.name = g.name AND i.pos = g.pos
  LEFT JOIN (SELECT name, cols - 1 AS pos, CASE WHEN o = '1' THEN '-' ELSE substr(seq, CAST(res AS INTEGER), 1) END AS ch FROM steps WHERE o <> '2') c ON c.name = g.name AND c.pos = g.pos) GROUP BY 1""")
 def _(spark, sf):
-    t = cut_lineage(_gene_traces(spark, sf).withColumn("gapped", X.gapped(F.col("ops"), F.col("seq"))))
-    return X.open_queries(t, X.insert_budget(t), t.first()["width"]).select("name", "seq")
+    t = cut_lineage(_gene_traces(spark, sf))
+    gapped = t.withColumn("gapped", X.gapped(F.col("ops"), F.col("seq")))
+    return X.open_queries(gapped, X.insert_budget(t), t.first()["width"]).select("name", "seq")
 
 
 @query("opened_references", "msa_long", "tips", "budget", "cal", sql=f"""

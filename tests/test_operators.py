@@ -2,6 +2,7 @@
 
 import math
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -537,3 +538,28 @@ def test_dtw_of_equal_series_is_made_once(spark, monkeypatch):
     got = sorted(tuple(r) for r in W.dtw_distances(table(rows), table(other), block=4).collect())
     assert got == sorted((i, j, brute.dtw(x, y)) for i, x in rows for j, y in other)
     assert asked == [[3], [3, 2]]
+
+
+def test_longest_insertions_of_traces(spark):
+    rng = np.random.default_rng(4)
+    ops = ["".join(rng.choice(list("0122"), k)) for k in (0, 1, 5, 30, 30, 60)] + ["2", "22", "1", "0022", None]
+    wanted = {}
+    for s in ops:
+        pos = n = 0
+        for o in (s or "") + "0":
+            if o != "2":
+                if n:
+                    wanted[pos] = max(wanted.get(pos, 0), n)
+                pos, n = pos + 1, -1
+            n += 1
+    got = X.insert_budget(spark.createDataFrame([(s,) for s in ops], "ops string"))
+    assert got.dtypes == [("pos", "int"), ("n", "int")] and {r["pos"]: r["n"] for r in got.collect()} == wanted
+
+
+def test_gapped_text_of_long_runs_of_skips(spark):
+    # a pattern for the tail took the square of each run
+    ops = "0" + "1" * 200_000 + "2" + "1" * 200_000 + "0" + "1" * 7
+    began = time.time()
+    row = spark.createDataFrame([(ops, "ACG"), ("11", "")], "ops string, seq string").select(X.gapped(F.col("ops"), F.col("seq")).alias("g")).collect()
+    assert row[0]["g"] == "A" + "-" * 200_000 + "c" + "-" * 200_000 + "G" + "-" * 7 and row[1]["g"] == "--"
+    assert time.time() - began < 15
