@@ -21,6 +21,7 @@ LANES = 6144  # (query, profile) pairs advanced together at most
 CACHE_BYTES = 1 << 18  # of one array of a step, where that leaves LEAST_LANES pairs; keeps a step in a core's own cache
 LEAST_LANES = 1024
 PIECE = 1024  # residues of a query that one lane takes; longer ones are cut
+DTW_LANES = 1536  # pairs of series advanced together
 TRACE_LANES = 1024  # pairs traced together
 TRACE_ROWS = 128  # query residues between two kept rows of a trace
 
@@ -472,35 +473,87 @@ class _Pairs:
 
 
 def dtw_distances(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
-    """Dynamic-time-warping distance (absolute difference) of every x to every y."""
-    nx, ny = len(xs), len(ys)
-    lx = np.array([x.size for x in xs])
-    ly = np.array([y.size for y in ys])
-    wx, wy = int(lx.max()), int(ly.max())
-    a = np.zeros((wx, nx))
-    b = np.zeros((wy, ny))
-    for k, x in enumerate(xs):
-        a[: x.size, k] = x
-    for k, y in enumerate(ys):
-        b[: y.size, k] = y
-    prev = np.full((wy + 1, nx, ny), np.inf)
-    prev[0] = 0.0
-    out = np.empty((nx, ny))
-    cols = np.arange(ny)
-    for i in range(wx):
-        cur = np.empty_like(prev)
-        cur[0] = np.inf
-        for j in range(wy):
-            cost = np.abs(a[i][:, None] - b[j][None, :])
-            m = np.minimum(prev[j], prev[j + 1])
-            np.minimum(m, cur[j], out=m)
-            np.add(m, cost, out=cur[j + 1])
-        prev = cur
-        for k in np.nonzero(lx == i + 1)[0]:
-            out[k] = cur[ly, k, cols]
+    """Dynamic-time-warping distance (absolute difference) of every x to every y.
+
+    A step takes one anti-diagonal of many pairs, whose cells do not need one another.  Lanes are
+    xs of one length times ys; whole numbers that fit are worked out in 32 bits, which is exact.
+    """
+    lx, ly = (np.array([x.size for x in side]) for side in (xs, ys))
+    out = np.empty((len(xs), len(ys)))
+    dt, far = _dtw_type(xs, ys)
+    by_y = np.argsort(ly, kind="stable")
+    for cols in np.array_split(by_y, -(-len(ys) // DTW_LANES)):
+        high = int(ly[cols[-1]])
+        # last sample first: along an anti-diagonal x goes on and y goes back
+        back = np.zeros((high, cols.size), dt)
+        for k, c in enumerate(cols):
+            back[high - ly[c] :, k] = ys[c][::-1]
+        per = max(1, DTW_LANES // cols.size)
+        for wide in np.unique(lx):
+            same, lanes = np.flatnonzero(lx == wide), None
+            for at in range(0, same.size, per):
+                rows = same[at : at + per]
+                if lanes is None or rows.size != lanes.n:
+                    lanes = _Warped(int(wide), rows.size, back, ly[cols], far)
+                out[np.ix_(rows, cols)] = lanes.distances(np.array([xs[r] for r in rows], dt))
     return out
 
 
+def _dtw_type(xs: list[np.ndarray], ys: list[np.ndarray]) -> tuple[np.dtype, float]:
+    """The type in which all distances are exact, and a value above all of them."""
+    values = np.concatenate([*xs, *ys])
+    steps = max(x.size for x in xs) + max(y.size for y in ys)
+    whole = bool(np.isfinite(values).all()) and bool((values == np.floor(values)).all())
+    if whole and 2 * float(np.abs(values).max()) * steps < 1 << 29:
+        return np.dtype(np.int32), 1 << 30
+    return np.dtype(float), np.inf
+
+
+class _Warped:
+    """``n`` xs of ``wide`` samples against all ys of ``back``, reversed columns sorted by length, over and over.
+
+    Cell ``(i, d - i)`` of anti-diagonal ``d`` is in row ``middle + i - d // 2`` of one of two arrays, over
+    the cell before it on the diagonal.  The views of all steps are made once.
+    """
+
+    def __init__(self, wide: int, n: int, back: np.ndarray, lens: np.ndarray, far: float) -> None:
+        (high, ny), self.n, self.far = back.shape, n, far
+        self.out = np.empty((n, ny), back.dtype)
+        y = np.tile(back, (1, n))
+        self.x = np.empty((wide, n, ny), back.dtype)
+        x = self.x.reshape(wide, n * ny)
+        self.middle = middle = high // 2 + 1
+        self.both = both = np.empty((2, middle + wide // 2 + 3, n * ny), back.dtype)
+        cost = np.empty((min(wide, high), n * ny), back.dtype)
+        ends = np.searchsorted(lens, np.arange(high + 2))
+        self.steps = []
+        for d in range(wide + high - 1):
+            lo, hi = max(0, d - high + 1), min(wide - 1, d) + 1
+            row, before = middle - d // 2, middle - (d - 1) // 2
+            here, last = both[d % 2, row + lo : row + hi], both[1 - d % 2]
+            ended = slice(ends[max(0, d - wide + 2)], ends[max(0, d - wide + 3)])
+            done = (self.out[:, ended], here[wide - 1 - lo].reshape(n, ny)[:, ended]) if ended.stop > ended.start else None
+            self.steps.append((
+                y[high - 1 - d + lo : high - 1 - d + hi], x[lo:hi], cost[: hi - lo], here,
+                last[before + lo : before + hi], last[before + lo - 1 : before + hi - 1], done,
+            ))
+
+    def distances(self, xs: np.ndarray) -> np.ndarray:
+        self.x[:] = xs.T[:, :, None]
+        self.both.fill(self.far)
+        self.both[0, self.middle] = 0
+        for k, (y, x, cost, here, left, up, done) in enumerate(self.steps):
+            np.subtract(y, x, cost)
+            np.abs(cost, cost)
+            if k:
+                np.minimum(here, left, here)
+                np.minimum(here, up, here)
+            np.add(here, cost, here)
+            if done:
+                done[0][:] = done[1]
+        return self.out
+
+
 def dtw_path(x: np.ndarray, y: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
     """Distance and warping path of one pair; ties prefer the diagonal, then a step in x."""
     n, m = x.size, y.size

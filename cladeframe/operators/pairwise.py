@@ -23,6 +23,11 @@ from cladeframe.operators.place import residue_slices, spread
 from cladeframe.session import cut_lineage
 
 BLOCK_WEIGHT = 1 << 16  # residues or samples per block
+PAIRS_PER_BATCH = 1 << 19  # result rows of a cell made at once
+MOST_TASKS = 1 << 13  # of the cells of one set
+SERIES_WEIGHT = 1 << 15  # samples and ids per block of series
+ID_WEIGHT = 16  # of an id beside its samples: what its result rows cost
+CLASS_IDS = 256  # ids of equal series in one row
 PRIMER_BYTES = 1 << 20
 PROFILES_PER_PASS = 32
 
@@ -37,7 +42,7 @@ PAIR_MATCH, PAIR_MISMATCH = 3, 0
 def _n_blocks(rows: DataFrame, weight: Column, block: int) -> int:
     # a row costs one besides its residues, so that empty ones fill blocks too
     r = rows.agg(F.sum(weight + 1).alias("w"), F.count("*").alias("n")).first()
-    return int(max(1, -(-int(r["w"] or 0) // block), min(8, r["n"])))
+    return int(max(1, min(r["n"], max(-(-int(r["w"] or 0) // block), 8))))
 
 
 def _most_blocks(rows: DataFrame, within: str, weight: Column, block: int) -> int:
@@ -59,47 +64,65 @@ def _cells(
     """``(i, j, value)`` for all pairs: ``i <= j`` of one set, or every i of ``left`` and j of ``right``.
 
     With ``within``, a column of one set, only pairs of rows that agree in it; it is returned too.
+    Rows with ``m`` stand for those ids, and ``i`` is that of their class, which may have more rows,
+    told apart by ``q``: the pairs are those of all ids.  A cell gives its pairs in batches.
     """
-    half = right is None
+    half, classed = right is None, "m" in left.columns
     keys = ["bi", "bj"] if within is None else [within, "bi", "bj"]
     nl = _n_blocks(left, weight, block) if within is None else _most_blocks(left, within, weight, block)
     nr = nl if half else _n_blocks(right, weight, block)
-    at = lambda n: F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")
+    at = lambda n: F.pmod(F.xxhash64("i", *["q"] * classed), F.lit(n)).cast("int")
     one = left.withColumn("bi", at(nl)).withColumn(
         "bj", F.explode(F.sequence(F.col("bi") if half else F.lit(0), F.lit(nr - 1)))
     )
-    # fresh aliases: the two sides of a cogroup must not share column identities
-    other = (left if half else right).select(*[F.col(c).alias(c) for c in left.columns])
-    two = other.withColumn("bj", at(nr)).withColumn(
+    # a set's block meets itself in a cell that has it once
+    two = (left if half else right).select(*left.columns).withColumn("bj", at(nr)).withColumn(
         "bi", F.explode(F.sequence(F.lit(0), F.col("bj") if half else F.lit(nl - 1)))
     )
+    two = two.filter("bi < bj") if half else two
     kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "double": pa.float64()}
 
-    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        a, b = (rows.filter(pc.equal(rows.column("side"), k)).combine_chunks() for k in (0, 1))
+        itself = half and rows.column("bi")[0] == rows.column("bj")[0]
+        b = a if itself else b
         if a.num_rows == 0 or b.num_rows == 0:
-            empty = pa.array([], kinds[key_type])
-            none = {"i": empty, "j": empty, "value": pa.array([], kinds[value_type])}
-            return pa.table(none if within is None else {within: a.column(within).slice(0, 0), **none})
-        flat = pa.array(body(a, b).ravel(), kinds[value_type])
-        i = a.column("i").take(pa.array(np.repeat(np.arange(a.num_rows), b.num_rows)))
-        j = b.column("i").take(pa.array(np.tile(np.arange(b.num_rows), a.num_rows)))
-        out = pa.table({"i": i, "j": j, "value": flat})
-        if half:
-            forward = pc.less_equal(i, j)
-            if a.column("bi")[0] == a.column("bj")[0]:
-                out = out.filter(forward)
-            else:
-                out = pa.table({"i": pc.if_else(forward, i, j), "j": pc.if_else(forward, j, i), "value": flat})
-        if within is None:
-            return out
-        return out.add_column(0, within, a.column(within).take(pa.array(np.zeros(out.num_rows, np.int64))))
+            return
+        values = body(a, b)
+        (ids, of), (others, to) = _ids(a), _ids(b)
+        per = max(1, PAIRS_PER_BATCH // max(1, to.size))
+        for lo in range(0, of.size, per):
+            x = np.arange(lo, min(lo + per, of.size))
+            value = pa.array(values[of[x]].take(to, axis=1).ravel(), kinds[value_type])
+            x, y = np.repeat(x, to.size), np.tile(np.arange(to.size), x.size)
+            i, j = ids.take(pa.array(x)), others.take(pa.array(y))
+            if half:
+                forward = pc.less_equal(i, j)
+                if itself:
+                    ci, cj = a.column("i").take(pa.array(of[x])), b.column("i").take(pa.array(to[y]))
+                    kept = pc.or_(pc.less(ci, cj), pc.and_(pc.equal(ci, cj), forward)) if classed else forward
+                    i, j, value, forward = (c.filter(kept) for c in (i, j, value, forward))
+                i, j = pc.if_else(forward, i, j), pc.if_else(forward, j, i)
+            out = pa.table({"i": i, "j": j, "value": value})
+            if within is not None:
+                out = out.add_column(0, within, a.column(within).take(pa.array(np.zeros(out.num_rows, np.int64))))
+            yield from out.combine_chunks().to_batches()
 
     group = "" if within is None else f"{within} {left.schema[within].dataType.simpleString()}, "
-    return (
-        one.groupBy(*keys)
-        .cogroup(two.groupBy(*keys))
-        .applyInArrow(cell, f"{group}i {key_type}, j {key_type}, value {value_type}")
-    )
+    sides = one.withColumn("side", F.lit(0)).unionByName(two.withColumn("side", F.lit(1)))
+    if within is None:  # a number that is given keeps cells of few bytes from meeting in few tasks
+        cells = nl * (nl + 1) // 2 if half else nl * nr
+        sides = sides.repartition(min(max(cells, 1), MOST_TASKS), *keys)
+    return sides.groupBy(*keys).applyInArrow(cell, f"{group}i {key_type}, j {key_type}, value {value_type}")
+
+
+def _ids(rows: pa.Table) -> tuple[pa.ChunkedArray | pa.Array, np.ndarray]:
+    """The ids that the rows of a cell stand for, and the row of each."""
+    if "m" not in rows.column_names:
+        return rows.column("i"), np.arange(rows.num_rows)
+    members = rows.column("m").combine_chunks()
+    return members.flatten(), np.repeat(np.arange(rows.num_rows), members.value_lengths().to_numpy(zero_copy_only=False))
 
 
 def matrix_array(matrix: DataFrame) -> tuple[str, np.ndarray]:
@@ -371,48 +394,44 @@ def row_scores(x: np.ndarray, ys: np.ndarray) -> np.ndarray:
     return same.sum(1) * PAIR_MATCH + fresh.sum(1) * GAP_OPEN + (gap & ~fresh).sum(1) * GAP_EXTEND
 
 
-def dtw_distances(series: DataFrame, right: DataFrame | None = None, block: int = 1 << 13) -> DataFrame:
+def dtw_distances(series: DataFrame, right: DataFrame | None = None, block: int = SERIES_WEIGHT) -> DataFrame:
     """Dynamic-time-warping distance of all pairs: ``(i, j, dist)`` from ``(key, v)``.
 
-    Equal series are one class while distances are worked out; then the pairs of classes are
-    joined with their members, so every pair of keys has its row.
+    Equal series are one class while distances are worked out; a cell writes the pairs of all ids
+    of its classes, so no pair of ids is shuffled and every pair of keys has its row.
     """
 
     def body(a: pa.Table, b: pa.Table) -> np.ndarray:
-        xs, ys = ([np.asarray(v, dtype=float) for v in t.column("v").to_pylist()] for t in (a, b))
-        out = np.empty((len(xs), len(ys)))
-        for lo in range(0, len(xs), 64):
-            for lo2 in range(0, len(ys), 64):
-                out[lo : lo + 64, lo2 : lo2 + 64] = K.dtw_distances(xs[lo : lo + 64], ys[lo2 : lo2 + 64])
-        return out
+        xs, ys = (_arrays(t.column("v").combine_chunks()) for t in (a, b))
+        return K.dtw_distances(xs, ys)
 
     rows = lambda d: d.filter(F.size("v") > 0).select(F.col("key").alias("i"), "v")
-    one, members = _classes(rows(series))
-    two, others = (None, members) if right is None else _classes(rows(right))
-    cells = _cells(one, two, F.size("v"), body, "long", "double", block).withColumnRenamed("value", "dist")
-    if members is None and others is None:
-        return cells
-    # a number that is given keeps the few class pairs, which have many rows each, from meeting in few tasks
-    pairs = cells.repartition(8 * series.sparkSession.sparkContext.defaultParallelism, "i", "j")
-    of = lambda table, c, name: table.select(F.col("c").alias(c), F.col("i").alias(name))
-    for table, key, c, name in ((members, "i", "ci", "mi"), (others, "j", "cj", "mj")):
-        pairs = pairs.withColumn(c, F.col(key))
-        pairs = pairs.withColumn(name, F.col(key)) if table is None else pairs.join(of(table, c, name), c)
-    if right is not None:
-        return pairs.select(F.col("mi").alias("i"), F.col("mj").alias("j"), "dist")
-    return pairs.filter("ci <> cj OR mi <= mj").select(F.least("mi", "mj").alias("i"), F.greatest("mi", "mj").alias("j"), "dist")
-
-
-def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """One row ``(i, v)`` for each distinct ``v``, with the least id, and ``(c, i)``: the class of every id.
-
-    Without copies these are the rows themselves and nothing.
+    sides = [cut_lineage(rows(d)) for d in (series, right) if d is not None]
+    classes = [_classes(d) for d in sides]
+    weight = F.size("v") + F.lit(ID_WEIGHT)
+    if any(c is not None for c in classes):
+        alone = lambda d: d.select("i", "v", F.lit(0).cast("long").alias("q"), F.array("i").alias("m"))
+        sides = [alone(d) if c is None else c for d, c in zip(sides, classes, strict=True)]
+        weight = F.size("v") + F.size("m") * ID_WEIGHT
+    cells = _cells(sides[0], sides[1] if len(sides) > 1 else None, weight, body, "long", "double", block)
+    return cells.withColumnRenamed("value", "dist")
+
+
+def _arrays(lists: pa.ListArray) -> list[np.ndarray]:
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return np.split(values, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1])
+
+
+def _classes(rows: DataFrame) -> DataFrame | None:
+    """Rows ``(i, v, q, m)`` for the distinct ``v``: the least id, and the ids, some ``CLASS_IDS`` of them in each row.
+
+    Nothing where there are no copies.
     """
-    rows = cut_lineage(rows)
-    first = cut_lineage(rows.groupBy("v").agg(F.min("i").alias("i")).select("i", "v"))
+    first = cut_lineage(rows.groupBy("v").agg(F.min("i").alias("c"), F.count("*").alias("n")))
     if first.count() == rows.count():
-        return rows, None
-    return first, cut_lineage(rows.join(first.select(F.col("i").alias("c"), "v"), "v").select("c", "i"))
+        return None
+    dealt = rows.join(first, "v").withColumn("q", F.pmod(F.xxhash64("i"), F.ceil(F.col("n") / CLASS_IDS)))
+    return cut_lineage(dealt.groupBy("c", "v", "q").agg(F.collect_list("i").alias("m")).select(F.col("c").alias("i"), "v", "q", "m"))
 
 
 def dtw_paths(pairs: DataFrame) -> DataFrame:

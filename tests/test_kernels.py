@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -107,6 +109,27 @@ def test_dtw():
     assert d == 2 and path[0] == (0, 0) and path[-1] == (4, 2)
 
 
+@pytest.mark.parametrize("draw", [lambda r, n: r.integers(0, 90_000, n).astype(float), lambda r, n: r.normal(size=n), lambda r, n: r.integers(0, 10**12, n).astype(float)])
+@pytest.mark.parametrize("lanes", [1, 7, 1536])
+def test_dtw_of_many_pairs(monkeypatch, draw, lanes):
+    monkeypatch.setattr(K, "DTW_LANES", lanes)
+    rng = np.random.default_rng(lanes)
+    xs, ys = ([draw(rng, int(rng.integers(1, 8))) for _ in range(n)] for n in (9, 11))
+    got = K.dtw_distances(xs, ys)
+    assert [[brute.dtw(x, y) for y in ys] for x in xs] == got.tolist()
+
+
+def test_dtw_memory_does_not_grow_with_pairs_times_samples():
+    rng = np.random.default_rng(2)
+    xs = [rng.integers(0, 90_000, 30).astype(float) for _ in range(400)]
+    tracemalloc.start()
+    got = K.dtw_distances(xs, xs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all cells of two rows of the table took 80 MB
+    assert peak < 16 << 20 and (got == got.T).all() and not got.diagonal().any()
+
+
 def test_long_queries_are_scored_in_pieces(monkeypatch):
     rng = np.random.default_rng(5)
     state, flag = rng.integers(1, 16, (12, 3)), rng.random((12, 3)) < 0.2

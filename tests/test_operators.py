@@ -540,6 +540,16 @@ def test_dtw_of_equal_series_is_made_once(spark, monkeypatch):
     assert asked == [[3], [3, 2]]
 
 
+def test_dtw_pairs_of_copies_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(W, "CLASS_IDS", 4)
+    monkeypatch.setattr(W, "PAIRS_PER_BATCH", 16)
+    rows = [(k, [1.0, 5.0] if k < 30 else [float(k), 2.0, 0.5]) for k in range(40)]
+    got = W.dtw_distances(spark.createDataFrame(rows, "key long, v array<double>"), block=64)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.split("FlatMapGroupsInArrow")[0]
+    assert sorted(tuple(r) for r in got.collect()) == sorted((i, j, brute.dtw(x, y)) for i, x in rows for j, y in rows if i <= j)
+
+
 def test_longest_insertions_of_traces(spark):
     rng = np.random.default_rng(4)
     ops = ["".join(rng.choice(list("0122"), k)) for k in (0, 1, 5, 30, 30, 60)] + ["2", "22", "1", "0022", None]
