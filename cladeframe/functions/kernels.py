@@ -44,17 +44,18 @@ def _pad(rows: list[np.ndarray], width: int, fill: int) -> np.ndarray:
 
 
 def _running_max(x: np.ndarray) -> np.ndarray:
-    """Running maximum along axis 0: few wide rows by a loop, many narrow ones by doubling."""
-    n = x.shape[0]
-    if x[0].size >= 384:
-        for j in range(1, n):
-            np.maximum(x[j], x[j - 1], out=x[j])
-        return x
-    step = 1
-    while step < n:
-        y = x.copy()
-        np.maximum(x[step:], x[:-step], out=y[step:])
-        x, step = y, step * 2
+    """Running maximum along axis 0: in blocks of the square root of the rows, as :class:`_Running` has them."""
+    x = np.ascontiguousarray(x)
+    n, width = x.shape[0], max(1, int(np.sqrt(x.shape[0])))
+    whole = n // width * width
+    part = x[:whole].reshape(-1, width, *x.shape[1:])
+    for k in range(1, width):
+        np.maximum(part[:, k], part[:, k - 1], out=part[:, k])
+    for b in range(1, part.shape[0]):
+        np.maximum(part[b, -1], part[b - 1, -1], out=part[b, -1])
+    np.maximum(part[1:, :-1], part[:-1, -1:], out=part[1:, :-1])
+    for j in range(whole, n):
+        np.maximum(x[j], x[j - 1], out=x[j])
     return x
 
 
@@ -92,6 +93,7 @@ def affine_scores(
     local: bool = False,
     widths: np.ndarray | None = None,
     soft_start: bool = False,
+    end_row: np.ndarray | None = None,
 ) -> np.ndarray:
     """Best score of each query against each profile: shape (queries, profiles).
 
@@ -101,7 +103,8 @@ def affine_scores(
     are free (best over the last row and the last column), or with ``local`` any cell may
     start and end an alignment.  ``widths`` gives each profile's real column count.
     ``soft_start`` charges a gap before the first column as an extension.
-    Queries without residues score the lowest representable value.
+    Queries without residues score the lowest representable value.  ``end_row``, of the shape of
+    the result, takes the first residue with which the best score is reached; not with ``local``.
 
     Unless ``local``, a long query is cut into overlapping pieces that are lanes of their own.  A
     piece begins with all columns skipped, which is never above the true row; where that was
@@ -160,6 +163,7 @@ def affine_scores(
     shape = (n_col, nb, n_prof)
     s, up, h, tmp = (np.zeros(shape, dtype=dt) for _ in range(4))
     best = np.empty((nb, n_prof), dtype=dt)
+    reached = None if end_row is None else np.zeros((nb, n_prof), dtype=np.int32)
     starts = np.broadcast_to(start_cost, shape).copy()
     runs = _Running(n_col, nb, n_prof, dt)
     live = nb
@@ -174,6 +178,8 @@ def affine_scores(
         for lane, x in begins.get(i, ()):
             s[:, lane] = skipped if pieces[x][1] else fresh[:, 0]
             up[:, lane] = best[lane] = low
+            if reached is not None:
+                reached[lane] = i
         np.take(shifted, sym[i, :live], axis=1, out=h, mode="clip")
         h[1:] += s[:-1]
         if zero:
@@ -193,15 +199,28 @@ def affine_scores(
             np.subtract(s, fresh, out=tmp)
             np.maximum(best[:live], tmp.max(axis=0), out=best[:live])
         else:
-            np.maximum(best[:live], s[last, :, lanes].T if ragged else s[-1], out=best[:live])
+            ends_with = s[last, :, lanes].T if ragged else s[-1]
+            if reached is not None:
+                better = ends_with > best[:live]
+                if better.any():
+                    np.copyto(reached[:live], i, where=better)
+            np.maximum(best[:live], ends_with, out=best[:live])
         for lane, x in ends.get(i, ()):
-            k, _, b = pieces[x]
+            k, a, b = pieces[x]
+            if reached is not None:
+                row = reached[lane].astype(np.int64) + (b - 1 - i)
             found = best[lane].astype(np.int64)
             if not local:
                 found += zero + carry[last, lanes]
             if not local and b == queries[k].size:
                 tail = s[:, lane] + (carry + zero)
-                found = np.maximum(found, (np.where(inside, tail, np.iinfo(np.int32).min) if ragged else tail).max(axis=0))
+                tail = (np.where(inside, tail, np.iinfo(np.int32).min) if ragged else tail).max(axis=0)
+                if reached is not None:
+                    row = np.where(tail > found, b - 1, row)
+                found = np.maximum(found, tail)
+            if reached is not None:
+                sooner = (found > out[k]) | ((found == out[k]) & (row < end_row[k]))
+                end_row[k] = np.where(sooner, row, end_row[k])
             np.maximum(out[k], found, out=out[k])
     return out
 
@@ -255,6 +274,7 @@ def profile_scores(
     match_flag: int,
     gap_open: int,
     gap_extend: int,
+    end_row: np.ndarray | None = None,
 ) -> np.ndarray:
     """Free-shift score of symbol-index queries against edge profiles (cols, profiles).
 
@@ -270,6 +290,7 @@ def profile_scores(
         queries,
         gap_open,
         gap_extend,
+        end_row=end_row,
     )
 
 
@@ -305,6 +326,7 @@ def trace_pairs(
     match_flag: int,
     gap_open: int,
     gap_extend: int,
+    ends: np.ndarray | None = None,
 ) -> tuple[np.ndarray, list[bytes]]:
     """Score and forward operations of each query on its own profile (cols, pairs).
 
@@ -312,8 +334,8 @@ def trace_pairs(
     inserted.  Ties: insert only if strictly best, skip if at least as good as
     insert and better than a match, else match; the first best end cell in row order.
 
-    A first sweep finds the end cells, a long query in pieces as in :func:`affine_scores`.  A
-    second one goes over the residues that the best alignment can reach back to from there and
+    A first sweep finds the end cells, a long query in pieces as in :func:`affine_scores`, unless
+    their rows are given as ``ends``; then the score is that of the best cell there.  A second one goes over the residues that the best alignment can reach back to from there and
     keeps one row in every ``TRACE_ROWS``; directions are recomputed from those.
     """
     n_col = state.shape[0]
@@ -325,8 +347,12 @@ def trace_pairs(
     costs = match, match_flag, gap_open, gap_extend
     gain = int(np.where(flag, max(0, match_flag, match + match_flag), max(0, match)).sum(axis=0).max())
     back = overlap(n_col, gain, n_col * min(0, gap_extend) + min(0, gap_open), gap_extend)
-    pieces = [(k, a, b) for k, q in enumerate(queries) for a, b in cuts(q.size, back)]
+    pieces = [(k, a, b) for k, q in enumerate(queries) for a, b in cuts(q.size, back)] if ends is None else []
     end_row, end_col = np.zeros_like(lens), np.zeros_like(lens)
+    if ends is not None:
+        end_row = np.asarray(ends, np.int64)
+        if ((end_row < 0) | (end_row >= lens))[lens > 0].any():
+            raise ValueError("an end is outside its query")
     order = _by_length(np.array([b - a for _, a, b in pieces]))
     for lo in range(0, order.size, TRACE_LANES):
         part = [pieces[x] for x in order[lo : lo + TRACE_LANES]]
@@ -342,8 +368,11 @@ def trace_pairs(
     order = order[lens[order] > 0]
     for lo in range(0, order.size, TRACE_LANES):
         pick = order[lo : lo + TRACE_LANES]
-        pairs = _Pairs(state[:, pick], flag[:, pick], [queries[k][first[k] : end_row[k] + 1] for k in pick], *costs, begun=first[pick] > 0)
+        pairs = _Pairs(state[:, pick], flag[:, pick], [queries[k][first[k] : end_row[k] + 1] for k in pick], *costs,
+                       begun=first[pick] > 0, whole=(end_row == lens - 1)[pick])
         pairs.sweep()
+        if ends is not None:
+            scores[pick], end_col[pick] = pairs.final, pairs.final_col
         pairs.end_row, pairs.end_col = pairs.lens - 1, end_col[pick]
         for k, t in zip(pick, pairs.walk()):
             head, tail = b"2" * int(first[k]), b"2" * int(lens[k] - 1 - end_row[k])
@@ -357,54 +386,69 @@ class _Pairs:
     A lane that has ``begun`` is the rest of a query, and one that is not ``whole`` lacks its end.
     """
 
-    LOW = -(1 << 29)
-
-    def __init__(self, state, flag, queries, match, match_flag, gap_open, gap_extend, begun, whole=None) -> None:
-        self.state, self.match = state.astype(np.int32), match
-        self.open, self.extend = gap_open, gap_extend
+    def __init__(self, state, flag, queries, match, match_flag, gap_open, gap_extend, begun, whole) -> None:
         self.n_col, self.n = state.shape
+        steps = abs(match) + abs(match_flag) + abs(gap_extend)
+        dt, self.low = _dtype(2.0 * (self.n_col * steps + 4 * abs(gap_open) + steps))
+        self.dt = dt
+        self.match, self.open, self.extend = dt.type(match), dt.type(gap_open), dt.type(gap_extend)
         self.lens = np.array([q.size for q in queries], dtype=np.int64)
-        self.qs = _pad(queries, int(self.lens.max()), 0).astype(np.int32)
-        self.o = np.where(flag, 0, gap_open).astype(np.int32)
-        self.e = np.where(flag, 0, gap_extend).astype(np.int32)
-        self.extra = np.where(flag, match_flag, 0).astype(np.int32)
-        self.carry = np.cumsum(self.e, axis=0, dtype=np.int32)
-        self.whole = np.ones(self.n, bool) if whole is None else whole
-        self.before = np.where(begun, self.o[0] - self.e[0] + self.carry, 0).astype(np.int32)
-
-    def row(self, lanes, residues, s, up):
+        qs = _pad(queries, int(self.lens.max()), 0)
+        bits = np.int8 if max(state.max(), qs.max()) < 128 else np.int32
+        self.state, self.qs = state.astype(bits), qs.T.astype(bits)
+        self.o = np.where(flag, 0, gap_open).astype(dt)
+        self.e = np.where(flag, 0, gap_extend).astype(dt)
+        self.extra = np.where(flag, match_flag, 0).astype(dt)
+        self.carry = np.cumsum(self.e, axis=0, dtype=dt)
+        self.whole = whole
+        self.before = np.where(begun, self.o[0] - self.e[0] + self.carry, 0).astype(dt)
+
+    def cells(self, lanes) -> tuple[np.ndarray, ...]:
+        """What a row needs of some lanes."""
+        return tuple(x[:, lanes] if isinstance(lanes, slice) else x.take(lanes, axis=1) for x in (self.state, self.extra, self.o - self.carry, self.carry))
+
+    def row(self, cells, residues, s, up):
         """One query residue further: match, insert, skip and best values per column."""
-        hit = (self.state[:, lanes] & residues) != 0
-        sm = np.where(hit, self.match, 0).astype(np.int32) + self.extra[:, lanes]
+        state, extra, start, carry = cells
+        sm = ((state & residues) != 0) * self.match
+        sm += extra
         sm[1:] += s[:-1]
         up = np.maximum(s + self.open, up + self.extend)
         h = np.maximum(sm, up)
-        run = self.o[:, lanes] - self.carry[:, lanes]
+        run = start.copy()
         run[1:] += h[:-1]
-        left = _running_max(run) + self.carry[:, lanes]
+        left = _running_max(run)
+        left += carry
         return sm, up, left, np.maximum(h, left)
 
     def sweep(self, keep: bool = True) -> np.ndarray:
         s = self.before
-        up = np.full_like(s, self.LOW)
+        up = np.full_like(s, self.low)
         self.kept = []
-        self.best = np.full(self.n, self.LOW, dtype=np.int64)
+        self.best = np.full(self.n, self.low, dtype=np.int64)
+        # the best cell of a pair's last row, as far as it may be an end
+        self.final, self.final_col = np.zeros(self.n, dtype=np.int64), np.zeros(self.n, dtype=np.int64)
         self.end_col = np.zeros(self.n, dtype=np.int64)
         self.end_row = np.zeros(self.n, dtype=np.int64)
         live = self.n
+        cells = self.cells(slice(0, live))
         for i in range(int(self.lens[0])):
-            while self.lens[live - 1] <= i:
-                live -= 1
+            if self.lens[live - 1] <= i:
+                live = int(np.searchsorted(-self.lens, -i))
                 s, up = s[:, :live], up[:, :live]
+                cells = self.cells(slice(0, live))
             if keep and i % TRACE_ROWS == 0:
                 self.kept.append((s, up))
-            _, up, _, s = self.row(slice(0, live), self.qs[:live, i], s, up)
+            _, up, _, s = self.row(cells, self.qs[i, :live], s, up)
             # ends: the last column of every row, any column of a pair's last row
-            final = (self.lens[:live] == i + 1) & self.whole[:live]
+            ended = self.lens[:live] == i + 1
+            final = ended & self.whole[:live]
             value, col = s[-1].astype(np.int64), np.full(live, self.n_col - 1)
             if final.any():
                 value = np.where(final, s.max(axis=0), value)
                 col = np.where(final, s.argmax(axis=0), col)
+            if ended.any():
+                self.final[:live][ended], self.final_col[:live][ended] = value[ended], col[ended]
             better = value > self.best[:live]
             self.best[:live][better] = value[better]
             self.end_col[:live][better] = col[better]
@@ -413,16 +457,17 @@ class _Pairs:
 
     def moves(self, lanes: np.ndarray, block: int) -> np.ndarray:
         """Direction bits of one kept stretch: (rows, cols, lanes)."""
-        s, up = (x[:, lanes] for x in self.kept[block])
+        s, up = (x.take(lanes, axis=1) for x in self.kept[block])
         first = block * TRACE_ROWS
         rows = min(TRACE_ROWS, int(self.end_row[lanes].max()) + 1 - first)
         bits = np.empty((rows, self.n_col, lanes.size), dtype=np.uint8)
+        cells, more, anew = self.cells(lanes), self.e[1:].take(lanes, axis=1), self.o[1:].take(lanes, axis=1)
         for r in range(rows):
             old_s, old_up = s, up
-            sm, up, left, s = self.row(lanes, self.qs[lanes, first + r], s, up)
+            sm, up, left, s = self.row(cells, self.qs[first + r, lanes], s, up)
             stay_up = old_up + self.extend > old_s + self.open
             stay_left = np.zeros_like(stay_up)
-            stay_left[1:] = left[:-1] + self.e[1:, lanes] > s[:-1] + self.o[1:, lanes]
+            stay_left[1:] = left[:-1] + more > s[:-1] + anew
             skip = (left >= up) & (left > sm)
             insert = (up > left) & (up > sm)
             bits[r] = stay_left | (stay_up << 1) | (skip << 2) | (insert << 3)

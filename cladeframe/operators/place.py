@@ -130,8 +130,8 @@ def _bounds_groups(batch: dict, n_cols: int):
     return [(a, b, rows) for (a, b), rows in groups.items()]
 
 
-def _score_rows(batch: dict, prof: ProfileSet, alpha: R.Alphabet, sp: Scores, top_k: int) -> pa.Table:
-    """The ``top_k`` best edges of each query in one cell (score desc, edge asc).
+def _score_rows(batch: dict, prof: ProfileSet, alpha: R.Alphabet, sp: Scores, top_k: int, ends: bool = False) -> pa.Table:
+    """The ``top_k`` best edges of each query in one cell (score desc, edge asc), with ``ends`` and where each is reached.
 
     For the best edge alone, profiles go in rounds by the most that they can score: a query leaves
     when its best score is above that of all that are left.
@@ -144,6 +144,7 @@ def _score_rows(batch: dict, prof: ProfileSet, alpha: R.Alphabet, sp: Scores, to
         edges_per_pass = min(edges_per_pass, EDGES_PER_ROUND)
     none = np.iinfo(np.int32).min
     score = np.full((len(syms), prof.edge_id.size), none, dtype=np.int64)
+    end_row = np.zeros_like(score) if ends else None
     for lo, hi, rows in _bounds_groups(batch, prof.state.shape[0]):
         part = prof.slice(int(lo), int(hi))
         rows = rows[[syms[r].size > 0 for r in rows]]
@@ -156,20 +157,26 @@ def _score_rows(batch: dict, prof: ProfileSet, alpha: R.Alphabet, sp: Scores, to
                 rows = rows[score[rows].max(axis=1) <= most[pick].max()]
             if rows.size == 0:
                 break
+            reached = np.zeros((rows.size, pick.size), dtype=np.int64) if ends else None
             score[rows[:, None], pick] = K.profile_scores(
                 part.state[:, pick], part.flag[:, pick], states, [syms[r] for r in rows],
-                sp.match, sp.match_flag, sp.gap_open, sp.gap_extend,
+                sp.match, sp.match_flag, sp.gap_open, sp.gap_extend, reached,
             )
+            if ends:
+                end_row[rows[:, None], pick] = reached
     k = min(top_k, prof.edge_id.size)
     best = score.argmax(axis=1)[:, None] if k == 1 else np.argsort(-score, axis=1, kind="stable")[:, :k]
     picked = np.take_along_axis(score, best, axis=1).ravel()
-    return pa.table(
+    found = pa.table(
         {
             "seq_id": pa.array(np.repeat(np.asarray(batch["seq_id"], dtype=np.int64), k)),
             "edge_id": pa.array(prof.edge_id[best].ravel().astype(np.int32)),
             "score": pa.array(picked.astype(np.int32), mask=picked == np.iinfo(np.int32).min),
         }
     )
+    if not ends:
+        return found
+    return found.append_column("end_row", pa.array(np.take_along_axis(end_row, best, axis=1).ravel().astype(np.int32)))
 
 
 def _gapped(ops: str, seq: str) -> str:
@@ -201,6 +208,7 @@ def _trace_rows(batch: dict, prof: ProfileSet, alpha: R.Alphabet, sp: Scores) ->
         got, text = K.trace_pairs(
             part.state[:, col[rows]], part.flag[:, col[rows]], [states[syms[r]] for r in rows],
             sp.match, sp.match_flag, sp.gap_open, sp.gap_extend,
+            None if "end_row" not in batch else np.asarray(batch["end_row"])[rows],
         )
         score[rows] = got
         for r, t in zip(rows, text):
@@ -278,12 +286,14 @@ def top_edges(
     alpha: str | R.Alphabet = R.DNA,
     spread_queries: bool = True,
     broadcast_bytes: int = BROADCAST_BYTES,
+    ends: bool = False,
 ) -> DataFrame:
     """``(seq_id, edge_id, score, rank)``: the k best edges of each query.
 
     ``queries(seq_id, seq[, start, end])`` hold cleaned residues; ``start``/``end`` limit
     the alignment to an inclusive column range (null: whole width).  Order is score
-    descending, then edge ascending.  A query without residues has a null score.
+    descending, then edge ascending.  A query without residues has a null score.  With ``ends``
+    there is ``end_row`` too, the first residue with which the score is reached.
     ``profiles`` should be materialised: it is measured before it is used.
     """
     a = R.alphabet(alpha)
@@ -298,14 +308,14 @@ def top_edges(
     part = in_blocks(
         spread(asked) if spread_queries and not queries.isStreaming else asked,
         profiles.select("edge_id", "state", "aux"), "edge_id", size, broadcast_bytes, ProfileSet.of,
-        lambda rows, prof: _score_rows(rows, prof, a, scores, k), "seq_id long, edge_id int, score int",
+        lambda rows, prof: _score_rows(rows, prof, a, scores, k, ends), "seq_id long, edge_id int, score int" + ", end_row int" * ends,
     )
     if k == 1 and queries.isStreaming:
         return part.withColumn("rank", F.lit(1))
     if k == 1:
-        top = F.max(F.struct(F.coalesce("score", F.lit(-(1 << 31))).alias("s"), (-F.col("edge_id")).alias("e"), "score"))
+        top = F.max(F.struct(F.coalesce("score", F.lit(-(1 << 31))).alias("s"), (-F.col("edge_id")).alias("e"), "score", *["end_row"] * ends))
         return part.groupBy("seq_id").agg(top.alias("t")).select(
-            "seq_id", (-F.col("t.e")).alias("edge_id"), F.col("t.score").alias("score"), F.lit(1).alias("rank")
+            "seq_id", (-F.col("t.e")).alias("edge_id"), F.col("t.score").alias("score"), *["t.end_row"] * ends, F.lit(1).alias("rank")
         )
     w = Window.partitionBy("seq_id").orderBy(F.col("score").desc_nulls_last(), "edge_id")
     return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -372,10 +382,11 @@ def trace(
     ``ops`` is the forward operation string: 0 residue on a column, 1 column skipped,
     2 residue inserted.  With ``checked`` the rows of ``placed`` also have ``name`` and ``score``:
     another score of the trace is an error, and the result has ``name`` and ``gapped`` too, so
-    neither the check nor the aligned text needs a join.
+    neither the check nor the aligned text needs a join.  Where ``placed`` has ``end_row`` as well,
+    only the residues that an alignment ending there can reach are swept, once.
     """
     a = R.alphabet(alpha)
-    cols = ["seq_id", "seq", "edge_id"] + ["name", "score"] * checked + [c for c in ("start", "end") if c in placed.columns]
+    cols = ["seq_id", "seq", "edge_id"] + ["name", "score"] * checked + [c for c in ("start", "end", "end_row") if c in placed.columns]
     n_edges, n_cols = profile_shape(profiles)
     if n_edges == 0:
         raise ValueError("no profiles")

@@ -40,7 +40,9 @@ def place_job(
     cleaned = L.clean_queries(queries.select("seq_id", "name", "seq"), alpha)
     if bounds is not None:
         cleaned = cleaned.join(bounds.select("name", "start", "end"), "name", "left")
-    best = L.best_edge(cleaned, profiles, alpha=alpha, **kw)
+    # read twice: texts are cleaned and spread once
+    cleaned = cut_lineage(L.spread(cleaned) if kw.get("spread_queries", True) else cleaned)
+    best = L.best_edge(cleaned, profiles, alpha=alpha, ends=True, **{**kw, "spread_queries": False})
     placed = cut_lineage(cleaned.join(best, "seq_id"))
     traces = cut_lineage(L.trace(placed, profiles, alpha=alpha, checked=True, **kw))
     width = L.profile_shape(profiles)[1]

@@ -109,6 +109,26 @@ def test_dtw():
     assert d == 2 and path[0] == (0, 0) and path[-1] == (4, 2)
 
 
+@pytest.mark.parametrize("piece", [8, 1024])
+def test_traces_from_given_ends(monkeypatch, piece):
+    monkeypatch.setattr(K, "PIECE", piece)
+    rng = np.random.default_rng(8)
+    symbol_states = np.array([1, 2, 4, 8])
+    for n_col in (1, 3, 7):
+        state, flag = rng.integers(1, 16, (n_col, 5)), rng.random((n_col, 5)) < 0.3
+        queries = [rng.integers(0, 4, int(n)) for n in (1, 2, 9, 90, 300)]
+        ends = np.zeros((5, 5), np.int64)
+        scores = K.profile_scores(state, flag, symbol_states, queries, 2, -3, -3, -1, ends)
+        for e in range(5):
+            own = [x[:, [e] * 5] for x in (state, flag)]
+            bits = [symbol_states[q] for q in queries]
+            want = K.trace_pairs(*own, bits, 2, -3, -3, -1)
+            got = K.trace_pairs(*own, bits, 2, -3, -3, -1, ends[:, e])
+            assert got[1] == want[1] and got[0].tolist() == want[0].tolist() == scores[:, e].tolist()
+    with pytest.raises(ValueError, match="outside"):
+        K.trace_pairs(*own, bits, 2, -3, -3, -1, np.full(5, 300))
+
+
 @pytest.mark.parametrize("draw", [lambda r, n: r.integers(0, 90_000, n).astype(float), lambda r, n: r.normal(size=n), lambda r, n: r.integers(0, 10**12, n).astype(float)])
 @pytest.mark.parametrize("lanes", [1, 7, 1536])
 def test_dtw_of_many_pairs(monkeypatch, draw, lanes):

@@ -540,6 +540,23 @@ def test_dtw_of_equal_series_is_made_once(spark, monkeypatch):
     assert asked == [[3], [3, 2]]
 
 
+def test_placed_ends_are_traced_in_one_sweep(edges_and_queries, monkeypatch):
+    prof, queries, *_ = edges_and_queries
+    named = queries.withColumn("name", F.concat(F.lit("q"), "seq_id"))
+    for asked in (named, named.withColumn("start", (F.col("seq_id") % 3).cast("int")).withColumn("end", F.col("start") + 9)):
+        ends = asked.drop("end_row").join(L.best_edge(asked, prof, ends=True), "seq_id")
+        assert rows(ends.select("seq_id", "edge_id", "score")) == rows(L.best_edge(asked, prof))
+        assert rows(L.trace(ends, prof, checked=True)) == rows(L.trace(ends.drop("end_row"), prof, checked=True))
+    batch = {c: [r[c] for r in ends.filter("seq <> ''").collect()] for c in ends.columns}
+    profiles = L.ProfileSet.of(prof.select("edge_id", "state", "aux").toArrow())
+    swept, real = [], K._Pairs.sweep
+    monkeypatch.setattr(K._Pairs, "sweep", lambda self, keep=True: swept.append(keep) or real(self, keep))
+    L._trace_rows(batch, profiles, L.R.DNA, L.Scores())
+    assert swept and all(swept)
+    with pytest.raises(ValueError, match="trace score differs"):
+        L._trace_rows({**batch, "score": [s + 1 for s in batch["score"]]}, profiles, L.R.DNA, L.Scores())
+
+
 def test_dtw_pairs_of_copies_are_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(W, "CLASS_IDS", 4)
     monkeypatch.setattr(W, "PAIRS_PER_BATCH", 16)
