@@ -44,7 +44,7 @@ def _pad(rows: list[np.ndarray], width: int, fill: int) -> np.ndarray:
 
 
 def _running_max(x: np.ndarray) -> np.ndarray:
-    """Running maximum along axis 0: in blocks of the square root of the rows, as :class:`_Running` has them."""
+    """Running maximum along axis 0: in blocks of the square root of the rows, as :class:`_Columns` has them."""
     x = np.ascontiguousarray(x)
     n, width = x.shape[0], max(1, int(np.sqrt(x.shape[0])))
     whole = n // width * width
@@ -59,28 +59,38 @@ def _running_max(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Running:
-    """An array (columns, queries, profiles) and its running maximum along the columns.
+class _Columns:
+    """Order of columns in which the running maximum along them takes few steps over memory in a row.
 
-    Columns are in blocks of about their square root: all blocks advance together, then their
-    ends, and the ends go to the rest of the next blocks in one step, so few steps are needed.
+    Columns are in blocks of about their square root; the first columns of all blocks lie side by
+    side, then the second ones.  All blocks advance together, then their ends, and the ends go to
+    the rest of the next blocks in one step.  Columns beyond the real ones end the last blocks.
     """
 
     def __init__(self, n: int, queries: int, profiles: int, dt: np.dtype):
-        self.n, width = n, max(1, int(np.sqrt(n)))
-        self.cells = np.zeros((-(-n // width), width, queries, profiles), dtype=dt)
-
-    def of(self, live: int) -> np.ndarray:
-        """The array of the first ``live`` queries, as a view."""
-        part, (blocks, width) = self.cells[:, :, :live], self.cells.shape[:2]
-        self.steps = [(part[:, k], part[:, k - 1]) for k in range(1, width)]
-        self.steps += [(part[b, -1], part[b - 1, -1]) for b in range(1, blocks)]
-        self.steps += [(part[1:, :-1], part[:-1, -1:])] if blocks > 1 and width > 1 else []
-        return self.cells.reshape(blocks * width, *self.cells.shape[2:])[: self.n, :live]
-
-    def carry(self) -> None:
-        for later, earlier in self.steps:
-            np.maximum(later, earlier, out=later)
+        self.width = max(1, int(np.sqrt(n)))
+        self.blocks, self.rest, self.dt = -(-n // self.width), (queries, profiles), dt
+        self.at = np.arange(n) % self.width * self.blocks + np.arange(n) // self.width
+
+    def laid(self, x: np.ndarray, fill: np.ndarray | int = 0) -> np.ndarray:
+        """``x`` in this order, ``fill`` in the columns beyond."""
+        out = np.empty((self.width * self.blocks, *x.shape[1:]), self.dt)
+        out[:] = fill
+        out[self.at] = x
+        return out
+
+    def new(self) -> np.ndarray:
+        return np.zeros((self.width * self.blocks, *self.rest), self.dt)
+
+    def grid(self, x: np.ndarray, live: int) -> np.ndarray:
+        """The first ``live`` queries of an array of this order, by columns of a block and blocks."""
+        return x.reshape(self.width, self.blocks, *x.shape[1:])[:, :, :live]
+
+    def carry(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Steps ``later = max(later, earlier)`` of the running maximum of a grid."""
+        steps = [(x[k], x[k - 1]) for k in range(1, self.width)]
+        steps += [(x[-1, b], x[-1, b - 1]) for b in range(1, self.blocks)]
+        return steps + [(x[:-1, 1:], x[-1, :-1])] * (self.blocks > 1 and self.width > 1)
 
 
 def affine_scores(
@@ -140,8 +150,7 @@ def affine_scores(
         gain = int(np.maximum(table.max(axis=1), 0).sum(axis=0).max())
         back = overlap(n_col, gain, least + int(carry.min()), gap_extend)
         pieces = [(k, a, b) for k, q in enumerate(queries) for a, b in cuts(q.size, back)]
-    shifted, start_cost = shifted.astype(dt), start_cost.astype(dt)[:, None, :]
-    fresh = (-carry - zero).astype(dt)[:, None, :]
+    start_cost = start_cost.astype(dt)[:, None, :]
     last = (widths if widths is not None else np.full(n_prof, n_col)) - 1
     lanes = np.arange(n_prof)
     inside = np.arange(n_col)[:, None] <= last
@@ -160,28 +169,31 @@ def affine_scores(
             ends.setdefault(at - 1, []).append((lane, x))
     size = np.array([q.size for q in symbols])
     sym, nb = np.ascontiguousarray(_pad(symbols, int(size[0]), 0).T), len(queues)
-    shape = (n_col, nb, n_prof)
-    s, up, h, tmp = (np.zeros(shape, dtype=dt) for _ in range(4))
+    cols = _Columns(n_col, nb, n_prof, dt)
+    shifted = cols.laid(shifted)
+    fresh = cols.laid((-carry - zero)[:, None, :], (-carry[-1] - zero)[None, None, :])
+    wholes = [cols.new() for _ in range(6)]
+    wholes[4][:] = cols.laid(start_cost)
     best = np.empty((nb, n_prof), dtype=dt)
     reached = None if end_row is None else np.zeros((nb, n_prof), dtype=np.int32)
-    starts = np.broadcast_to(start_cost, shape).copy()
-    runs = _Running(n_col, nb, n_prof, dt)
-    live = nb
-    run = runs.of(live)
+    live = 0
+    end_at = cols.at[last if ragged else n_col - 1]
     skipped = start_cost[0] - dt.type(zero)
     first = np.broadcast_to(skipped, (nb, n_prof)).copy()
     for i in range(int(size[0])):
-        if size[live - 1] <= i:
+        if i == 0 or size[live - 1] <= i:
             live = int(np.searchsorted(-size, -i))
-            s, up, h, tmp, starts = (x[:, :live] for x in (s, up, h, tmp, starts))
-            run, first = runs.of(live), first[:live]
+            s, up, h, tmp, starts, run = (x[:, :live] for x in wholes)
+            s_grid, _, h_grid, _, start_grid, run_grid = (cols.grid(x, live) for x in wholes)
+            runs, first = cols.carry(run_grid), first[:live]
         for lane, x in begins.get(i, ()):
             s[:, lane] = skipped if pieces[x][1] else fresh[:, 0]
             up[:, lane] = best[lane] = low
             if reached is not None:
                 reached[lane] = i
         np.take(shifted, sym[i, :live], axis=1, out=h, mode="clip")
-        h[1:] += s[:-1]
+        h_grid[1:] += s_grid[:-1]
+        h_grid[0, 1:] += s_grid[-1, :-1]
         if zero:
             h[0] -= dt.type(zero)
         np.add(s, dt.type(gap_open), out=tmp)
@@ -190,16 +202,19 @@ def affine_scores(
         np.maximum(h, up, out=h)
         if local:
             np.maximum(h, fresh, out=h)
+        np.add(h_grid[:-1], start_grid[1:], out=run_grid[1:])
+        np.add(h_grid[-1, :-1], start_grid[0, 1:], out=run_grid[0, 1:])
         run[0] = first
-        np.add(h[:-1], starts[1:], out=run[1:])
-        runs.carry()
+        for later, earlier in runs:
+            np.maximum(later, earlier, out=later)
         np.maximum(h, run, out=h)
-        s, h = h, s
+        s, h, s_grid, h_grid = h, s, h_grid, s_grid
+        wholes[0], wholes[2] = wholes[2], wholes[0]
         if local:
             np.subtract(s, fresh, out=tmp)
             np.maximum(best[:live], tmp.max(axis=0), out=best[:live])
         else:
-            ends_with = s[last, :, lanes].T if ragged else s[-1]
+            ends_with = s[end_at, :, lanes].T if ragged else s[end_at]
             if reached is not None:
                 better = ends_with > best[:live]
                 if better.any():
@@ -213,7 +228,7 @@ def affine_scores(
             if not local:
                 found += zero + carry[last, lanes]
             if not local and b == queries[k].size:
-                tail = s[:, lane] + (carry + zero)
+                tail = s[cols.at, lane] + (carry + zero)
                 tail = (np.where(inside, tail, np.iinfo(np.int32).min) if ragged else tail).max(axis=0)
                 if reached is not None:
                     row = np.where(tail > found, b - 1, row)
